@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import hash_bucket, settle
-from alertlift.operators.joins import attach_row, bounded, join_null_safe
+from alertlift.operators.joins import bounded, join_null_safe
 
 SEED = 42
 FOLDS = 3
@@ -68,6 +68,53 @@ def assign_group_folds(
     return join_null_safe(df, bounded(folds), [group])
 
 
+def fit_lines(
+    df: DataFrame, models: Mapping[str, str], y: str = "label", k: int = FOLDS
+) -> dict[str, list[tuple[float, float]]]:
+    """Per model and held-out fold, base and slope of the line through all
+    other folds.
+
+    One pass gathers the moments of each fold; a training set is the sum of
+    the k - 1 folds outside.  Only k rows come back.  The centred moments are
+    merged around the means, so no precision is lost.
+    """
+    value = F.col(y).cast("double")
+    moments = []
+    for m, x in enumerate(models.values()):
+        feature = F.when(value.isNotNull(), F.col(x).cast("double"))
+        target = F.when(F.col(x).isNotNull(), value)
+        moments += [
+            F.count(feature).alias(f"n_{m}"),
+            F.avg(feature).alias(f"x_{m}"),
+            F.avg(target).alias(f"y_{m}"),
+            F.var_pop(feature).alias(f"xx_{m}"),
+            F.covar_pop(feature, target).alias(f"xy_{m}"),
+        ]
+    rows = df.groupBy("fold").agg(*moments).limit(k + 1).collect()
+    if len(rows) > k or any(r["fold"] not in range(k) for r in rows):
+        raise ValueError(f"fold must lie in 0..{k - 1}")
+
+    lines = {}
+    for m, name in enumerate(models):
+        lines[name] = []
+        for i in range(k):
+            parts = [r for r in rows if r["fold"] != i and r[f"n_{m}"]]
+            n = sum(r[f"n_{m}"] for r in parts)
+            if not n:
+                raise ValueError(f"no training rows outside fold {i}")
+            mean_x = sum(r[f"n_{m}"] * r[f"x_{m}"] for r in parts) / n
+            mean_y = sum(r[f"n_{m}"] * r[f"y_{m}"] for r in parts) / n
+            xx = xy = 0.0
+            for r in parts:
+                dx, dy = r[f"x_{m}"] - mean_x, r[f"y_{m}"] - mean_y
+                xx += r[f"n_{m}"] * (r[f"xx_{m}"] + dx * dx)
+                xy += r[f"n_{m}"] * (r[f"xy_{m}"] + dx * dy)
+            # A constant feature explains nothing: predict the mean.
+            slope = xy / xx if xx > 0 else 0.0
+            lines[name].append((mean_y - slope * mean_x, slope))
+    return lines
+
+
 def oof_lines(
     df: DataFrame,
     models: Mapping[str, str],
@@ -77,31 +124,23 @@ def oof_lines(
 ) -> DataFrame:
     """Out-of-fold least squares on one feature per model, long by model.
 
-    ``models`` maps a model name to its feature; ``df`` carries ``fold``.  Fold
-    i is predicted by the line through all other folds.  All lines of all
-    models are conditional aggregates of one pass, so training data is neither
-    copied per fold nor shuffled, and the single result row is broadcast.
-    Predictions are rounded to 9 decimals.
+    ``models`` maps a model name to its feature; ``df`` carries ``fold`` and is
+    read by the fit and again by whoever reads the result, so it should be a
+    scan.  Fold i is predicted by the line through all other folds; the lines
+    are constants of the projection.  Predictions are rounded to 9 decimals.
     """
-    fits = []
-    for m, x in enumerate(models.values()):
-        for i in range(k):
-            target = F.when(F.col("fold") != i, F.col(y))
-            fits += [
-                F.regr_slope(target, F.col(x)).alias(f"__slope_{m}_{i}"),
-                F.regr_intercept(target, F.col(x)).alias(f"__base_{m}_{i}"),
-            ]
+    lines = fit_lines(df, models, y, k)
     held_out = F.col("fold") + 1
     scored = []
-    for m, (name, x) in enumerate(models.items()):
-        slope = F.element_at(F.array(*[F.col(f"__slope_{m}_{i}") for i in range(k)]), held_out)
-        base = F.element_at(F.array(*[F.col(f"__base_{m}_{i}") for i in range(k)]), held_out)
+    for name, x in models.items():
+        base = F.element_at(F.array(*[F.lit(b) for b, _ in lines[name]]), held_out)
+        slope = F.element_at(F.array(*[F.lit(s) for _, s in lines[name]]), held_out)
         pred = settle(base + slope * F.col(x))
         scored.append(F.struct(F.lit(name).alias("model"), pred.alias("duration_pred")))
-    rows = attach_row(df, df.agg(*fits)).select(
+    rows = df.select(
         *keep,
         "fold",
         F.col(y).cast("double").alias("duration_true"),
-        F.explode(F.array(*scored)).alias("__m"),
+        (scored[0] if len(scored) == 1 else F.explode(F.array(*scored))).alias("__m"),
     )
     return rows.select(*keep, "__m.model", "fold", "duration_true", "__m.duration_pred")

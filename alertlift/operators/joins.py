@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +21,26 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Evaluate a statistics table once and broadcast it if it is small.
+def fetch_bounded(
+    small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
+) -> tuple[DataFrame, pa.Table | None]:
+    """Evaluate a statistics table once, if it is small.
 
-    Never more than ``max_rows + 1`` rows are fetched.  Up to ``max_rows`` the
-    rows become a local table with a broadcast hint; beyond that the table is
-    returned as it was, for a shuffled join whose skewed partitions adaptive
-    execution splits.
+    Never more than ``max_rows + 1`` rows are fetched.  Up to ``max_rows`` they
+    come back as a local table with a broadcast hint, next to the rows
+    themselves; beyond that the table is returned as it was, for a shuffled
+    join whose skewed partitions adaptive execution splits.
     """
     fetched = small.limit(max_rows + 1).toArrow()
     if fetched.num_rows > max_rows:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(fetched, small.schema))
+        return small, None
+    local = small.sparkSession.createDataFrame(fetched, small.schema)
+    return F.broadcast(local), fetched
+
+
+def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A statistics table, broadcast if its size was found to allow it."""
+    return fetch_bounded(small, max_rows)[0]
 
 
 def attach(

@@ -13,6 +13,10 @@ number:
 The sketch steers the slicing only.  Should it miss, the wanted rank lies in
 the slice below or above and step 3 reads that one, so the result is exact
 either way.
+
+The sketch also counts.  When it shows that no group has more than a million
+values, one buffer per group is bounded by that number and the built-in
+``percentile`` finishes the work in a single pass.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlift.operators.joins import attach
+from alertlift.operators.joins import fetch_bounded, join_null_safe
 
+DIRECT_ROWS = 1_000_000
 SKETCH_SIZE = 1024
 MARGIN = 0.01
 SLICES = 1024
@@ -73,6 +78,7 @@ def _brackets(
 
     return merged.select(
         *keys,
+        F.kll_sketch_get_n_double("sketch").alias("n"),
         _per_target(targets, lambda p: at(p - MARGIN)).alias("low"),
         _per_target(targets, lambda p: at(p + MARGIN)).alias("high"),
     )
@@ -91,70 +97,96 @@ def _slice() -> Column:
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    targets: Mapping[str, tuple[str, float]],
-    by: Sequence[str] = (),
-    neighbours: bool = False,
-) -> DataFrame:
-    """One row per group with linearly interpolated quantiles.
+def _holds(rank: str) -> Column:
+    """Whether a counted row covers a zero-based rank of its group."""
+    return (F.col("below") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
 
-    ``targets`` maps an output name to ``(column, probability)``.  NULL values
-    are skipped; a group without any value is absent from the result.
-    ``neighbours=True`` returns the two values around each quantile, as
-    ``<name>_low`` and ``<name>_high``, instead of interpolating.  ``df`` is
-    read three times, so hand in a scan (see ``sources.stage``) if it is
-    costly to compute.
-    """
-    by = list(by)
-    keys = [*by, "target"]
-    long = _melt(df, targets, by)
 
-    sliced = attach(long, _brackets(long, targets, keys), keys).select(
-        *keys, "value", _slice().alias("slice")
+def _direct(
+    df: DataFrame, targets: Mapping[str, tuple[str, float]], by: Sequence[str]
+) -> DataFrame:
+    columns = sorted({column for column, _ in targets.values()})
+    some_value = F.coalesce(*[F.col(c).cast("double") for c in columns]).isNotNull()
+    return (
+        df.where(some_value)
+        .groupBy(*by)
+        .agg(*[F.percentile(F.col(c).cast("double"), p).alias(t) for t, (c, p) in targets.items()])
     )
 
-    in_order = Window.partitionBy(*keys).orderBy("slice")
+
+def _picks(
+    sliced: DataFrame, targets: Mapping[str, tuple[str, float]], keys: Sequence[str]
+) -> DataFrame:
+    """The one or two slices per group and target that hold its ranks."""
+    group = Window.partitionBy(*keys)
+    running = F.sum("rows").over(group.orderBy("slice"))
     position = (F.col("n") - 1) * _per_target(targets, F.lit)
-    holds_low = (F.col("below") <= F.col("low_rank")) & (F.col("low_rank") < F.col("upto"))
-    holds_high = (F.col("below") <= F.col("high_rank")) & (F.col("high_rank") < F.col("upto"))
-    picks = (
+    return (
         sliced.groupBy(*keys, "slice")
         .agg(F.count("*").alias("rows"))
-        .select(
-            *keys,
-            "slice",
-            F.sum("rows").over(Window.partitionBy(*keys)).alias("n"),
-            F.sum("rows").over(in_order).alias("upto"),
-            (F.sum("rows").over(in_order) - F.col("rows")).alias("below"),
-        )
-        .withColumn("position", position)
+        .withColumns({"n": F.sum("rows").over(group), "upto": running})
+        .withColumns({"below": F.col("upto") - F.col("rows"), "position": position})
         .withColumns(
             {
                 "low_rank": F.floor("position").cast("bigint"),
                 "high_rank": F.ceil("position").cast("bigint"),
             }
         )
-        .where(holds_low | holds_high)
+        .where(_holds("low_rank") | _holds("high_rank"))
         .select(*keys, "slice", "below", "position", "low_rank", "high_rank")
     )
 
-    carried = ["slice", "below", "position", "low_rank", "high_rank"]
-    values = (
-        attach(sliced, picks, [*keys, "slice"])
-        .groupBy(*keys, *carried, "value")
+
+def _ranked(picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values of the picked slices, counted, with the ranks they cover."""
+    carried = ["below", "position", "low_rank", "high_rank"]
+    in_slice = Window.partitionBy(*keys, "slice").orderBy("value")
+    return (
+        picked.groupBy(*keys, "slice", *carried, "value")
         .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.col("below") + F.sum("rows").over(in_slice))
+        .withColumn("below", F.col("upto") - F.col("rows"))
+    )
+
+
+def exact_quantiles(
+    df: DataFrame,
+    targets: Mapping[str, tuple[str, float]],
+    by: Sequence[str] = (),
+    neighbours: bool = False,
+    direct_rows: int = DIRECT_ROWS,
+) -> DataFrame:
+    """One row per group with linearly interpolated quantiles.
+
+    ``targets`` maps an output name to ``(column, probability)``.  NULL values
+    are skipped; a group without any value is absent from the result.
+    ``neighbours=True`` returns the two values around each quantile, as
+    ``<name>_low`` and ``<name>_high``, instead of interpolating.
+
+    ``df`` is read two or three times, so hand in a scan (see
+    ``sources.stage``) if it is costly to compute.  ``direct_rows`` is the
+    largest group whose values may meet in one buffer.
+    """
+    by = list(by)
+    keys = [*by, "target"]
+    long = _melt(df, targets, by)
+    brackets, fetched = fetch_bounded(_brackets(long, targets, keys))
+    if not neighbours and fetched is not None:
+        largest = max(fetched.column("n").to_pylist(), default=0)
+        if largest <= direct_rows:
+            return _direct(df, targets, by)
+
+    sliced = join_null_safe(long, brackets.drop("n"), keys).select(
+        *keys, "value", _slice().alias("slice")
     )
-    by_value = Window.partitionBy(*keys, "slice").orderBy("value")
-    ranked = values.withColumn(
-        "upto", F.col("below") + F.sum("rows").over(by_value)
-    ).withColumn("below", F.col("upto") - F.col("rows"))
+    picks, _ = fetch_bounded(_picks(sliced, targets, keys))
+    ranked = _ranked(join_null_safe(sliced, picks, [*keys, "slice"]), keys)
 
     outputs = []
     for name in targets:
         mine = F.col("target") == name
-        low = F.max(F.when(mine & holds_low, F.col("value")))
-        high = F.max(F.when(mine & holds_high, F.col("value")))
+        low = F.max(F.when(mine & _holds("low_rank"), F.col("value")))
+        high = F.max(F.when(mine & _holds("high_rank"), F.col("value")))
         if neighbours:
             outputs += [low.alias(f"{name}_low"), high.alias(f"{name}_high")]
             continue

@@ -289,7 +289,7 @@ def preds_with_airport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.gains(decision.with_sigma(stage(views.line_predictions(spark, sf_dir))))
+    return decision.gains(decision.with_sigma(views.line_predictions(spark, sf_dir)))
 
 
 @query("residual_sigma")
@@ -301,7 +301,7 @@ def residual_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prob_at_minute")
 def prob_at_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decision.probability_matrix(stage(views.line_predictions(spark, sf_dir)))
+    rows = decision.probability_matrix(views.line_predictions(spark, sf_dir))
     return rows.select("alert_id", "minute", *rounded("p_over"))
 
 
@@ -330,7 +330,7 @@ def gain_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kpis(spark: SparkSession, sf_dir: str, sigma_scope: str) -> DataFrame:
     return decision.kpi_panel(
-        stage(views.line_predictions(spark, sf_dir)), sigma_scope=sigma_scope
+        views.line_predictions(spark, sf_dir), sigma_scope=sigma_scope
     )
 
 
@@ -367,18 +367,18 @@ def gain_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("confidence_table")
 def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.confidence_table(stage(views.line_predictions(spark, sf_dir)))
+    return decision.confidence_table(views.line_predictions(spark, sf_dir))
 
 
 @query("policy_curve")
 def policy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = decision.policy_curve(stage(views.line_predictions(spark, sf_dir)))
+    curve = decision.policy_curve(views.line_predictions(spark, sf_dir))
     return curve.select(*SCOPE, "pct", *rounded("median_minute"))
 
 
 @query("median_prob_curve")
 def median_prob_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = decision.median_probability_curve(stage(views.line_predictions(spark, sf_dir)))
+    curve = decision.median_probability_curve(views.line_predictions(spark, sf_dir))
     return curve.select("minute", *rounded("median_p_over"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlift.operators.folds import assign_folds, oof_lines
+from alertlift.sources.staging import stage
 
 # Model name -> its one feature.
 LINES = {
@@ -109,8 +110,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, models: dict[str, str] = LINES) -> DataFrame:
-    """Out-of-fold predictions of the one-feature lines, long by model."""
-    return oof_lines(labelled(spark, sf_dir), models)
+    """Out-of-fold predictions of the one-feature lines, long by model.
+
+    The few columns needed are staged once; fit, prediction and every later
+    pass over the result read that table.
+    """
+    rows = labelled(spark, sf_dir).select(
+        "alert_id", "airport", "fold", "label", *models.values()
+    )
+    return oof_lines(stage(rows), models)
 
 
 def line_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
