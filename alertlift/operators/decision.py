@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from alertlift.functions.normal import normal_cdf, z_score_of
 from alertlift.functions.scalar import settle
-from alertlift.operators.joins import attach, attach_row, join_null_safe, with_scopes
+from alertlift.operators.joins import attach, join_null_safe, with_scopes
 from alertlift.operators.quantiles import exact_quantiles
 
 # Horizon, fixed rule, fallback spread and confidence levels.
@@ -46,9 +46,15 @@ def residual_sigma(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def with_sigma(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sigma on every row: of the whole table, or of its group."""
+    """Sigma on every row: of the whole table, or of its group.
+
+    Evaluated once, here: the passes that follow see a constant or a small
+    broadcast table and do not aggregate the residuals again.
+    """
     stats = residual_sigma(preds, by)
-    return attach(preds, stats, by) if by else attach_row(preds, stats)
+    if by:
+        return attach(preds, stats, by)
+    return preds.withColumn("sigma", F.lit(stats.first()["sigma"]))
 
 
 def lift_minute(
@@ -220,12 +226,11 @@ def median_probability_curve(preds: DataFrame) -> DataFrame:
     statistics replace 121 medians.
     """
     middle = exact_quantiles(preds, {"pred": ("duration_pred", 0.5)}, neighbours=True)
-    rows = attach_row(middle, residual_sigma(preds)).withColumn(
-        "minute", F.explode(F.sequence(F.lit(0), F.lit(LAST_MINUTE)))
-    )
+    sigma = F.lit(residual_sigma(preds).first()["sigma"])
+    rows = middle.withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(LAST_MINUTE))))
     t = F.col("minute").cast("double")
-    at_lower = normal_cdf((t - F.col("pred_low")) / F.col("sigma"))
-    at_upper = normal_cdf((t - F.col("pred_high")) / F.col("sigma"))
+    at_lower = normal_cdf((t - F.col("pred_low")) / sigma)
+    at_upper = normal_cdf((t - F.col("pred_high")) / sigma)
     return rows.select("minute", ((at_lower + at_upper) / 2).alias("median_p_over"))
 
 

@@ -38,24 +38,23 @@ def group_folds(df: DataFrame, group: str, k: int = FOLDS, name: str = "fold") -
         .withColumn("bucket", F.substring(digest, 1, DIGEST_DIGITS))
     )
     buckets = sizes.groupBy("size", "bucket").agg(F.count("*").alias("groups"))
-    in_class = Window.partitionBy("size").orderBy("bucket")
-    before_bucket = buckets.select(
-        "size",
-        "bucket",
-        (F.sum("groups").over(in_class) - F.col("groups")).alias("in_class"),
-    )
     by_size = Window.orderBy(F.desc("size"))
-    before_class = (
+    classes = (
         buckets.groupBy("size")
         .agg(F.sum("groups").alias("groups"))
         .select("size", (F.sum("groups").over(by_size) - F.col("groups")).alias("ahead"))
     )
+    in_class = Window.partitionBy("size").orderBy("bucket")
+    offsets = (
+        buckets.withColumn("before", F.sum("groups").over(in_class) - F.col("groups"))
+        .join(classes, "size")
+        .select("size", "bucket", (F.col("ahead") + F.col("before")).alias("offset"))
+    )
     in_bucket = Window.partitionBy("size", "bucket").orderBy(group)
-    rank = F.col("ahead") + F.col("in_class") + F.col("in_bucket") - 1
+    rank = F.col("offset") + F.col("in_bucket") - 1
     return (
         sizes.withColumn("in_bucket", F.row_number().over(in_bucket))
-        .join(before_bucket, ["size", "bucket"])
-        .join(before_class, "size")
+        .join(offsets, ["size", "bucket"])
         .select(group, "size", (rank % k).cast("int").alias(name))
     )
 

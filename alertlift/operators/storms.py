@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -53,14 +53,15 @@ def fit_kmeans(
     k: int = TYPES,
     seed: int = SEED,
     restarts: int = RESTARTS,
-    parallelism: int = 4,
+    parallelism: int = RESTARTS,
     name: str = "z",
 ) -> KMeansModel:
     """Best of several starts by training cost; the lowest seed wins a tie.
 
-    ``vectors`` should be a staged or cached table: every start reads it until
-    the centres rest.
+    The starts run side by side on one cached copy of the vectors, which may
+    spill to disk; left to itself, each fit would cache its own.
     """
+    points = vectors.select(name).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(offset: int) -> KMeansModel:
         return KMeans(
@@ -71,14 +72,15 @@ def fit_kmeans(
             initMode="k-means||",
             maxIter=MAX_ITERATIONS,
             tol=CENTRE_SHIFT,
-        ).fit(vectors)
+        ).fit(points)
 
     pool = ThreadPool(max(1, min(parallelism, restarts)))
     try:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(run), range(restarts))
+        return min(models, key=lambda m: m.summary.trainingCost)
     finally:
         pool.close()
-    return min(models, key=lambda m: m.summary.trainingCost)
+        points.unpersist()
 
 
 def size_order(model: KMeansModel) -> list[int]:
@@ -126,7 +128,7 @@ def type_storms(
     k: int = TYPES,
     seed: int = SEED,
     restarts: int = RESTARTS,
-    parallelism: int = 4,
+    parallelism: int = RESTARTS,
     columns: Sequence[str] = STORM_FEATURES,
 ) -> StormTypes:
     """Cluster and project all alerts that have the seven features."""

@@ -100,25 +100,32 @@ def forest(**params: object) -> Estimator:
         "maxDepth": DEPTH_LIMIT,
         "featureSubsetStrategy": "all",
         "maxBins": 128,
+        "maxMemoryInMB": TREE_MEMORY_MB,
         **params,
     }
     return RandomForestRegressor(
         featuresCol=FEATURES,
         labelCol=LABEL,
         seed=SEED,
-        maxMemoryInMB=TREE_MEMORY_MB,
         cacheNodeIds=True,
         **chosen,
     )
 
 
 def boosted(**params: object) -> Estimator:
-    chosen = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 3, "maxBins": 128, **params}
+    """Gradient-boosted trees; ``lossType="absolute"`` follows the median."""
+    chosen = {
+        "maxIter": 500,
+        "stepSize": 0.05,
+        "maxDepth": 3,
+        "maxBins": 128,
+        "maxMemoryInMB": TREE_MEMORY_MB,
+        **params,
+    }
     return GBTRegressor(
         featuresCol=FEATURES,
         labelCol=LABEL,
         seed=SEED,
-        maxMemoryInMB=TREE_MEMORY_MB,
         cacheNodeIds=True,
         **chosen,
     )

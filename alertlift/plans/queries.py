@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from alertlift.functions.scalar import r6
 from alertlift.operators import decision, evaluate, features, folds, footprint, storms, trends
 from alertlift.operators import training as tr
 from alertlift.plans import views
+from alertlift.plans.benchmark import run_benchmark
 from alertlift.sources import schema
 from alertlift.sources.reader import load_alerts
 from alertlift.sources.staging import stage, staging_root
@@ -36,8 +38,6 @@ def rounded(*columns: str) -> list[Column]:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{staging_root(spark)}/alertlift-tables/{uuid.uuid4().hex}/{name}"
 
 
@@ -485,3 +485,12 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tr.refit(rows, small_forest(), views.NUMERIC, [GROUP])
     table = evaluate.top_features(tr.importance(model, rows))
     return table.select("feature", *rounded("importance"))
+
+
+@query("model_benchmark")
+def model_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models compared, with the report columns of a full run."""
+    rows = training_rows(spark, sf_dir)
+    specs = [tr.main_models()[0], small_forest()]
+    result = run_benchmark(rows, specs, views.NUMERIC, [GROUP], _scratch(spark, "benchmark"))
+    return result.report.select("model", *rounded("mae_min", "rmse_min", "runtime_s"))
