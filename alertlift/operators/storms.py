@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +23,7 @@ SEED = 42
 RESTARTS = 10
 MAX_ITERATIONS = 300
 CENTRE_SHIFT = 1e-4
+PARALLEL_STARTS = 5
 
 
 @dataclass
@@ -53,15 +54,16 @@ def fit_kmeans(
     k: int = TYPES,
     seed: int = SEED,
     restarts: int = RESTARTS,
-    parallelism: int = RESTARTS,
+    parallelism: int = PARALLEL_STARTS,
     name: str = "z",
 ) -> KMeansModel:
     """Best of several starts by training cost; the lowest seed wins a tie.
 
-    The starts run side by side on one cached copy of the vectors, which may
-    spill to disk; left to itself, each fit would cache its own.
+    ``vectors`` should be a staged table.  Starts run side by side; each fit
+    caches its own copy of the vectors while it runs (a shared cache of rows
+    would be decoded again in every iteration), so ``parallelism`` bounds the
+    copies alive at a time.
     """
-    points = vectors.select(name).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(offset: int) -> KMeansModel:
         return KMeans(
@@ -72,15 +74,14 @@ def fit_kmeans(
             initMode="k-means||",
             maxIter=MAX_ITERATIONS,
             tol=CENTRE_SHIFT,
-        ).fit(points)
+        ).fit(vectors)
 
     pool = ThreadPool(max(1, min(parallelism, restarts)))
     try:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(run), range(restarts))
-        return min(models, key=lambda m: m.summary.trainingCost)
     finally:
         pool.close()
-        points.unpersist()
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def size_order(model: KMeansModel) -> list[int]:
@@ -128,7 +129,7 @@ def type_storms(
     k: int = TYPES,
     seed: int = SEED,
     restarts: int = RESTARTS,
-    parallelism: int = RESTARTS,
+    parallelism: int = PARALLEL_STARTS,
     columns: Sequence[str] = STORM_FEATURES,
 ) -> StormTypes:
     """Cluster and project all alerts that have the seven features."""

@@ -47,7 +47,9 @@ def storm_type_share(df: DataFrame, types: Sequence[int], digits: int | None = 2
     known = df.dropna(subset=["airport", "storm_type"])
     counts = known.groupBy("airport").pivot("storm_type", list(types)).count()
     names = [str(t) for t in types]
-    total = sum((F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in names), F.lit(0))
+    total = F.nullif(
+        sum((F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in names), F.lit(0)), F.lit(0)
+    )
     shares = []
     for n in names:
         share = F.coalesce(F.col(f"`{n}`"), F.lit(0)) * F.lit(100.0) / total

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from alertlift.plans import views
 from alertlift.plans.benchmark import run_benchmark
 from alertlift.sources import schema
 from alertlift.sources.reader import load_alerts
-from alertlift.sources.staging import stage, staging_root
+from alertlift.sources.staging import scratch_path, stage
 from alertlift.sources.writer import write_predictions, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +36,6 @@ def rounded(*columns: str) -> list[Column]:
     return [r6(F.col(c)).alias(c) for c in columns]
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/alertlift-tables/{uuid.uuid4().hex}/{name}"
-
-
 # Scans and column choice ---------------------------------------------------
 
 
@@ -48,7 +43,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts through a headered CSV file and the first-existing-source rule."""
     rows = views.alerts(spark, sf_dir)
-    path = write_table(rows, _scratch(spark, "alerts"), "csv")
+    path = write_table(rows, scratch_path(spark, "alerts"), "csv")
     read = load_alerts(spark, [f"{path}-missing", path], rows.schema)
     plain = [c for c in read.columns if c not in views.NUMERIC and c != "start_time"]
     doubles = [c for c in views.NUMERIC if c != "start_hour"]
@@ -266,7 +261,7 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("best_predictions")
 def best_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the predictions table on disk, one folder per model."""
-    path = write_predictions(views.predictions(spark, sf_dir), _scratch(spark, "predictions"))
+    path = write_predictions(views.predictions(spark, sf_dir), scratch_path(spark, "predictions"))
     best = evaluate.best_predictions(spark.read.parquet(path), list(views.LINES))
     return best.select("alert_id", "model", *rounded("duration_true", "duration_pred"))
 
@@ -492,5 +487,5 @@ def model_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models compared, with the report columns of a full run."""
     rows = training_rows(spark, sf_dir)
     specs = [tr.main_models()[0], small_forest()]
-    result = run_benchmark(rows, specs, views.NUMERIC, [GROUP], _scratch(spark, "benchmark"))
+    result = run_benchmark(rows, specs, views.NUMERIC, [GROUP], scratch_path(spark, "benchmark"))
     return result.report.select("model", *rounded("mae_min", "rmse_min", "runtime_s"))

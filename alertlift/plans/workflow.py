@@ -83,6 +83,29 @@ def model_stage(
     return result
 
 
+def wide_comparison(
+    alerts: DataFrame,
+    out: str,
+    specs: Sequence[tr.ModelSpec] | None = None,
+    k: int = 5,
+    key: str = "alert_id",
+) -> Benchmark:
+    """The older comparison: allow-listed features plus detected clustering
+    columns, five folds, more models.  Its predictions are out of fold, too."""
+    numeric, categorical = schema.with_cluster_columns(alerts)
+    target = schema.target_column(alerts.columns)
+    label = F.col(target).cast("double").alias("label")
+    columns = dict.fromkeys([key, "airport", *numeric, *categorical])
+    rows = schema.cast_categoricals(alerts.select(*columns, label), categorical)
+    folded = stage(assign_folds(rows, key, k))
+    result = run_benchmark(
+        folded, specs or tr.wide_models(), numeric, categorical, out, k, key, run_id="wide"
+    )
+    write_table(result.report, f"{out}/comparison", "csv")
+    write_table(result.best_predictions, f"{out}/best_predictions")
+    return result
+
+
 def trend_stage(alerts: DataFrame, out: str) -> None:
     write_table(trends.airport_trends(alerts), f"{out}/airport_trends", "csv")
     if "storm_type" in alerts.columns:

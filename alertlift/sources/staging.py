@@ -40,10 +40,15 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/alertlift-staged/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path below the session's part of the shared folder."""
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain scan."""
     spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

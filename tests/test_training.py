@@ -141,3 +141,13 @@ def test_whole_workflow(spark, sf_dir, tmp_path):
     assert spark.read.csv(f"{out}/kpi_sigma_group", header=True).count() == 6
     assert spark.read.csv(f"{out}/footprint", header=True).count() == 4
     assert spark.read.csv(f"{out}/importance", header=True).count() == 20
+
+
+def test_wide_comparison_takes_clustering_columns(spark, sf_dir, tmp_path):
+    alerts = views.alerts(spark, sf_dir).withColumn("cluster_score", F.col("prox_ratio"))
+    result = workflow.wide_comparison(alerts, str(tmp_path), [SMALL], k=5)
+    assert result.predictions.select("fold").distinct().count() == 5
+    assert result.predictions.count() == alerts.count()
+    found = {r["feature"] for r in result.importance.collect()}
+    assert "cluster_score" in found and "ic_ratio" not in found
+    assert {f for f in found if f.startswith("storm_type_")} and {f for f in found if f.startswith("airport_")}
