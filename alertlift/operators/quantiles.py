@@ -21,13 +21,14 @@ values, one buffer per group is bounded by that number and the built-in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlift.operators.joins import fetch_bounded, join_null_safe
+from alertlift.operators.joins import attach_row, bounded, fetch_bounded, join_null_safe
 
 DIRECT_ROWS = 1_000_000
 SKETCH_SIZE = 1024
@@ -35,64 +36,109 @@ MARGIN = 0.01
 SLICES = 1024
 MERGE_LANES = 64
 
-
-def _per_target(
-    targets: Mapping[str, tuple[str, float]], pick: Callable[[float], Column]
-) -> Column:
-    """A column chosen by the target name of the row."""
-    chain = reduce(
-        lambda acc, item: acc.when(F.col("target") == item[0], pick(item[1][1])),
-        targets.items(),
-        F,
-    )
-    return chain.otherwise(F.lit(None))
+Targets = Mapping[str, tuple[str, float]]
 
 
-def _melt(
-    df: DataFrame, targets: Mapping[str, tuple[str, float]], by: Sequence[str]
+def exact_quantiles(
+    df: DataFrame,
+    targets: Targets,
+    by: Sequence[str] = (),
+    neighbours: bool = False,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
-    pairs = [
-        F.struct(F.lit(name).alias("target"), F.col(column).cast("double").alias("value"))
-        for name, (column, _) in targets.items()
-    ]
-    if len(pairs) == 1:
-        long = df.select(*by, pairs[0].alias("pair"))
-    else:
-        long = df.select(*by, F.explode(F.array(*pairs)).alias("pair"))
-    return long.select(*by, "pair.target", "pair.value").where("value is not null")
+    """One row per group with linearly interpolated quantiles.
 
+    ``targets`` maps an output name to ``(column, probability)``.  NULL values
+    are skipped; a group without any value is absent from the result.
+    ``neighbours=True`` returns the two values around each quantile, as
+    ``<name>_low`` and ``<name>_high``, instead of interpolating.
 
-def _brackets(
-    long: DataFrame, targets: Mapping[str, tuple[str, float]], keys: Sequence[str]
-) -> DataFrame:
-    # Two merge levels: partial sketches of one group first meet in 64 lanes.
-    lanes = long.groupBy(*keys, (F.spark_partition_id() % MERGE_LANES).alias("lane")).agg(
-        F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("sketch")
-    )
-    merged = lanes.groupBy(*keys).agg(
-        F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch")
+    ``df`` is read two or three times, so hand in a scan (see
+    ``sources.stage``) if it is costly to compute.  ``direct_rows`` is the
+    largest group whose values may meet in one buffer.
+    """
+    by = list(by)
+    spread = range(len(targets))
+    flat = df.select(
+        *by,
+        *[F.col(c).cast("double").alias(f"__v{i}") for i, (c, _) in enumerate(targets.values())],
+    ).where(F.coalesce(*[F.col(f"__v{i}") for i in spread]).isNotNull())
+
+    stats, fetched = fetch_bounded(_brackets(flat, targets, by))
+    if fetched is not None and not neighbours:
+        sizes = [n for i in spread for n in fetched.column(f"__n{i}").to_pylist()]
+        if max(sizes, default=0) <= direct_rows:
+            return _direct(flat, targets, by)
+
+    brackets = _numbered(stats, fetched, by)
+    joined = join_null_safe(flat, brackets, by) if by else attach_row(flat, brackets)
+    sliced = joined.select(
+        "gid", *[f"__v{i}" for i in spread], *[_slice(i).alias(f"__s{i}") for i in spread]
     )
+    picks = bounded(_picks(sliced, targets))
+    ranked = _ranked(sliced, picks, len(targets))
 
-    def at(p: float) -> Column:
-        return F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, p))))
+    outputs = []
+    for i, name in enumerate(targets):
+        mine = F.col("target") == i
+        low = F.max(F.when(mine & _holds("low_rank"), F.col("value")))
+        high = F.max(F.when(mine & _holds("high_rank"), F.col("value")))
+        if neighbours:
+            outputs += [low.alias(f"{name}_low"), high.alias(f"{name}_high")]
+            continue
+        share = F.max(F.when(mine, F.col("position") - F.col("low_rank")))
+        outputs.append((low + (high - low) * share).alias(name))
+    found = ranked.groupBy("gid").agg(*outputs)
+    return found.join(brackets.select("gid", *by), "gid").select(*by, *found.columns[1:])
 
-    return merged.select(
-        *keys,
-        F.kll_sketch_get_n_double("sketch").alias("n"),
-        _per_target(targets, lambda p: at(p - MARGIN)).alias("low"),
-        _per_target(targets, lambda p: at(p + MARGIN)).alias("high"),
-    )
+
+def _direct(flat: DataFrame, targets: Targets, by: Sequence[str]) -> DataFrame:
+    wanted = [
+        F.percentile(f"__v{i}", p).alias(name) for i, (name, (_, p)) in enumerate(targets.items())
+    ]
+    return flat.groupBy(*by).agg(*wanted)
 
 
-def _slice() -> Column:
-    """Slice number, never decreasing in the value."""
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
-    inside = F.least(F.lit(SLICES - 1), F.floor(share * SLICES))
+def _brackets(flat: DataFrame, targets: Targets, by: Sequence[str]) -> DataFrame:
+    """Per group and target: number of values and a bracket of the quantile.
+
+    Two merge levels: the sketches of one group first meet in 64 lanes.
+    """
+    size = F.lit(SKETCH_SIZE)
+    names = [f"__v{i}" for i in range(len(targets))]
+    lane = (F.spark_partition_id() % MERGE_LANES).alias("__lane")
+    lanes = flat.groupBy(*by, lane).agg(
+        *[F.kll_sketch_agg_double(v, size).alias(v) for v in names]
+    )
+    merged = lanes.groupBy(*by).agg(*[F.kll_merge_agg_double(v, size).alias(v) for v in names])
+    columns = []
+    for i, (_, p) in enumerate(targets.values()):
+        n = F.kll_sketch_get_n_double(f"__v{i}")
+        columns.append(n.alias(f"__n{i}"))
+        for bound, at in (("low", max(0.0, p - MARGIN)), ("high", min(1.0, p + MARGIN))):
+            value = F.kll_sketch_get_quantile_double(f"__v{i}", F.lit(at))
+            columns.append(F.when(n > 0, value).alias(f"__{bound}{i}"))
+    return merged.select(*by, *columns)
+
+
+def _numbered(stats: DataFrame, fetched: pa.Table | None, by: Sequence[str]) -> DataFrame:
+    """Brackets with a short group key ``gid`` for the passes to come: a number
+    if the groups were fetched, the group itself if there are too many."""
+    if fetched is None:
+        return stats.withColumn("gid", F.struct(*by))
+    numbers = pa.array(range(fetched.num_rows), pa.int32())
+    spark = stats.sparkSession
+    return F.broadcast(spark.createDataFrame(fetched.append_column("gid", numbers)))
+
+
+def _slice(i: int) -> Column:
+    """Slice number of one target's value, never decreasing in the value."""
+    value, low, high = F.col(f"__v{i}"), F.col(f"__low{i}"), F.col(f"__high{i}")
+    inside = F.least(F.lit(SLICES - 1), F.floor((value - low) / (high - low) * SLICES))
     return (
-        F.when(F.col("value") < F.col("low"), F.lit(0))
-        .when(F.col("value") > F.col("high"), F.lit(SLICES + 1))
-        .when(F.col("low") == F.col("high"), F.lit(1))
-        .otherwise(1 + inside)
+        F.when(value < low, F.lit(0))
+        .when(value > high, F.lit(SLICES + 1))
+        .when(value.isNotNull(), F.when(low == high, F.lit(1)).otherwise(1 + inside))
         .cast("int")
     )
 
@@ -102,30 +148,33 @@ def _holds(rank: str) -> Column:
     return (F.col("below") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
 
 
-def _direct(
-    df: DataFrame, targets: Mapping[str, tuple[str, float]], by: Sequence[str]
-) -> DataFrame:
-    columns = sorted({column for column, _ in targets.values()})
-    some_value = F.coalesce(*[F.col(c).cast("double") for c in columns]).isNotNull()
-    return (
-        df.where(some_value)
-        .groupBy(*by)
-        .agg(*[F.percentile(F.col(c).cast("double"), p).alias(t) for t, (c, p) in targets.items()])
-    )
-
-
-def _picks(
-    sliced: DataFrame, targets: Mapping[str, tuple[str, float]], keys: Sequence[str]
-) -> DataFrame:
+def _picks(sliced: DataFrame, targets: Targets) -> DataFrame:
     """The one or two slices per group and target that hold its ranks."""
-    group = Window.partitionBy(*keys)
-    running = F.sum("rows").over(group.orderBy("slice"))
-    position = (F.col("n") - 1) * _per_target(targets, F.lit)
+    pairs = [
+        F.struct(F.lit(i).alias("target"), F.col(f"__s{i}").alias("slice"))
+        for i in range(len(targets))
+    ]
+    melted = sliced.select("gid", F.explode(F.array(*pairs)).alias("pair"))
+    group = Window.partitionBy("gid", "target")
+    probabilities = F.array(*[F.lit(float(p)) for _, p in targets.values()])
     return (
-        sliced.groupBy(*keys, "slice")
+        melted.select("gid", "pair.*")
+        .where("slice is not null")
+        .groupBy("gid", "target", "slice")
         .agg(F.count("*").alias("rows"))
-        .withColumns({"n": F.sum("rows").over(group), "upto": running})
-        .withColumns({"below": F.col("upto") - F.col("rows"), "position": position})
+        .withColumns(
+            {
+                "n": F.sum("rows").over(group),
+                "upto": F.sum("rows").over(group.orderBy("slice")),
+                "p": F.element_at(probabilities, F.col("target") + 1),
+            }
+        )
+        .withColumns(
+            {
+                "below": F.col("upto") - F.col("rows"),
+                "position": (F.col("n") - 1) * F.col("p"),
+            }
+        )
         .withColumns(
             {
                 "low_rank": F.floor("position").cast("bigint"),
@@ -133,63 +182,46 @@ def _picks(
             }
         )
         .where(_holds("low_rank") | _holds("high_rank"))
-        .select(*keys, "slice", "below", "position", "low_rank", "high_rank")
+        .select("gid", "target", "slice", "below", "position", "low_rank", "high_rank")
     )
 
 
-def _ranked(picked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Values of the picked slices, counted, with the ranks they cover."""
-    carried = ["below", "position", "low_rank", "high_rank"]
-    in_slice = Window.partitionBy(*keys, "slice").orderBy("value")
+def _ranked(sliced: DataFrame, picks: DataFrame, count: int) -> DataFrame:
+    """Values of the picked slices, counted, with the ranks they cover.
+
+    Rows of other slices leave before anything is multiplied or shuffled.  A
+    group has at most two picked slices per target: the least and the greatest.
+    """
+    bounds = []
+    for i in range(count):
+        mine = F.when(F.col("target") == i, F.col("slice"))
+        bounds += [F.min(mine).alias(f"__a{i}"), F.max(mine).alias(f"__b{i}")]
+    near = join_null_safe(sliced, bounded(picks.groupBy("gid").agg(*bounds)), ["gid"])
+    kept = [
+        F.coalesce(F.col(f"__s{i}").isin(F.col(f"__a{i}"), F.col(f"__b{i}")), F.lit(False))
+        for i in range(count)
+    ]
+    pairs = [
+        F.when(
+            kept[i],
+            F.struct(
+                F.lit(i).alias("target"),
+                F.col(f"__s{i}").alias("slice"),
+                F.col(f"__v{i}").alias("value"),
+            ),
+        )
+        for i in range(count)
+    ]
+    values = (
+        near.where(reduce(lambda a, b: a | b, kept))
+        .select("gid", F.explode(F.array(*pairs)).alias("pair"))
+        .where("pair is not null")
+        .select("gid", "pair.*")
+    )
+    in_slice = Window.partitionBy("gid", "target", "slice").orderBy("value")
+    counted = values.groupBy("gid", "target", "slice", "value").agg(F.count("*").alias("rows"))
     return (
-        picked.groupBy(*keys, "slice", *carried, "value")
-        .agg(F.count("*").alias("rows"))
+        join_null_safe(counted, picks, ["gid", "target", "slice"])
         .withColumn("upto", F.col("below") + F.sum("rows").over(in_slice))
         .withColumn("below", F.col("upto") - F.col("rows"))
     )
-
-
-def exact_quantiles(
-    df: DataFrame,
-    targets: Mapping[str, tuple[str, float]],
-    by: Sequence[str] = (),
-    neighbours: bool = False,
-    direct_rows: int = DIRECT_ROWS,
-) -> DataFrame:
-    """One row per group with linearly interpolated quantiles.
-
-    ``targets`` maps an output name to ``(column, probability)``.  NULL values
-    are skipped; a group without any value is absent from the result.
-    ``neighbours=True`` returns the two values around each quantile, as
-    ``<name>_low`` and ``<name>_high``, instead of interpolating.
-
-    ``df`` is read two or three times, so hand in a scan (see
-    ``sources.stage``) if it is costly to compute.  ``direct_rows`` is the
-    largest group whose values may meet in one buffer.
-    """
-    by = list(by)
-    keys = [*by, "target"]
-    long = _melt(df, targets, by)
-    brackets, fetched = fetch_bounded(_brackets(long, targets, keys))
-    if not neighbours and fetched is not None:
-        largest = max(fetched.column("n").to_pylist(), default=0)
-        if largest <= direct_rows:
-            return _direct(df, targets, by)
-
-    sliced = join_null_safe(long, brackets.drop("n"), keys).select(
-        *keys, "value", _slice().alias("slice")
-    )
-    picks, _ = fetch_bounded(_picks(sliced, targets, keys))
-    ranked = _ranked(join_null_safe(sliced, picks, [*keys, "slice"]), keys)
-
-    outputs = []
-    for name in targets:
-        mine = F.col("target") == name
-        low = F.max(F.when(mine & _holds("low_rank"), F.col("value")))
-        high = F.max(F.when(mine & _holds("high_rank"), F.col("value")))
-        if neighbours:
-            outputs += [low.alias(f"{name}_low"), high.alias(f"{name}_high")]
-            continue
-        share = F.max(F.when(mine, F.col("position") - F.col("low_rank")))
-        outputs.append((low + (high - low) * share).alias(name))
-    return ranked.groupBy(*by).agg(*outputs)

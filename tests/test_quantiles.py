@@ -47,7 +47,7 @@ def test_a_useless_sketch_costs_time_but_not_exactness(spark, monkeypatch):
             quantiles,
             "_brackets",
             lambda *a, low=low, high=high: real(*a).withColumns(
-                {"low": F.lit(low), "high": F.lit(high)}
+                {"__low0": F.lit(low), "__high0": F.lit(high)}
             ),
         )
         got = exact_quantiles(df, {"m": ("x", 0.5)}, ["g"], direct_rows=0).collect()
@@ -58,9 +58,9 @@ def test_a_useless_sketch_costs_time_but_not_exactness(spark, monkeypatch):
 def test_many_groups_without_broadcast(spark, monkeypatch):
     """Beyond the broadcast limit the joins shuffle; the result is the same."""
     df, rows = skewed(spark, 3_000)
-    for name in ("fetch_bounded",):
+    for name in ("fetch_bounded", "bounded"):
         real = getattr(quantiles, name)
-        monkeypatch.setattr(quantiles, name, lambda small: real(small, max_rows=2))
+        monkeypatch.setattr(quantiles, name, lambda small, real=real: real(small, max_rows=2))
     got = {r["g"]: r["m"] for r in exact_quantiles(df, {"m": ("x", 0.5)}, ["g"]).collect()}
     for g, m in got.items():
         assert m == pytest.approx(expected(rows, 1, 0.5, g), rel=1e-12)
@@ -79,6 +79,20 @@ def test_groups_without_values_are_absent(spark):
         assert [tuple(r) for r in got] == [("b", 3.0)]
 
 
+def test_a_target_without_values_is_null(spark):
+    df = spark.createDataFrame(
+        [("a", None, 1.0), ("a", None, 2.0), ("b", 3.0, 4.0)], "g string, x double, y double"
+    )
+    for direct in (0, 10):
+        out = exact_quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}, ["g"], direct_rows=direct)
+        assert sorted(tuple(r) for r in out.collect()) == [("a", None, 1.5), ("b", 3.0, 4.0)]
+
+
+def test_no_rows_at_all(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert exact_quantiles(df, {"m": ("x", 0.5)}, ["g"]).count() == 0
+
+
 def test_no_group_meets_in_one_buffer(spark):
     """The sliced way counts by value and never collects a group's values."""
     df, _ = skewed(spark, 2_000)
