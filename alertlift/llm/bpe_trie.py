@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,16 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlift.llm import textarrays as ta
-from alertlift.llm.chunks import ChunkTable, Kept
+from alertlift.llm.chunks import SETTLED, ChunkTable, Kept
 from alertlift.llm.shipping import ship
 
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Below this character the pattern's classes are the same in all versions of Unicode in use.
-SETTLED = "԰"
-
 _SHIFT = 20
 
 
@@ -142,9 +140,12 @@ class Trie:
             before = word
         return out
 
+    def words_to_bytes(self, words: list[bytes]) -> list[bytes]:
+        return [struct.pack(f"<{len(x)}I", *x) for x in self.encode_words(words)]
+
     def split(self, text: str) -> list[str]:
         """Words of a text without added tokens."""
-        if text.isascii() or max(text, default="") < SETTLED:
+        if text.isascii() or ord(max(text)) < SETTLED:
             return self._pattern.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -160,9 +161,7 @@ class Trie:
             split.append([w for p in pieces for w in ([p] if p in self.added else self.split(p))])
         new = self.words.lacking({w for s in split for w in s if w not in self.added})
         in_order = sorted(w.encode("utf-8") for w in new)
-        self.words.new.update(
-            (w.decode("utf-8"), np.array(x, "<u4").tobytes()) for w, x in zip(in_order, self.encode_words(in_order), strict=True)
-        )
+        self.words.new.update((w.decode("utf-8"), x) for w, x in zip(in_order, self.words_to_bytes(in_order), strict=True))
         known = self.words.new.__getitem__ if not self.added else lambda w, of=self.words.new: of.get(w) or self.added[w]
         return [b"".join(map(known, s)) for s in split]
 
@@ -178,25 +177,20 @@ def trie_of(path: str) -> tuple[Trie, ChunkTable]:
     """The trie of a vocabulary file and its chunks, kept by the worker process."""
     if path not in _tries:
         trie = Trie(path)
-        _tries[path] = trie, ChunkTable(trie.encode_all)
+        _tries[path] = trie, ChunkTable(trie.words_to_bytes, trie.encode_all, list(trie.added))
     return _tries[path]
 
 
-def _text_list(texts: ta.Texts) -> list[str]:
-    raw, cuts = texts.data.tobytes(), texts.offsets.tolist()
-    return [raw[a:b].decode("utf-8") for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _encode(path: str, carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = trie_of(path)
         for batch in batches:
             for texts in ta.slices(batch.column(0)):
-                ids = table.texts(_text_list(texts))
+                ids, cuts = table.texts(texts)
+                raw, at = ids.astype("<u4").tobytes(), (cuts * 4).tolist()
                 own = [c.slice(texts.first, texts.n) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*carried, "ids", "n_tokens"]
-                )
+                values = pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own, values, pa.array(np.diff(cuts))], [*carried, "ids", "n_tokens"])
 
     return run
 

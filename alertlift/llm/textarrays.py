@@ -38,8 +38,8 @@ def _mix_int(x: int) -> int:
 #: One random-looking 64-bit value for each byte, and odd factors for positions in a window.
 BYTE_VALUES = np.array([_mix_int(_GOLDEN * (i + 1) & _MASK) for i in range(256)], dtype=np.uint64)
 FACTORS = np.array([_mix_int(_GOLDEN * (i + 1001) & _MASK) | 1 for i in range(64)], dtype=np.uint64)
-_BASE = _mix_int(77) | 5
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_VARIANT_VALUES = [BYTE_VALUES, np.array([_mix_int(_GOLDEN * (i + 5001) & _MASK) for i in range(256)], dtype=np.uint64)]
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (_mix_int(77) | 5, _mix_int(78) | 5)]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -145,12 +145,16 @@ def lines(texts: Texts) -> Spans:
     return Spans(start, end, np.repeat(np.arange(texts.n), per_row + 1), before)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running sum over the slice."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, variant: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, by differences of one running sum over the slice.
+
+    Variants use other values for bytes and places; two of them together make a hash of 128 bits.
+    """
     n = len(data)
+    base, inverse = _BASES[variant]
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _power_table(_BASE, n), out=total[1:])
-    own = (total[end] - total[start]) * _power_table(_BASE_INVERSE, n + 1)[start]
+    np.cumsum(_VARIANT_VALUES[variant][data] * _power_table(base, n), out=total[1:])
+    own = (total[end] - total[start]) * _power_table(inverse, n + 1)[start]
     return mix(own + (end - start).astype(np.uint64) * np.uint64(_GOLDEN))
 
 

@@ -31,12 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertlift.llm import textarrays as ta
-from alertlift.llm.bpe_trie import _text_list, public_path
-from alertlift.llm.chunks import ChunkTable
+from alertlift.llm.bpe_trie import PATTERN, byte_characters, public_path
+from alertlift.llm.chunks import SETTLED, ChunkTable, Kept, gather
 from alertlift.llm.shipping import ship
 from alertlift.sources.staging import scratch_path
 
@@ -46,7 +47,7 @@ END_ID = 2
 FIRST_RULE = 1 << 16
 ROUNDS, LEAST, RULES_A_ROUND = 3, 24, 1 << 14
 #: Bytes of text that one part of the ordered table holds, about.
-PART_BYTES = 48 << 20
+PART_BYTES = 24 << 20
 
 _SLOTS = 1 << 17
 _tables: dict[str, ChunkTable] = {}
@@ -58,13 +59,49 @@ def _library(path: str) -> ChunkTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        library = Library(Tokenizer.from_file(path))
+        _tables[path] = ChunkTable(library.encode_words, library.encode_all, library.added)
+    return _tables[path]
 
-        def encode_all(texts: list[str]) -> list[bytes]:
-            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _tables[path] = ChunkTable(encode_all)
-    return _tables[path]
+class Library:
+    """Encodes by the tokenizers library: distinct words by its model alone, whatever holds an added token as a whole.
+
+    Its ids are the library's own; its batch call would spend most of its time on offsets and on words seen before.
+    """
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001  a tokenizers.Tokenizer
+        self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, Kept()
+        self.letters = {b: c for c, b in byte_characters().items()}
+        self.pattern = regex.compile(PATTERN)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of the pattern, given as UTF-8."""
+        tokenize, letters, pack, out = self.model.tokenize, self.letters, struct.pack, []
+        for word in words:
+            ids = [t.id for t in tokenize(word.decode("latin-1").translate(letters))]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split: list[list[str] | None] = []
+        for text in texts:
+            if any(map(text.__contains__, self.added)):
+                split.append(None)
+            elif text.isascii() or ord(max(text)) < SETTLED:
+                split.append(self.pattern.findall(text))
+            else:
+                split.append([text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        new = self.words.lacking({w for s in split if s for w in s})
+        self.words.new.update(zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True))
+        known = self.words.new.__getitem__
+        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +117,11 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         if len(sequence) < 2:
             break
         pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        ordered = np.sort(pairs)
+        if rules:
+            ordered = np.sort(pairs)
+        else:  # two ids of the vocabulary fit in 32 bits, which sort in half the time
+            packed = np.sort((sequence[:-1] << np.uint32(16)) | sequence[1:]).astype(np.uint64)
+            ordered = (packed >> np.uint64(16) << np.uint64(32)) | (packed & np.uint64(0xFFFF))
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         often = np.diff(edges)
         frequent = np.flatnonzero(often >= least)
@@ -99,11 +140,12 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         better[1:] = rank[1:] < rank[:-1]
         better[:-1] &= rank[:-1] <= rank[1:]
         places = np.flatnonzero(better & (rank < len(keys)))
-        used, number, times = np.unique(rank[places], return_inverse=True, return_counts=True)
-        worth = times >= 4
-        places = places[worth[number]]
-        number = (np.cumsum(worth) - 1)[number[worth[number]]]
-        used = used[worth]
+        taken = rank[places]
+        used = np.flatnonzero(np.bincount(taken, minlength=len(keys)) >= 4)
+        number_of = np.full(len(keys), -1, dtype=np.int64)
+        number_of[used] = np.arange(len(used))
+        number = number_of[taken]
+        places, number = places[number >= 0], number[number >= 0]
         if not len(used):
             break
         left, right = (keys[used] >> np.uint64(32)).astype(np.uint32), keys[used].astype(np.uint32)
@@ -120,17 +162,6 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
     return np.concatenate(rules), np.concatenate(expansions), sequence
 
 
-def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[at[0]:at[0]+size[0]], flat[at[1]:...], ... one after the other."""
-    total = np.cumsum(size)
-    index = np.ones(int(total[-1]) if len(total) else 0, dtype=np.int64)
-    if len(index):
-        index[0] = at[0]
-        index[total[:-1]] = at[1:] - (at[:-1] + size[:-1] - 1)
-        np.cumsum(index, out=index)
-    return flat[index]
-
-
 class Grammar:
     """Expands symbols of one shard.  All rules' expansions lie in one array, written rule by rule."""
 
@@ -157,7 +188,7 @@ class Grammar:
         # Terminals are looked up behind the expansions.
         flat = np.concatenate([self.flat, symbols[~rule].astype(np.uint32)])
         at = np.where(rule, self.at[number], len(self.flat) + np.cumsum(~rule) - 1)
-        return _gather(flat, at, np.where(rule, self.size[number], 1))
+        return gather(flat, at, np.where(rule, self.size[number], 1))
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         rule = symbols >= FIRST_RULE
@@ -182,26 +213,30 @@ _STORE = "part int, shard int, doc_ids array<{kind}>, lengths binary, rules bina
 
 
 def _shards(path: str, kind: pa.DataType, shard_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def row(part: int, shard: int, docs: list, ids: list[bytes]) -> pa.RecordBatch:
-        rules, expansions, sequence = compress(np.frombuffer(b"".join(ids), "<u4"))
+    def row(part: int, shard: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        rules, expansions, sequence = compress(np.concatenate(ids))
         binary = lambda x: pa.array([np.ascontiguousarray(x, dtype="<u4").tobytes()], pa.binary())
-        lengths = [len(x) // 4 for x in ids]
+        lengths = [len(x) for x in ids]
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([docs], pa.list_(kind)), binary(lengths),
              binary(rules), binary(expansions), binary(sequence), pa.array([sum(lengths)], pa.int64())],
             ["part", "shard", "doc_ids", "lengths", "rules", "expansions", "sequence", "n_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = _library(path), np.array([END_ID], "<u4").tobytes()
+        table = _library(path)
         docs, ids, held, shard, part = [], [], 0, 0, 0
         for batch in batches:
             for texts in ta.slices(batch.column(2)):
                 part = batch.column(0)[0].as_py()
+                found, cuts = table.texts(texts)
+                # The end id goes behind each text's ids.
+                found = np.insert(found, cuts[1:], END_ID)
+                cuts = (cuts + np.arange(texts.n + 1)).tolist()
                 names = batch.column(1).slice(texts.first, texts.n).to_pylist()
-                for name, own in zip(names, table.texts(_text_list(texts)), strict=True):
+                for name, a, b in zip(names, cuts, cuts[1:], strict=False):
                     docs.append(name)
-                    ids.append(own + end)
-                    held += len(own) // 4 + 1
+                    ids.append(found[a:b])
+                    held += b - a
                     if held >= shard_ids:
                         yield row(part, shard, docs, ids)
                         docs, ids, held, shard = [], [], 0, shard + 1
