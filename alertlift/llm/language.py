@@ -34,7 +34,7 @@ SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
 #: A text is rejected when its distance is over MARGIN times the largest distance in its language's sample ...
 MARGIN = 1.5
 #: ... but never when its cosine is at least this.
-SURE = 0.25
+SURE = 0.1
 SHARPNESS = 25.0
 
 _ORDERS = 3

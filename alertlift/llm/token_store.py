@@ -127,8 +127,12 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         frequent = np.flatnonzero(often >= least)
         if not len(frequent):
             break
-        by_count = frequent[np.argsort(-often[frequent], kind="stable")][:RULES_A_ROUND]
-        keys = ordered[edges[by_count]]
+        # Best first: by count up to a factor of two, and mixed among those, so that neighbours rarely block each other
+        # in a row.
+        keys = ordered[edges[frequent]]
+        mixed = keys * np.uint64(0xD6E8FEB86659FD93)
+        best = np.lexsort((mixed, -np.log2(often[frequent]).astype(np.int64)))[:RULES_A_ROUND]
+        keys = keys[best]
         # A table without chains: of the pairs that share a slot the most frequent stays, the others wait.
         slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
         rank_at = np.full(_SLOTS, -1, dtype=np.int32)
