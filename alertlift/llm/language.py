@@ -83,8 +83,8 @@ def has_letter(texts: ta.Texts) -> np.ndarray:
 
 
 def _small(column: pa.Array) -> Iterator[ta.Texts]:
-    """Slices whose count matrix stays near 16 MB."""
-    return ta.slices(column, max_bytes=1 << 20, max_rows=512)
+    """Slices whose count matrix stays near 6 MB."""
+    return ta.slices(column, max_rows=192)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

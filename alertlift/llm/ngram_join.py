@@ -79,17 +79,18 @@ def _summaries(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         names = ["doc_id", "size", "fp1", "fp2", "block", "counts"]
         kind = pa.int64()
         for batch in batches:
-            kind = batch.schema.field(0).type
+            kind, held = batch.schema.field(0).type, []
             for texts in ta.slices(batch.column(1)):
                 sets = shingle_sets(texts, width)
+                held.append((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.uint32))
                 prints = np.array([[ta.mix(s ^ seed).sum() for seed in _SEEDS] for s in sets], dtype=np.uint64).reshape(-1, 2)
-                places = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
-                sketch += np.bincount(places, minlength=SKETCH)
                 ids = batch.column(0).slice(texts.first, texts.n)
                 none = lambda t, n=texts.n: pa.nulls(n, t)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(p.view(np.int64)) for p in prints.T.copy()),
                      none(pa.int32()), none(pa.binary())], names)
+            if held:
+                sketch += np.bincount(np.concatenate(held), minlength=SKETCH)
         if sketch.any():
             parts = sketch.astype("<i8").reshape(-1, SKETCH_BLOCK)
             none = lambda t: pa.nulls(len(parts), t)

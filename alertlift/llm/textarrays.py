@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_ROWS = 2048
 
 _SPACE = np.zeros(256, dtype=bool)
