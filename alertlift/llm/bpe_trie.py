@@ -38,6 +38,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 20
+#: Pairs of tokens that a task remembers; beyond, it starts anew.
+PAIRS_HELD = 300_000
 
 
 def public_path(name: str = VOCABULARY) -> str:
@@ -109,6 +111,8 @@ class Trie:
                     rank = self.rank.get(x << _SHIFT | y)
                     if rank is not None and rank < x_used and rank <= y_used:
                         known = False
+            if len(self._apart) > PAIRS_HELD:
+                self._apart.clear()
             self._apart[key] = known
         return known
 

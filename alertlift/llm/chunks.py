@@ -20,7 +20,7 @@ import regex
 from alertlift.llm import textarrays as ta
 
 #: Chunks and ids that a task keeps; beyond either, the table starts anew.
-HELD, HELD_IDS = 600_000, 8_000_000
+HELD, HELD_IDS = 350_000, 4_000_000
 
 _CUT = np.zeros(256, dtype=bool)
 _CUT[[0x20, 0x0A]] = True
@@ -193,7 +193,7 @@ class ChunkTable:
 class Kept:
     """A bounded table of words: when ``new`` is full it becomes ``old``, and what is asked for again moves back."""
 
-    def __init__(self, held: int = 150_000):
+    def __init__(self, held: int = 50_000):
         self.held, self.new, self.old = held, {}, {}
 
     def lacking(self, keys: set) -> list:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlift.sources.staging import stage
+from alertlift.sources.staging import keep_staged, stage, staged_scope
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -40,15 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges``: two columns of one ordered type, either direction, repeats and loops allowed, no nulls.
     """
     a, b = edges.columns
-    now = stage(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    )
-    state = None
-    while True:
-        now = stage(_small_star(_large_star(now)))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            break
-        state = seen
+    with staged_scope(edges.sparkSession):
+        now = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
+        state = None
+        while True:
+            now = stage(_small_star(_large_star(now)))
+            seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if seen == state:
+                break
+            state = seen
+        now = keep_staged(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(roots)

@@ -156,9 +156,13 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     totals = {r["place"]: r["n"] for r in frequencies.groupBy("place").agg(F.sum("n").alias("n")).collect()}
     seen = np.array([totals.get(i, 0) for i in range(DIMENSIONS)], dtype=np.float64)
     idf = np.log((1 + totals.get(-1, 0)) / (1 + seen)) + 1
-    rates = train.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
+    # One rate for each language, as many as there will be groups of centroids here; a join would shuffle the texts.
+    rates = {r["lang"]: min(1.0, sample / r["n"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rates:
+        return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.empty(0, np.int64), np.empty(0))
+    by_lang = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = train.join(rates, "lang").filter(drawn < F.col("rate")).select("lang", "text")
+    chosen = train.filter(drawn < by_lang[F.col("lang")]).select("lang", "text")
     found = (
         chosen.mapInArrow(_sample_vectors(idf), "lang string, v binary")
         .groupBy("lang").applyInPandas(_cluster, "lang string, v binary, widest double")

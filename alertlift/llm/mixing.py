@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertlift.llm.shipping import ship
-from alertlift.sources.staging import stage
+from alertlift.sources.staging import keep_staged, stage, staged_scope
 
 #: Weights by a source's place in code point order, repeating; share of all words that the mix holds; most copies.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -125,7 +125,11 @@ def _level(rows: DataFrame, chunks: int) -> DataFrame:
 
 def mix(docs: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies * size) of every document."""
-    ship(docs.sparkSession)
+    with staged_scope(ship(docs.sparkSession)):
+        return keep_staged(_mix(docs, chunk_rows, seed))
+
+
+def _mix(docs: DataFrame, chunk_rows: int, seed: int) -> DataFrame:
     sized = stage(sizes(docs))
     wanted = stage(targets(sized).withColumn("place", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())))
     n = sized.count()

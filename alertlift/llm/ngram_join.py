@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from alertlift.llm import textarrays as ta
 from alertlift.llm.components import components
 from alertlift.llm.shipping import ship
-from alertlift.sources.staging import stage
+from alertlift.sources.staging import keep_staged, stage, staged_scope
 
 #: Shingle width, and the least similarity as a fraction, where a contract says nothing else.
 WIDTH, AT_LEAST = 5, (80, 100)
@@ -256,8 +256,17 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, at_least: tuple[int, int] = AT_LEAST, block: int = BLOCK) -> Joined:
-    """Components of documents whose shingle sets have Jaccard similarity >= at_least[0] / at_least[1].  doc_id: a whole number."""
-    spark = ship(docs.sparkSession)
+    """Components of documents whose shingle sets have Jaccard similarity >= at_least[0] / at_least[1].  doc_id: a whole number.
+
+    The result is staged; all tables on the way to it are deleted.
+    """
+    with staged_scope(ship(docs.sparkSession)):
+        found = _join(docs, width, at_least, block)
+        return Joined(keep_staged(found.rows), keep_staged(found.links))
+
+
+def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) -> Joined:
+    spark = docs.sparkSession
     num, den = at_least
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = stage(
