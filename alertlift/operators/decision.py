@@ -97,6 +97,21 @@ def gains(
     )
 
 
+def scoped_sigma(preds: DataFrame, group: str, sigma_scope: str) -> DataFrame:
+    """Each row for its group and for the whole table, with the scope's sigma.
+
+    The whole table's sigma is a constant and a group's is joined before rows
+    are doubled, so no join sees the scope that holds half of them.
+    """
+    if sigma_scope == "global":
+        return with_scopes(with_sigma(preds), group)
+    if sigma_scope != "group":
+        raise ValueError("sigma_scope is 'global' or 'group'")
+    overall = F.lit(residual_sigma(preds).first()["sigma"])
+    rows = with_scopes(with_sigma(preds, [group]), group)
+    return rows.withColumn("sigma", F.when(F.col("scope") == "global", overall).otherwise(F.col("sigma")))
+
+
 def scoped_gains(
     preds: DataFrame,
     group: str = "airport",
@@ -109,13 +124,7 @@ def scoped_gains(
     scope its own, as if the table had been filtered first.
     """
     narrow = preds.select(group, "duration_true", "duration_pred")
-    if sigma_scope == "global":
-        rows = with_scopes(with_sigma(narrow), group)
-    elif sigma_scope == "group":
-        rows = with_sigma(with_scopes(narrow, group), ["scope", group])
-    else:
-        raise ValueError("sigma_scope is 'global' or 'group'")
-    return gains(rows, confidence)
+    return gains(scoped_sigma(narrow, group, sigma_scope), confidence)
 
 
 def kpi_panel(
@@ -194,10 +203,7 @@ def policy_curve(
     """Median minute per level, group and overall; not capped at the horizon
     (121 means later) and not cut to whole minutes."""
     narrow = preds.select(group, "duration_true", "duration_pred")
-    if sigma_scope == "global":
-        rows = with_scopes(with_sigma(narrow), group)
-    else:
-        rows = with_sigma(with_scopes(narrow, group), ["scope", group])
+    rows = scoped_sigma(narrow, group, sigma_scope)
     return _median_minutes(rows, levels, LAST_MINUTE + 1, ["scope", group]).select(
         "scope", group, "pct", F.col("minute").alias("median_minute")
     )

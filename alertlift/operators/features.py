@@ -86,33 +86,24 @@ def z_scores(
     return attach_row(df, stats).withColumns(scores).drop(*helpers)
 
 
-def category_levels(df: DataFrame, column: str, max_levels: int = 10_000) -> list[str]:
-    """Distinct non-NULL values, sorted; at most ``max_levels`` may exist.
+def category_levels(df: DataFrame, column: str) -> list[str]:
+    """Distinct non-NULL values, sorted: the schema of a wide one-hot table.
 
-    One output column per level is a schema, so it must fit on the driver; a
-    column with more levels is an identifier or a timestamp, not a category.
+    One output column per level must fit on the driver by its nature; training
+    encodes levels as sparse vectors instead and has no such need.
     """
-    rows = (
-        df.select(F.col(column).cast("string").alias("level"))
-        .where("level is not null")
-        .distinct()
-        .limit(max_levels + 1)
-        .toArrow()
-    )
-    if rows.num_rows > max_levels:
-        raise ValueError(f"{column} has over {max_levels} levels; exclude it or raise max_levels")
+    level = F.col(column).cast("string").alias("level")
+    rows = df.select(level).where("level is not null").distinct().toArrow()
     return sorted(rows.column("level").to_pylist())
 
 
-def one_hot(
-    df: DataFrame, column: str, levels: Sequence[str] | None = None, max_levels: int = 10_000
-) -> DataFrame:
+def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None) -> DataFrame:
     """Replace a text column by one 0/1 column per level, none left out.
 
     NULL and levels not listed give zeros everywhere.
     """
     if levels is None:
-        levels = category_levels(df, column, max_levels)
+        levels = category_levels(df, column)
     text = F.col(column).cast("string")
     flags = [
         F.when(text.eqNullSafe(F.lit(v)), 1).otherwise(0).alias(f"{column}_{v}") for v in levels

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import hash_bucket, settle
-from alertlift.operators.joins import bounded, join_null_safe
+from alertlift.operators.joins import join_null_safe
 
 SEED = 42
 FOLDS = 3
@@ -19,8 +19,12 @@ def assign_folds(
     df: DataFrame, key: str = "alert_id", k: int = FOLDS, seed: int = SEED, name: str = "fold"
 ) -> DataFrame:
     """Shuffled k-fold: the fold follows from key and seed alone, so there is
-    no shuffle and a repartitioned table gets the same folds."""
-    return df.withColumn(name, hash_bucket(F.col(key), k, seed))
+    no shuffle and a repartitioned table gets the same folds.
+
+    A row without a key would belong to no fold and vanish; it is an error.
+    """
+    known = F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} is NULL: the row would get no fold")))
+    return df.withColumn(name, hash_bucket(known, k, seed))
 
 
 def group_folds(df: DataFrame, group: str, k: int = FOLDS, name: str = "fold") -> DataFrame:
@@ -64,7 +68,7 @@ def assign_group_folds(
 ) -> DataFrame:
     """All rows of a group share a fold; a missing group is one group."""
     folds = group_folds(df, group, k, name).select(group, name)
-    return join_null_safe(df, bounded(folds), [group])
+    return join_null_safe(df, folds, [group])
 
 
 def fit_lines(

@@ -5,12 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
-
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put a global aggregate on every row.
@@ -21,33 +18,13 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def fetch_bounded(
-    small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS
-) -> tuple[DataFrame, pa.Table | None]:
-    """Evaluate a statistics table once, if it is small.
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL equals NULL.
 
-    Never more than ``max_rows + 1`` rows are fetched.  Up to ``max_rows`` they
-    come back as a local table with a broadcast hint, next to the rows
-    themselves; beyond that the table is returned as it was, for a shuffled
-    join whose skewed partitions adaptive execution splits.
+    Spark broadcasts ``stats`` if its own byte statistics allow it, also when
+    they are known only at run time, and splits skewed partitions otherwise.
     """
-    fetched = small.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows:
-        return small, None
-    local = small.sparkSession.createDataFrame(fetched, small.schema)
-    return F.broadcast(local), fetched
-
-
-def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A statistics table, broadcast if its size was found to allow it."""
-    return fetch_bounded(small, max_rows)[0]
-
-
-def attach(
-    df: DataFrame, stats: DataFrame, keys: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Inner join on ``keys`` where NULL equals NULL, with a checked broadcast."""
-    return join_null_safe(df, bounded(stats, max_rows), keys)
+    return join_null_safe(df, stats, keys)
 
 
 def join_null_safe(

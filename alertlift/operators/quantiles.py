@@ -5,18 +5,16 @@ buffer.  That is fine for minutes 0..121, but not for a continuous column when
 one airport holds a third of the rows.  Here three narrow passes find the same
 number:
 
-1. a mergeable KLL sketch per group brackets the quantile;
-2. exact counts in 1,026 slices (below, 1,024 inside the bracket, above) tell
+1. a mergeable KLL sketch per group gives 65 values whose ranks lie closely
+   around the quantile, equally far apart in rank, not in value;
+2. exact counts in the slices between them (and below and above all) tell
    which slice holds the wanted rank;
 3. only the rows of that slice are counted by value and ranked.
 
 The sketch steers the slicing only.  Should it miss, the wanted rank lies in
 the slice below or above and step 3 reads that one, so the result is exact
-either way.
-
-The sketch also counts.  When it shows that no group has more than a million
-values, one buffer per group is bounded by that number and the built-in
-``percentile`` finishes the work in a single pass.
+either way.  Heavy tails and infinities need no care: values are compared,
+never subtracted, until the answer is interpolated.
 """
 
 from __future__ import annotations
@@ -24,16 +22,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlift.operators.joins import attach_row, bounded, fetch_bounded, join_null_safe
+from alertlift.operators.joins import attach_row, join_null_safe
+from alertlift.sources.staging import stage
 
-DIRECT_ROWS = 1_000_000
-SKETCH_SIZE = 1024
+SKETCH_SIZE = 4096
 MARGIN = 0.01
-SLICES = 1024
+SLICES = 64
 MERGE_LANES = 64
 
 Targets = Mapping[str, tuple[str, float]]
@@ -44,7 +41,6 @@ def exact_quantiles(
     targets: Targets,
     by: Sequence[str] = (),
     neighbours: bool = False,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles.
 
@@ -53,9 +49,8 @@ def exact_quantiles(
     ``neighbours=True`` returns the two values around each quantile, as
     ``<name>_low`` and ``<name>_high``, instead of interpolating.
 
-    ``df`` is read two or three times, so hand in a scan (see
-    ``sources.stage``) if it is costly to compute.  ``direct_rows`` is the
-    largest group whose values may meet in one buffer.
+    ``df`` is read three times, so hand in a scan (see ``sources.stage``) if
+    it is costly to compute.
     """
     by = list(by)
     spread = range(len(targets))
@@ -64,18 +59,13 @@ def exact_quantiles(
         *[F.col(c).cast("double").alias(f"__v{i}") for i, (c, _) in enumerate(targets.values())],
     ).where(F.coalesce(*[F.col(f"__v{i}") for i in spread]).isNotNull())
 
-    stats, fetched = fetch_bounded(_brackets(flat, targets, by))
-    if fetched is not None and not neighbours:
-        sizes = [n for i in spread for n in fetched.column(f"__n{i}").to_pylist()]
-        if max(sizes, default=0) <= direct_rows:
-            return _direct(flat, targets, by)
-
-    brackets = _numbered(stats, fetched, by)
+    group = F.struct(*by) if by else F.lit(0)
+    brackets = stage(_brackets(flat, targets, by)).withColumn("gid", group)
     joined = join_null_safe(flat, brackets, by) if by else attach_row(flat, brackets)
     sliced = joined.select(
         "gid", *[f"__v{i}" for i in spread], *[_slice(i).alias(f"__s{i}") for i in spread]
     )
-    picks = bounded(_picks(sliced, targets))
+    picks = stage(_picks(sliced, targets))
     ranked = _ranked(sliced, picks, len(targets))
 
     outputs = []
@@ -87,20 +77,14 @@ def exact_quantiles(
             outputs += [low.alias(f"{name}_low"), high.alias(f"{name}_high")]
             continue
         share = F.max(F.when(mine, F.col("position") - F.col("low_rank")))
-        outputs.append((low + (high - low) * share).alias(name))
+        # Between equal values there is nothing to interpolate, infinite ones included.
+        outputs.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
     found = ranked.groupBy("gid").agg(*outputs)
-    return found.join(brackets.select("gid", *by), "gid").select(*by, *found.columns[1:])
-
-
-def _direct(flat: DataFrame, targets: Targets, by: Sequence[str]) -> DataFrame:
-    wanted = [
-        F.percentile(f"__v{i}", p).alias(name) for i, (name, (_, p)) in enumerate(targets.items())
-    ]
-    return flat.groupBy(*by).agg(*wanted)
+    return found.select(*[F.col("gid")[c].alias(c) for c in by], *found.columns[1:])
 
 
 def _brackets(flat: DataFrame, targets: Targets, by: Sequence[str]) -> DataFrame:
-    """Per group and target: number of values and a bracket of the quantile.
+    """Per group and target: values around the quantile, ascending.
 
     Two merge levels: the sketches of one group first meet in 64 lanes.
     """
@@ -113,32 +97,25 @@ def _brackets(flat: DataFrame, targets: Targets, by: Sequence[str]) -> DataFrame
     merged = lanes.groupBy(*by).agg(*[F.kll_merge_agg_double(v, size).alias(v) for v in names])
     columns = []
     for i, (_, p) in enumerate(targets.values()):
-        n = F.kll_sketch_get_n_double(f"__v{i}")
-        columns.append(n.alias(f"__n{i}"))
-        for bound, at in (("low", max(0.0, p - MARGIN)), ("high", min(1.0, p + MARGIN))):
-            value = F.kll_sketch_get_quantile_double(f"__v{i}", F.lit(at))
-            columns.append(F.when(n > 0, value).alias(f"__{bound}{i}"))
+        ranks = [min(1.0, max(0.0, p + MARGIN * (2 * j / SLICES - 1))) for j in range(SLICES + 1)]
+        values = F.kll_sketch_get_quantile_double(f"__v{i}", F.array(*map(F.lit, ranks)))
+        known = F.kll_sketch_get_n_double(f"__v{i}") > 0
+        columns.append(F.when(known, values).alias(f"__bounds{i}"))
     return merged.select(*by, *columns)
 
 
-def _numbered(stats: DataFrame, fetched: pa.Table | None, by: Sequence[str]) -> DataFrame:
-    """Brackets with a short group key ``gid`` for the passes to come: a number
-    if the groups were fetched, the group itself if there are too many."""
-    if fetched is None:
-        return stats.withColumn("gid", F.struct(*by))
-    numbers = pa.array(range(fetched.num_rows), pa.int32())
-    spark = stats.sparkSession
-    return F.broadcast(spark.createDataFrame(fetched.append_column("gid", numbers)))
-
-
 def _slice(i: int) -> Column:
-    """Slice number of one target's value, never decreasing in the value."""
-    value, low, high = F.col(f"__v{i}"), F.col(f"__low{i}"), F.col(f"__high{i}")
-    inside = F.least(F.lit(SLICES - 1), F.floor((value - low) / (high - low) * SLICES))
+    """Slice number of one target's value, never decreasing in the value.
+
+    Only values inside the bracket, a few hundredths of all, are compared with
+    every bound.
+    """
+    value, bounds = F.col(f"__v{i}"), F.col(f"__bounds{i}")
+    reached = F.size(F.filter(bounds, lambda b: b <= value))
     return (
-        F.when(value < low, F.lit(0))
-        .when(value > high, F.lit(SLICES + 1))
-        .when(value.isNotNull(), F.when(low == high, F.lit(1)).otherwise(1 + inside))
+        F.when(value < bounds[0], F.lit(0))
+        .when(value > bounds[SLICES], F.lit(SLICES + 2))
+        .when(value.isNotNull(), reached)
         .cast("int")
     )
 
@@ -196,7 +173,7 @@ def _ranked(sliced: DataFrame, picks: DataFrame, count: int) -> DataFrame:
     for i in range(count):
         mine = F.when(F.col("target") == i, F.col("slice"))
         bounds += [F.min(mine).alias(f"__a{i}"), F.max(mine).alias(f"__b{i}")]
-    near = join_null_safe(sliced, bounded(picks.groupBy("gid").agg(*bounds)), ["gid"])
+    near = join_null_safe(sliced, picks.groupBy("gid").agg(*bounds), ["gid"])
     kept = [
         F.coalesce(F.col(f"__s{i}").isin(F.col(f"__a{i}"), F.col(f"__b{i}")), F.lit(False))
         for i in range(count)

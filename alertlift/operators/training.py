@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlift.operators.features import category_levels
 from alertlift.operators.folds import FOLDS, SEED, assign_folds, assign_group_folds
 
 FEATURES = "features"
@@ -64,12 +63,6 @@ def encoder(
     return stages
 
 
-def check_levels(df: DataFrame, categorical: Sequence[str], max_levels: int = 10_000) -> None:
-    """Refuse a text column with too many levels before it is indexed."""
-    for column in categorical:
-        category_levels(df, column, max_levels)
-
-
 @dataclass
 class ModelSpec:
     """One entry of the benchmark.
@@ -184,9 +177,9 @@ def main_models() -> list[ModelSpec]:
         ModelSpec("linear_baseline", _linear, scale=True),
         ModelSpec("rf_default", forest),
         ModelSpec("rf_tuned", forest, grid=FOREST_GRID, draws=12),
-        ModelSpec("xgb_tuned", boosted, grid=BOOSTED_GRID, draws=6),
+        ModelSpec("gbt_squared_tuned", boosted, grid=BOOSTED_GRID, draws=6),
         ModelSpec(
-            "catboost_tuned",
+            "gbt_absolute_tuned",
             lambda: boosted(lossType="absolute"),
             grid=ABSOLUTE_GRID,
             draws=6,
@@ -199,10 +192,10 @@ def wide_models() -> list[ModelSpec]:
     return [
         ModelSpec("rf_default", lambda: forest(numTrees=300), scale=True),
         ModelSpec("gbr_default", boosted, scale=True),
-        ModelSpec("xgb_default", lambda: boosted(maxDepth=6), scale=True),
+        ModelSpec("gbt_squared_default", lambda: boosted(maxDepth=6), scale=True),
         ModelSpec("rf_tuned", forest, True, WIDE_FOREST_GRID, 20, 5),
         ModelSpec("gbr_tuned", boosted, True, CLASSIC_BOOSTED_GRID, 15, 5),
-        ModelSpec("xgb_tuned", boosted, True, WIDE_BOOSTED_GRID, 25, 5),
+        ModelSpec("gbt_squared_tuned", boosted, True, WIDE_BOOSTED_GRID, 25, 5),
     ]
 
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from alertlift.operators import evaluate, footprint
 from alertlift.operators import training as tr
 from alertlift.operators.folds import FOLDS
-from alertlift.operators.joins import bounded
+from alertlift.sources.staging import stage
 from alertlift.sources.writer import write_table
 
 
@@ -43,31 +44,35 @@ def run_benchmark(
 ) -> Benchmark:
     """Run ``specs`` in order on a staged table with ``label`` and ``fold``.
 
-    Predictions go to one folder per model, so a repeated run of one model
-    replaces its own part only and reading the winner skips the others.
+    Predictions go below ``run_id`` to one folder per model, so a repeated run
+    of one model replaces its own part only and reading the winner skips the
+    others.
     """
     spark = rows.sparkSession
-    tr.check_levels(rows, categorical)
     log = tr.RunLog(run_id)
+    folder = f"{out}/{run_id}/predictions"
     for spec in specs:
         start = time.perf_counter()
         scored = tr.out_of_fold(
             rows, spec, numeric, categorical, k, key, group, keep, parallelism
         )
-        write_table(scored.drop("model"), f"{out}/predictions/model={spec.name}")
+        write_table(scored.drop("model"), f"{folder}/model={spec.name}")
         log.seconds[spec.name] = time.perf_counter() - start
 
     names = [s.name for s in specs]
-    predictions = spark.read.parquet(f"{out}/predictions")
-    metrics = bounded(evaluate.oof_metrics(predictions))
+    # Exactly the models of this run, whatever an earlier one left behind.
+    mine = [f"{folder}/model={name}" for name in names]
+    predictions = spark.read.option("basePath", folder).parquet(*mine)
+    metrics = stage(evaluate.oof_metrics(predictions))
     best = evaluate.best_model(metrics, names).first()["model"]
-    report = evaluate.with_runtime(metrics, log.table(spark)).orderBy(
+    timed = evaluate.with_runtime(metrics, log.table(spark))
+    report = timed.withColumn("below_10", F.col("mae_min") < 10).orderBy(
         "mae_min", evaluate.model_order(names)
     )
 
     winner = next(s for s in specs if s.name == best)
     model = tr.refit(rows, winner, numeric, categorical, key, group, parallelism)
-    model.write().overwrite().save(f"{out}/best_model")
+    model.write().overwrite().save(f"{out}/{run_id}/best_model")
     importance = tr.importance(model, rows)
 
     seconds, wall = log.table(spark), log.wall(spark)

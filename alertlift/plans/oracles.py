@@ -325,9 +325,10 @@ wall as (
 )"""
 add(
     "benchmark_with_runtime",
-    f"""select s.model, {r6("mae", "mae_min")}, {r6("rmse", "rmse_min")},
+    f"""select d.run_id, s.model, {r6("mae", "mae_min")}, {r6("rmse", "rmse_min")},
   {r6("coalesce(runtime_s, 0)", "runtime_s")}
-from scores s left join (select * from run_log where run_id = 'F') r on s.model = r.model""",
+from (select distinct run_id from run_log) d cross join scores s
+left join run_log r on d.run_id = r.run_id and s.model = r.model""",
     ALERTS,
     FOLDED,
     ALL_PREDS,

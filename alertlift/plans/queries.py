@@ -268,9 +268,8 @@ def best_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("benchmark_with_runtime")
 def benchmark_with_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = views.run_log(spark, sf_dir).where(F.col("run_id") == "F")
-    report = evaluate.with_runtime(_metrics(spark, sf_dir), log)
-    return report.select("model", *rounded("mae_min", "rmse_min", "runtime_s"))
+    report = evaluate.with_runtime_by_run(_metrics(spark, sf_dir), views.run_log(spark, sf_dir))
+    return report.select("run_id", "model", *rounded("mae_min", "rmse_min", "runtime_s"))
 
 
 @query("preds_with_airport")
@@ -428,7 +427,6 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oof(spark: SparkSession, sf_dir: str, *specs: tr.ModelSpec) -> DataFrame:
     rows = training_rows(spark, sf_dir)
-    tr.check_levels(rows, [GROUP])
     parts = [tr.out_of_fold(rows, s, views.NUMERIC, [GROUP], parallelism=3) for s in specs]
     out = parts[0]
     for part in parts[1:]:

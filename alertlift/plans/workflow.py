@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from alertlift.operators.folds import FOLDS, assign_folds, assign_group_folds
 from alertlift.plans.benchmark import Benchmark, run_benchmark
 from alertlift.sources import schema
 from alertlift.sources.reader import load_alerts
-from alertlift.sources.staging import stage
+from alertlift.sources.staging import keep_staged, stage, staged_scope
 from alertlift.sources.writer import write_table
 
 # Known only once the alert is over, or keys: never features unless asked for.
@@ -144,11 +145,13 @@ def run(
     alerts = load_alerts(spark, source, fmt=fmt)
     if "alert_id" not in alerts.columns:
         raise ValueError("alerts need a key column alert_id")
-    typed = stage(alerts) if clustered else cluster_stage(alerts, out, k)
-    result = model_stage(typed, out, specs, exclude, group)
-    trend_stage(typed, out)
-    decision_stage(result.best_predictions, out, confidence)
-    return result
+    with staged_scope(spark):
+        typed = stage(alerts) if clustered else cluster_stage(alerts, out, k)
+        result = model_stage(typed, out, specs, exclude, group)
+        trend_stage(typed, out)
+        decision_stage(result.best_predictions, out, confidence)
+        # The report outlives the scope; all other tables of the run are files below ``out``.
+        return replace(result, report=keep_staged(result.report))
 
 
 def main() -> None:

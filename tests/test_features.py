@@ -64,11 +64,6 @@ def test_one_hot_keeps_every_level(spark):
     assert {r[0] for r in unseen.collect()} == {0}
 
 
-def test_one_hot_refuses_identifiers(spark):
-    with pytest.raises(ValueError, match="levels"):
-        features.one_hot(spark.range(50), "id", max_levels=10)
-
-
 def test_airport_filter(spark):
     assert features.only_airport(alert_frame(spark), "A").count() == 2
     assert features.only_airport(alert_frame(spark)).count() == 5

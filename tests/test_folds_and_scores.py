@@ -22,11 +22,13 @@ def grouped(spark):
     return spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "alert_id long, g string")
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_a_group_never_spans_folds(spark, monkeypatch, limit):
-    from alertlift.operators import joins
+def test_a_row_without_key_is_an_error(spark):
+    rows = spark.createDataFrame([(1,), (None,)], "alert_id long")
+    with pytest.raises(Exception, match="alert_id is NULL"):
+        folds.assign_folds(rows).collect()
 
-    monkeypatch.setattr(folds, "bounded", lambda small: joins.bounded(small, limit))
+
+def test_a_group_never_spans_folds(spark):
     out = folds.assign_group_folds(grouped(spark), "g", 3).collect()
     assert len(out) == 300 and len({r["alert_id"] for r in out}) == 300
     by_group = {}

@@ -82,20 +82,10 @@ def test_staged_tables_live_in_the_shared_folder(spark):
     assert df.count() == 10
 
 
-def test_a_cluster_without_shared_folder_is_an_error():
-    class Conf:
-        def get(self, *_):
-            return None
-
-    class Context:
-        master = "yarn"
-
-        def getCheckpointDir(self):
-            return None
-
-    class Session:
-        conf = Conf()
-        sparkContext = Context()
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging.staging_root(Session())
+def test_a_scope_deletes_what_it_staged(spark):
+    with staging.staged_scope(spark):
+        gone = staging.stage(spark.range(10))
+        kept = staging.keep_staged(gone.filter("id > 4"))
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        gone.count()

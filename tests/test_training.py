@@ -129,7 +129,7 @@ def test_whole_workflow(spark, sf_dir, tmp_path):
     assert {r["model"] for r in report} == {"rf", "linear_baseline"}
     assert report[0]["model"] == result.best and report[0]["mae_min"] <= report[1]["mae_min"]
     assert all(r["runtime_s"] > 0 for r in report)
-    assert PipelineModel.load(f"{out}/best_model").stages
+    assert PipelineModel.load(f"{out}/run/best_model").stages
     clustered = spark.read.parquet(f"{out}/clustered_alerts")
     assert clustered.count() == n and {"storm_type", "pca_1", "pca_2"} <= set(clustered.columns)
     shares = spark.read.csv(f"{out}/storm_type_share", header=True, inferSchema=True)
