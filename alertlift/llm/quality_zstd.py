@@ -130,23 +130,35 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80)
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """``labelled``: doc_id, text, label (0 or 1).  Even and odd hashes of the id separate dictionaries from the curve."""
-    ship(labelled.sparkSession)
-    rows = labelled.filter("text is not null and label in (0, 1)")
-    draw = F.xxhash64("doc_id", F.lit(5))
+def draw_sample(docs: DataFrame, labels: DataFrame, sample: int, salt: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """Texts of about ``sample`` labelled documents of each label and purpose (``first`` or not), and rows by label.
+
+    Chosen by a hash of the id among ids and labels alone.  What is chosen is bounded by the parameter, so it may be
+    broadcast to the texts, which are not shuffled.  No sample where a label is missing.
+    """
+    rows = docs.select("doc_id").join(labels.select("doc_id", "label").filter("label in (0, 1)"), "doc_id")
     counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counted) < 2:
+        return None, counted
+    draw = F.xxhash64("doc_id", F.lit(salt))
+    rate = F.when(F.col("label") == 1, 2.0 * sample / counted[1]).otherwise(2.0 * sample / counted[0])
+    unit = F.pmod(F.shiftright(draw, 1), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.filter(unit < rate).select("doc_id", "label", (F.pmod(draw, F.lit(2)) == 0).alias("first"))
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id"), counted
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """``docs``: doc_id, text; ``labels``: doc_id, label (0 or 1).  One half of the sample builds, the other calibrates."""
+    ship(docs.sparkSession)
+    chosen, counted = draw_sample(docs, labels, sample, 5)
+    if chosen is None:
         share = 0.5 if not counted else float(1 in counted)
         odds = np.clip(share, 1e-3, 1 - 1e-3)
         return Model(b"", b"", np.array([0.0, 0.0, 0.0, np.log(odds / (1 - odds))]))
-    rate = F.when(F.col("label") == 1, 2.0 * sample / counted[1]).otherwise(2.0 * sample / counted[0])
-    unit = F.pmod(F.shiftright(draw, 1), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(unit < rate).withColumn("builds", F.pmod(draw, F.lit(2)) == 0)
-    built = chosen.filter("builds").select("label", "text").groupBy("label").applyInPandas(_build, "label int, dictionary binary")
+    built = chosen.filter("first").select("label", "text").groupBy("label").applyInPandas(_build, "label int, dictionary binary")
     found = {r["label"]: bytes(r["dictionary"]) for r in built.collect()}
     model = Model(found.get(1, b""), found.get(0, b""), np.zeros(4))
-    held = apply(chosen.filter("not builds"), model, "label").toPandas().sort_values(["label", *OUT])
+    held = apply(chosen.filter("not first"), model, "label").toPandas().sort_values(["label", *OUT])
     y = held["label"].to_numpy(dtype=float)
     if not len(y) or not model.good or not model.bad:
         odds = np.clip(counted[1] / (counted[0] + counted[1]), 1e-3, 1 - 1e-3)
@@ -167,7 +179,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
-    train = docs.filter(remainder(5) != 0).select("doc_id", "text").join(labels, "doc_id")
-    scored = score(docs, fit(train))
+    scored = score(docs, fit(docs.filter(remainder(5) != 0), labels))
     held_out = F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out")
     return scored.select("doc_id", held_out, "score", "predicted", "difference")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from alertlift.llm import textarrays as ta
 from alertlift.llm.language import remainder
-from alertlift.llm.quality_zstd import logistic
+from alertlift.llm.quality_zstd import draw_sample, logistic
 from alertlift.llm.shipping import ship
 
 SAMPLE, BAGS = 2000, 128
@@ -280,25 +280,20 @@ def apply(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     return rows.mapInArrow(_apply(spark.sparkContext.broadcast(model), list(carried)), f"{schema}, log_odds double, score double")
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """``labelled``: doc_id, text, label (0 or 1).  Even and odd hashes of the id separate network and curve."""
-    ship(labelled.sparkSession)
-    rows = labelled.filter("text is not null and label in (0, 1)")
-    counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counted) < 2:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """``docs``: doc_id, text; ``labels``: doc_id, label (0 or 1).  One half of the sample trains, the other calibrates."""
+    ship(docs.sparkSession)
+    chosen, counted = draw_sample(docs, labels, sample, 10)
+    if chosen is None:
         share = np.clip(float(1 in counted), 1e-3, 1 - 1e-3)
         return Model(np.empty(0, np.float32), np.array([0.0, np.log(share / (1 - share))]))
-    draw = F.xxhash64("doc_id", F.lit(10))
-    rate = F.when(F.col("label") == 1, 2.0 * sample / counted[1]).otherwise(2.0 * sample / counted[0])
-    unit = F.pmod(F.shiftright(draw, 1), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(unit < rate).withColumn("trains", F.pmod(draw, F.lit(2)) == 0)
-    bags = chosen.filter("trains").select("doc_id", "label", "text").mapInArrow(
-        _bags, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, words binary"
+    bags = chosen.filter("first").select("doc_id", "label", "text").mapInArrow(
+        _bags, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, words binary"
     )
     learned = bags.groupBy(F.lit("all").alias("sample")).applyInPandas(_fit, "odds binary").collect()
     odds = np.frombuffer(bytes(learned[0]["odds"]), "<f4") if learned else np.empty(0, np.float32)
     model = Model(odds, np.array([0.0, np.log(counted[1] / counted[0])]))
-    held = apply(chosen.filter("not trains"), model, "label").toPandas().sort_values(["label", "log_odds"])
+    held = apply(chosen.filter("not first"), model, "label").toPandas().sort_values(["label", "log_odds"])
     if len(held):
         y = held["label"].to_numpy(dtype=float)
         share = np.where(y == 1, counted[1] / max((y == 1).sum(), 1), counted[0] / max((y == 0).sum(), 1))
@@ -309,8 +304,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    train = docs.filter(remainder(3) != 1).select("doc_id", "text").join(labels, "doc_id")
-    scored = apply(docs, fit(train), "doc_id")
+    scored = apply(docs, fit(docs.filter(remainder(3) != 1), labels), "doc_id")
     held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out, "score", predicted, "log_odds")

@@ -77,7 +77,7 @@ def labelled(spark, toxic=False):
 
 def test_quality_is_learned_and_calibrated(spark):
     rows = labelled(spark)
-    fitted = quality_zstd.fit(rows.filter("doc_id % 3 != 0"))
+    fitted = quality_zstd.fit(rows.filter("doc_id % 3 != 0").drop("label"), rows)
     got = quality_zstd.score(rows.filter("doc_id % 3 = 0"), fitted).join(rows.select("doc_id", "label"), "doc_id")
     assert got.filter("predicted = label").count() >= 95
     odd = quality_zstd.score(documents(spark), fitted)
@@ -87,15 +87,15 @@ def test_quality_is_learned_and_calibrated(spark):
 
 def test_quality_without_both_labels(spark):
     docs = documents(spark)
-    one = quality_zstd.fit(labelled(spark).filter("label = 1"))
-    none = quality_zstd.fit(labelled(spark).filter("label = 7"))
+    one = quality_zstd.fit(labelled(spark).drop("label"), labelled(spark).filter("label = 1"))
+    none = quality_zstd.fit(labelled(spark).drop("label"), labelled(spark).filter("label = 7"))
     assert quality_zstd.score(docs, one).select(F.min("score")).first()[0] > 0.9
     assert quality_zstd.score(docs, none).select(F.max("score")).first()[0] == 0.5
 
 
 def test_toxicity_finds_misspellings(spark):
     rows = labelled(spark, toxic=True)
-    fitted = toxicity.fit(rows)
+    fitted = toxicity.fit(rows.drop("label"), rows)
     own = [(1, prose(901, 20) + " scumlords " + prose(902, 400)), (2, prose(903, 400)), (3, "idiotics"), (4, None), (5, "")]
     got = {x["doc_id"]: x["score"] for x in toxicity.apply(spark.createDataFrame(own, "doc_id long, text string"), fitted, "doc_id").collect()}
     assert got[1] > got[2] + 0.2  # a few dozen toxic texts teach
