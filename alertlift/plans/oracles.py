@@ -142,7 +142,8 @@ add(
 )
 add(
     "cast_categoricals",
-    f"""select alert_id, airport, cast(cast(n_lightnings as bigint) % 3 as varchar) as storm_cluster,
+    f"""select alert_id, case when start_hour <> 0 then airport else 'nan' end as airport,
+  cast(cast(n_lightnings as bigint) % 3 as varchar) as storm_cluster,
   {r6s("n_lightnings", "mean_dist", "mean_amplitude")}, {r6("prox_ratio", "storm_type_score")},
   cast(start_hour as double) as start_hour
 from alerts_v""",
@@ -536,3 +537,37 @@ from (
 )""",
     RUN_LOG,
 )
+
+# Checks of trained results
+
+add(
+    "oof_coverage",
+    f"""select model, fold, count(*) as n, count(*) as n_keys, count(*) as n_predicted,
+  {r6("sum(duration_minutes)", "sum_true")}
+from folded cross join (values ('linear_baseline'), ('rf_default')) as m(model) group by model, fold""",
+    ALERTS,
+    FOLDED,
+)
+add(
+    "storm_types_check",
+    """select count(*) as n, cast(3 as bigint) as n_types, cast(0 as bigint) as n_stray,
+  1 as by_size from speedy""",
+    ALERTS,
+    SPEEDY,
+)
+add(
+    "storm_pca_check",
+    """select count(*) as n, 0.0::double as mean_1, 0.0::double as mean_2, 1 as uncorrelated,
+  1 as ordered from speedy""",
+    ALERTS,
+    SPEEDY,
+)
+add(
+    "importance_check",
+    """select feature, 1.0::double as total from (
+  select distinct 'airport_' || airport as feature from alerts_v
+  union all
+  select unnest(['n_lightnings', 'ic_ratio', 'prox_ratio', 'mean_amplitude', 'mean_dist',
+    'lat_std', 'lon_std', 'lat_delta', 'lon_delta', 'start_hour']) as feature)""",
+    ALERTS,
+)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import r6
 from alertlift.operators import decision, evaluate, features, folds, footprint, storms, trends
 from alertlift.operators import training as tr
+from alertlift.operators.joins import attach_row
 from alertlift.plans import views
 from alertlift.plans.benchmark import run_benchmark
 from alertlift.sources import schema
@@ -92,27 +94,23 @@ def cluster_label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile of every column whose name suggests a cluster label."""
     rows = _with_candidates(views.alerts(spark, sf_dir))
     names = schema.cluster_label_names(rows)
-    profile = schema.profile_labels(rows, names)
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("candidate"),
-                F.col(f"{c}_distinct").alias("n_distinct"),
-                F.col(f"{c}_fractional").alias("fractional"),
-            )
-            for c in names
-        ]
-    )
-    chosen = schema.pick_cluster_label(rows)
-    return profile.select(F.explode(pairs).alias("p")).select(
-        "p.*", F.col("p.candidate").eqNullSafe(F.lit(chosen)).cast("int").alias("chosen")
+    profile = schema.profile_labels(rows, names).first()
+    chosen = schema.pick_cluster_label(rows, names, profile)
+    found = [
+        (c, profile[f"{c}_distinct"], profile[f"{c}_fractional"], int(c == chosen)) for c in names
+    ]
+    return spark.createDataFrame(
+        found, "candidate string, n_distinct long, fractional int, chosen int"
     )
 
 
 @query("cast_categoricals")
 def cast_categoricals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allow-listed and detected categoricals as text."""
-    rows = _with_candidates(views.alerts(spark, sf_dir))
+    """Allow-listed and detected categoricals as text; alerts of hour 0 stand
+    for those without an airport."""
+    rows = _with_candidates(views.alerts(spark, sf_dir)).withColumn(
+        GROUP, F.when(F.col("start_hour") != 0, F.col(GROUP))
+    )
     numeric, categorical = schema.with_cluster_columns(rows)
     cast = schema.cast_categoricals(rows, categorical)
     return cast.select(
@@ -487,3 +485,65 @@ def model_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = [tr.main_models()[0], small_forest()]
     result = run_benchmark(rows, specs, views.NUMERIC, [GROUP], scratch_path(spark, "benchmark"))
     return result.report.select("model", *rounded("mae_min", "rmse_min", "runtime_s"))
+
+
+# Checks of trained results -----------------------------------------------------------
+
+
+@query("oof_coverage")
+def oof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert is predicted once by each model, in its own fold."""
+    rows = _oof(spark, sf_dir, tr.main_models()[0], small_forest())
+    return rows.groupBy("model", "fold").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("alert_id").alias("n_keys"),
+        F.count("duration_pred").alias("n_predicted"),
+        r6(F.sum("duration_true")).alias("sum_true"),
+    )
+
+
+@query("storm_types_check")
+def storm_types_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All complete alerts have a type, types are numbered by size, and no
+    alert is nearer to another type's centre."""
+    vectors = stage(storms.scaled_vectors(features.add_speed(views.alerts(spark, sf_dir))))
+    model = storms.fit_kmeans(vectors)
+    order = storms.size_order(model)
+    typed = storms.label_storms(vectors, model, order)
+    z = vector_to_array(F.col("z"))
+    gaps = {
+        order[i]: sum(((z[j] - float(v)) ** 2 for j, v in enumerate(centre)), F.lit(0.0))
+        for i, centre in enumerate(model.clusterCenters())
+    }
+    own = F.element_at(F.array(*[gaps[t] for t in sorted(gaps)]), F.col("storm_type") + 1)
+    stray = F.sum((own > F.least(*gaps.values()) + 1e-9).cast("int"))
+    sizes = typed.groupBy("storm_type").agg(F.count("*").alias("n"), stray.alias("stray"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("storm_type", "n"))), lambda p: p["n"])
+    return sizes.agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("n_types"),
+        F.sum("stray").alias("n_stray"),
+        (in_order == F.reverse(F.array_sort(in_order))).cast("int").alias("by_size"),
+    )
+
+
+@query("storm_pca_check")
+def storm_pca_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are centred and uncorrelated; the first spreads more."""
+    rows = storm_pca(spark, sf_dir)
+    return rows.agg(
+        F.count("*").alias("n"),
+        r6(F.abs(F.avg("pca_1"))).alias("mean_1"),
+        r6(F.abs(F.avg("pca_2"))).alias("mean_2"),
+        (F.abs(F.corr("pca_1", "pca_2")) < 1e-5).cast("int").alias("uncorrelated"),
+        (F.var_pop("pca_1") >= F.var_pop("pca_2")).cast("int").alias("ordered"),
+    )
+
+
+@query("importance_check")
+def importance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every encoded column has an importance; together they make 1."""
+    rows = training_rows(spark, sf_dir)
+    table = tr.importance(tr.refit(rows, small_forest(), views.NUMERIC, [GROUP]), rows)
+    total = table.agg(r6(F.sum("importance")).alias("total"))
+    return attach_row(table.select("feature"), total)

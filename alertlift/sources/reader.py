@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,30 +25,77 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c)) for c in floating}) if floating else df
 
 
+# Cells that stand for a missing value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# Types tried for a column of unknown name, narrowest first.
+GUESSES = (T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType())
+
+
+def _cell(column: str) -> Column:
+    cell = F.col(f"`{column}`")
+    return F.when(~cell.isin(*MISSING), cell)
+
+
+def _value(cell: Column, kind: T.DataType) -> Column:
+    """The cell as ``kind``, NULL if it cannot be read.  Whole numbers may be
+    written as "5.0" or as truth values and never pass through a double."""
+    if not isinstance(kind, T.IntegralType):
+        return cell.try_cast(kind)
+    exact = cell.try_cast(T.DecimalType(38, 18))
+    truth = F.lower(cell)
+    return F.coalesce(
+        cell.try_cast(kind),
+        F.when(exact == F.floor(exact), exact).try_cast(kind),
+        F.when(truth.isin("true", "false"), (truth == "true").cast(kind)),
+    )
+
+
+def _parsed(column: str, kind: T.DataType) -> Column:
+    cell = _cell(column)
+    if isinstance(kind, T.StringType):
+        return cell.alias(column)
+    value = _value(cell, kind)
+    unreadable = F.raise_error(
+        F.concat(F.lit(f"column {column}: not a {kind.simpleString()}: "), cell)
+    )
+    return (
+        F.when(cell.isNotNull() & value.isNull(), unreadable.cast(kind))
+        .otherwise(value)
+        .alias(column)
+    )
+
+
+def _guess(raw: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """First type that reads every cell, for all columns in one pass."""
+    fits = {}
+    for i, c in enumerate(columns):
+        cell = _cell(c)
+        fits[f"n_{i}"] = F.count(cell)
+        for j, kind in enumerate(GUESSES):
+            fits[f"n_{i}_{j}"] = F.count(_value(cell, kind))
+    found = raw.agg(*[how.alias(name) for name, how in fits.items()]).first()
+    types: dict[str, T.DataType] = {}
+    for i, c in enumerate(columns):
+        whole = [k for j, k in enumerate(GUESSES) if found[f"n_{i}_{j}"] == found[f"n_{i}"] > 0]
+        types[c] = whole[0] if whole else T.StringType()
+    return types
+
+
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """Cells are read as text and parsed by name.  A cell that its column's
+    type cannot hold ends the job that reads it, with column and cell named."""
     reader = spark.read.option("header", True)
     header = reader.csv(path).columns
+    raw = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
     types = {f.name: f.dataType for f in schema.fields} if schema else dict(KNOWN_TYPES)
     unknown = [c for c in header if c not in types]
     if unknown:
-        # Only now is a pass over the data for type inference worth its price.
-        inferred = reader.option("inferSchema", True).csv(path).schema
-        types.update({c: inferred[c].dataType for c in unknown})
-    # A count column with gaps is often written as "5.0": parse it as a double,
-    # then cast.  Names decide, not positions.
-    as_read = T.StructType(
-        [
-            T.StructField(
-                c,
-                T.DoubleType()
-                if c != "alert_id" and isinstance(types[c], T.IntegralType)
-                else types[c],
-            )
-            for c in header
-        ]
-    )
-    raw = reader.schema(as_read).csv(path)
-    return raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in header])
+        # Only now is a pass over the data for types worth its price.
+        types.update(_guess(raw, unknown))
+    return raw.select(*[_parsed(c, types[c]) for c in header])
 
 
 def load_alerts(

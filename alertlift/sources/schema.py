@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,9 @@ NEVER_LABELS = (
     "end_time",
     "last_cloud_ground_time",
 )
+# Fixed value: the level that a missing category gets.
+MISSING_LEVEL = "nan"
+# Columns without a trend, and how many get one.
 NOT_IN_TRENDS = ("storm_type", "alert_airport_id")
 TREND_LIMIT = 12
 
@@ -159,8 +162,10 @@ def allowed_features(df: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, categorical
 
 
-def trend_columns(df: DataFrame, key: str | None = None) -> list[str]:
-    """First twelve numeric columns in table order, without target, label,
+def trend_columns(
+    df: DataFrame, key: str | None = None, limit: int = TREND_LIMIT
+) -> list[str]:
+    """First ``limit`` numeric columns in table order, without target, label,
     airport code, unnamed index columns and the row key ``key``."""
     skip = {target_column(df.columns), *NOT_IN_TRENDS, key}
     found = [
@@ -170,7 +175,7 @@ def trend_columns(df: DataFrame, key: str | None = None) -> list[str]:
         and f.name not in skip
         and not f.name.startswith("Unnamed")
     ]
-    return found[:TREND_LIMIT]
+    return found[:limit]
 
 
 def cluster_score_columns(df: DataFrame) -> list[str]:
@@ -216,13 +221,17 @@ def profile_labels(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return df.agg(*aggregates)
 
 
-def pick_cluster_label(df: DataFrame) -> str | None:
+def pick_cluster_label(
+    df: DataFrame, candidates: Sequence[str] | None = None, profile: Row | None = None
+) -> str | None:
     """Candidate with the fewest distinct values; fractional numbers and
-    constants are out, the first one wins a tie."""
-    candidates = cluster_label_names(df)
+    constants are out, the first one wins a tie.  ``profile`` is the row of
+    ``profile_labels`` where it is known already."""
+    if candidates is None:
+        candidates = cluster_label_names(df)
     if not candidates:
         return None
-    row = profile_labels(df, candidates).first()
+    row = profile if profile is not None else profile_labels(df, candidates).first()
     usable = [
         c for c in candidates if not row[f"{c}_fractional"] and row[f"{c}_distinct"] > 1
     ]
@@ -240,4 +249,7 @@ def with_cluster_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def cast_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+    """Columns as text; a missing value is a level of its own."""
+    return df.withColumns(
+        {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) for c in columns}
+    )

@@ -126,6 +126,8 @@ def test_cluster_columns_are_found_by_name_and_content(spark):
     numeric, categorical = schema.with_cluster_columns(df)
     assert (numeric, categorical) == (["cluster_proba"], ["kmeans"])
     assert dict(schema.cast_categoricals(df, ["cluster"]).dtypes)["cluster"] == "string"
+    gaps = spark.createDataFrame([("A",), (None,)], "airport string")
+    assert {r[0] for r in schema.cast_categoricals(gaps, ["airport"]).collect()} == {"A", "nan"}
 
 
 def test_incomplete_rows_leave_before_clustering(spark):

@@ -28,6 +28,31 @@ def test_csv_types_and_missing_values(spark, alerts_csv):
     assert got == [("Nord", 12.5, 5, None), (None, 7.0, None, 0.25), ("Sud", None, 9, None)]
 
 
+def test_whole_numbers_stay_exact(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_text("alert_id,alert_airport_id\n2.0,9007199254740993\n3,9007199254740992\n")
+    got = rows(load_alerts(spark, str(path)).select("alert_id", "alert_airport_id"), "alert_id")
+    assert got == [(2, 9007199254740993), (3, 9007199254740992)]
+
+
+@pytest.mark.parametrize(
+    "column, cell", [("duration_minutes", "long"), ("alert_id", "x7"), ("alert_airport_id", "1.5"), ("alert_airport_id", "99999999999999999999")]
+)
+def test_an_unreadable_cell_is_an_error(spark, tmp_path, column, cell):
+    path = tmp_path / "bad.csv"
+    path.write_text(f"airport,{column}\nNord,{cell}\n")
+    with pytest.raises(Exception, match=f"column {column}: not a .*{cell}"):
+        load_alerts(spark, str(path)).collect()
+
+
+def test_missing_markers_and_guessed_types(spark, tmp_path):
+    path = tmp_path / "na.csv"
+    path.write_text("airport,duration_minutes,a,b,c,d\nNA,N/A,1,1,x,NA\nNord,2,nan,2.5,None,\n-,null,3,NULL,y,n/a\n")
+    df = load_alerts(spark, str(path))
+    assert [dict(df.dtypes)[c] for c in "abcd"] == ["bigint", "double", "string", "string"]
+    assert rows(df, "b") == [("-", None, 3, None, "y", None), (None, None, 1, 1.0, "x", None), ("Nord", 2.0, None, 2.5, None, None)]
+
+
 def test_first_source_that_exists(spark, alerts_csv, tmp_path):
     df = load_alerts(spark, [str(tmp_path / "missing.csv"), alerts_csv])
     assert df.count() == 3
