@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -59,10 +59,9 @@ def fit_kmeans(
 ) -> KMeansModel:
     """Best of several starts by training cost; the lowest seed wins a tie.
 
-    ``vectors`` should be a staged table.  Starts run side by side; each fit
-    caches its own copy of the vectors while it runs (a shared cache of rows
-    would be decoded again in every iteration), so ``parallelism`` bounds the
-    copies alive at a time.
+    The starts run side by side over one shared copy of the vectors, which
+    spills to disk where memory is short.  The block solver takes a block of
+    rows at a time, so reading that copy in every iteration stays cheap.
     """
 
     def run(offset: int) -> KMeansModel:
@@ -74,13 +73,16 @@ def fit_kmeans(
             initMode="k-means||",
             maxIter=MAX_ITERATIONS,
             tol=CENTRE_SHIFT,
-        ).fit(vectors)
+            solver="block",
+        ).fit(shared)
 
+    shared = vectors.select(name).persist(StorageLevel.MEMORY_AND_DISK)
     pool = ThreadPool(max(1, min(parallelism, restarts)))
     try:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(run), range(restarts))
     finally:
         pool.close()
+        shared.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
