@@ -33,16 +33,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter("not rejected").select("_row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``_key`` and ``_row`` of every row.  The key is doc_id; rows without an id of their own get one above all ids.
+
+    Only those rows are staged, which settles their keys for all later reads.
+    """
+    rows = _row(docs).select(F.col("doc_id").cast("long").alias("_key"), "_row")
+    top, nameless = rows.agg(F.max("_key"), F.count_if(F.col("_key").isNull())).first()
+    again = stage(rows.filter("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"))
+    if not nameless and again.isEmpty():
+        return rows
+    above = lambda found, least: stage(found.select((F.monotonically_increasing_id() + F.lit(least)).alias("_key"), "_row"))
+    if top is not None and top >= 1 << 62:  # no room above the ids
+        return above(rows, 0)
+    shared = rows.join(again, "_key", "left_semi").unionByName(rows.filter("_key is null"))
+    own = rows.filter("_key is not null").join(again, "_key", "left_anti")
+    return own.unionByName(above(shared, 0 if top is None else top + 1))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    rows = stage(ngram_join.jaccard_join(docs).rows)
-    gone = stage(rows.filter("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct())
-    again = stage(rows.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    same = kept["doc_id"].eqNullSafe(again["doc_id"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
+
+    The one with the smallest doc_id stays, one without doc_id only where no other has one.
+    """
+    keyed = _keyed(docs)
+    rows = ngram_join.jaccard_join(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"))).rows
+    rows = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id")
+    named = rows.join(keyed.select("_key", F.col("_row.doc_id").alias("_id")), "_key")
+    # A component bears its smallest key; where an id is used repeatedly, that may not be the row with the smallest id.
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))["_key"].alias("_first"))
+    moved = stage(first.filter("_first != component_id"))
+    gone = rows.join(moved, "component_id", "left").filter("_key != coalesce(_first, component_id)").select("_key")
+    return keyed.join(stage(gone), "_key", "left_anti").select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

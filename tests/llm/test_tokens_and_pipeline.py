@@ -132,3 +132,24 @@ def test_pipeline_of_no_documents(spark, sf_dir):
     for _, step in corpus_pipeline.STAGES:
         kept = stage(step(spark, kept, sf_dir))
     assert kept.collect() == []
+
+
+def shared_ids(spark):
+    """Rows without an id and ids with two texts, among copies of other rows."""
+    texts = [
+        (None, prose(31, 40)), (None, prose(32, 40)), (None, prose(33, 40)), (None, prose(33, 40) + " end"), (None, ""), (None, None),
+        (5, prose(34, 40)), (5, prose(35, 40)), (7, prose(35, 40)), (3, prose(36, 40)), (None, prose(36, 40) + " end"),
+        (9, prose(37, 40)), (9, prose(36, 40)), (11, prose(38, 40)), (11, prose(38, 40)), (12, ""), (12, " "),
+    ]
+    own = [(i, t, "en", "abc"[k % 3], 0, 0.0, k, None, None, None, None) for k, (i, t) in enumerate(texts)]
+    return documents(spark, own)
+
+
+def test_copies_are_dropped_by_row_not_by_id(spark, sf_dir):
+    kept = corpus_pipeline.drop_near_copies(spark, shared_ids(spark), sf_dir)
+    got = sorted((x["doc_id"] or 0, x["text"] or "") for x in kept.collect())
+    nameless = [(0, prose(31, 40)), (0, prose(32, 40)), (0, ""), (0, "")]
+    ids = [(5, prose(34, 40)), (5, prose(35, 40)), (3, prose(36, 40)), (9, prose(37, 40)), (11, prose(38, 40)), (12, ""), (12, " ")]
+    third = [x for x in got if x[0] == 0 and x[1].startswith(prose(33, 40))]
+    assert len(third) == 1
+    assert sorted(x for x in got if x not in third) == sorted(nameless + ids)
