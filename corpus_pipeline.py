@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlift.llm import bpe_trie, language, mixing, ngram_join, secrets
@@ -78,20 +78,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
-    mixed = stage(mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies")))
-    again = stage(mixed.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("_id").alias("_again")))
-    rows = _row(docs).select(F.col("doc_id").alias("_id"), "text", "_row")
-    repeat = lambda found: found.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
-    once = rows.join(again, rows["_id"].eqNullSafe(again["_again"]), "left_anti").join(mixed, "_id")
-    if again.isEmpty():
-        return repeat(once)
-    # Rows that share an id are told apart by their place in order of size.
-    place = F.row_number().over(Window.partitionBy("_id").orderBy("_size")).alias("_place")
-    sized = rows.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)))
-    left = sized.join(again, sized["_id"].eqNullSafe(again["_again"]), "left_semi").select("_id", "_row", place)
-    right = mixed.join(again, mixed["_id"].eqNullSafe(again["_again"]), "left_semi").select(F.col("_id").alias("_other"), "_copies", place.alias("_rank"))
-    more = left.join(right, left["_id"].eqNullSafe(right["_other"]) & (left["_place"] == right["_rank"]))
-    return repeat(once.select("_row", "_copies")).unionByName(repeat(more.select("_row", "_copies")))
+    keyed = _keyed(docs)
+    mixed = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").alias("source")))
+    taken = stage(mixed.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").cast("int").alias("_copies")))
+    return keyed.join(taken, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -153,3 +154,25 @@ def test_copies_are_dropped_by_row_not_by_id(spark, sf_dir):
     third = [x for x in got if x[0] == 0 and x[1].startswith(prose(33, 40))]
     assert len(third) == 1
     assert sorted(x for x in got if x not in third) == sorted(nameless + ids)
+
+
+def test_every_taken_row_arrives(spark, sf_dir):
+    r = random.Random(6)
+    own = [(i if i % 3 else None, prose(i, r.randint(1, 60)), "en", "abc"[i % 3 if i % 5 else 2], 0, 0.0, i, None, None, None, None) for i in range(300)]
+    own += [(1, prose(900, 30), "en", "c", 0, 0.0, 900, None, None, None, None), (None, None, "en", None, 0, 0.0, 901, None, None, None, None)]
+    for given_rows in (own, [x for x in own if x[0] or x[6] == 0]):  # many rows without an id, and one
+        docs = stage(documents(spark, given_rows))
+        found = corpus_pipeline.mix_sources(spark, docs, sf_dir).toPandas()
+        assert set(found["size"].value_counts()) <= {1, 2}
+        words_of = {x[6]: len((x[1] or "").split()) for x in given_rows}
+        source_of = {x[6]: x[3] for x in given_rows}
+        wanted = {x["source"]: x["target"] for x in corpus_pipeline.mixing.targets(corpus_pipeline.mixing.sizes(docs)).collect()}
+        longest = max(words_of.values())
+        for source, target in wanted.items():
+            taken = sum(words_of[i] for i in found["size"] if source_of[i] == source)
+            assert abs(taken - target) <= longest, (source, taken, target)
+        # Sources that are taken at the cap arrive whole, rows without an id included.
+        for source, target in wanted.items():
+            whole = {i for i, s in source_of.items() if s == source and words_of[i]}
+            if target and target >= 2 * sum(words_of[i] for i in whole):
+                assert sum(found["size"].isin(whole)) == 2 * len(whole)
