@@ -11,8 +11,11 @@
    the token) and by component.  Inside a block pair, an entry's answers follow from its leader's: with
    o(u) = |leader & u| known, |u & v| lies between o(u) + o(v) - |leader| and
    min(o(u), o(v)) + min(|u| - o(u), |v| - o(v)); only pairs these bounds leave open are compared by whole sets.
+5. Where all links are asked for, nothing is skipped by component: a pair whose lower bound reaches the threshold is
+   a link as it stands, and only pairs between the two bounds are compared.
 
-Components are those of all links: a pair is left out only when it cannot link or is already connected.
+Components are those of all links: a pair is left out only when it cannot link or, unless all links are asked for, is
+already connected.
 
 A third of all rows may be copies of one text: they are one class, found by an aggregation with partial sums.  A
 list may be very long: bands, counts and leaders are partial aggregates and blocks have a bounded size.
@@ -213,16 +216,21 @@ def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int
 
 @dataclass
 class Joined:
-    """rows: doc_id, n_shingles, class_id, component_id.  links: a, b, overlap between class ids (all compared pairs that link)."""
+    """rows: doc_id, n_shingles, class_id, component_id, with all links also n_links (the rows that the row links with,
+    copies included).  links: a < b, class ids of the pairs that link; without ``all_links`` those that were compared.
+    """
 
     rows: DataFrame
     links: DataFrame
 
 
-def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
-    """Pairs of entries of two blocks (or of one with itself) that the filters and the leaders' answers leave open."""
+def _block_pairs(at_least: tuple[int, int], kind: pa.DataType, all_links: bool) -> Callable:
+    """Pairs of entries of two blocks (or of one with itself) that the filters and the leaders' answers leave open.
+
+    ``sure`` pairs link by their lower bound; without all links it is false, and pairs of one component are left out.
+    """
     num, den = at_least
-    fields = ("id", "size", "pos", "comp", "leader", "o")
+    fields = ("id", "size", "pos", "comp", "leader", "o", "led")
 
     def entries(column: pa.Array, i: int) -> list[np.ndarray]:
         flat = column[i].values
@@ -235,9 +243,11 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
                 same = batch.column(0)[i].as_py()
                 a = entries(batch.column(1), i)
                 b = a if same else entries(batch.column(2), i)
-                (ia, sa, pa_, ca, la, oa), (ib, sb, pb, cb, lb, ob) = [[x[:, None] for x in a], [x[None, :] for x in b]]
+                (ia, sa, pa_, ca, la, oa, na), (ib, sb, pb, cb, lb, ob, _) = [[x[:, None] for x in a], [x[None, :] for x in b]]
                 need = num * (sa + sb)
-                open_ = (ca != cb) & (ia != ib)
+                open_ = (ia != ib) if all_links else (ca != cb) & (ia != ib)
+                if same:
+                    open_ &= ia < ib
                 open_ &= (den + num) * np.minimum(sa - pa_, sb - pb) >= need
                 # Answers derived from a leader that both were compared with; o is -1 where there is none.
                 known = (la == lb) & (oa >= 0) & (ob >= 0)
@@ -245,27 +255,31 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
                 open_ &= ~known | ((den + num) * most >= need)
                 x, y = np.nonzero(open_)
                 if len(x):
-                    found.append(np.stack([ia[x, 0], ib[0, y]]))
+                    sure = known & ((den + num) * (oa + ob - na) >= need) if all_links else np.zeros_like(open_)
+                    found.append(np.stack([ia[x, 0], ib[0, y], sure[x, y]]))
             if found:
                 pairs = np.concatenate(found, axis=1)
-                low, high = pairs.min(axis=0), pairs.max(axis=0)
-                distinct = np.unique(np.stack([low, high], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]).cast(kind), pa.array(distinct[:, 1]).cast(kind)], ["a", "b"])
+                low, high = pairs[:2].min(axis=0), pairs[:2].max(axis=0)
+                distinct = np.unique(np.stack([low, high, pairs[2]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(distinct[:, 0]).cast(kind), pa.array(distinct[:, 1]).cast(kind), pa.array(distinct[:, 2] == 1)], ["a", "b", "sure"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH, at_least: tuple[int, int] = AT_LEAST, block: int = BLOCK) -> Joined:
+def jaccard_join(
+    docs: DataFrame, width: int = WIDTH, at_least: tuple[int, int] = AT_LEAST, block: int = BLOCK, all_links: bool = False
+) -> Joined:
     """Components of documents whose shingle sets have Jaccard similarity >= at_least[0] / at_least[1].  doc_id: a whole number.
 
     The result is staged; all tables on the way to it are deleted.
     """
     with staged_scope(ship(docs.sparkSession)):
-        found = _join(docs, width, at_least, block)
+        found = _join(docs, width, at_least, block, all_links)
         return Joined(keep_staged(found.rows), keep_staged(found.links))
 
 
-def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) -> Joined:
+def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, all_links: bool) -> Joined:
     spark = docs.sparkSession
     num, den = at_least
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -274,14 +288,14 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) ->
     )
     rows = summary.filter("block is null").select("doc_id", "size", "fp1", "fp2")
     classes = stage(
-        rows.filter("size > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"))
+        rows.filter("size > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
     )
     sketch = spark.sparkContext.broadcast(_sketch(summary.filter("block is not null").select("block", "counts")))
 
     prefixes = docs.filter("doc_id is not null").mapInArrow(
         _prefixes(width, at_least, sketch), "doc_id long, fp1 long, fp2 long, prefix array<long>"
     )
-    posted = prefixes.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "fp1", "fp2"]).select(
+    posted = prefixes.join(classes.select(F.col("id").alias("doc_id"), "fp1", "fp2", "size"), ["doc_id", "fp1", "fp2"]).select(
         F.col("doc_id").alias("id"), "size", F.posexplode("prefix").alias("pos", "token")
     )
     # Sets that link lie in the same or in neighbouring bands (a little wider, so that rounding cannot matter).
@@ -298,16 +312,17 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) ->
     size_of = lambda side: classes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"))
     linked = lambda found: found.join(size_of("a"), "a").join(size_of("b"), "b").filter(
         _linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), at_least)
-    ).select("a", "b", "overlap")
+    ).select("a", "b")
     links = stage(linked(compared))
-    merged = stage(components(links.select("a", "b")))
+    merged = stage(components(links))
 
-    # Blocks of the lists that are not in one component yet.
+    # Blocks of the lists that are not in one component yet, or of all lists.
     label = live.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     mixed = label.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    if not all_links:
+        label = label.join(mixed, "token", "left_semi")
     entries = (
-        label.join(mixed, "token", "left_semi")
-        .join(bands.select("token", "band", F.col("lead.id").alias("leader"), "n"), ["token", "band"])
+        label.join(bands.select("token", "band", F.col("lead.id").alias("leader"), F.col("lead.size").alias("led"), "n"), ["token", "band"])
         .join(compared.select(F.col("a").alias("leader"), F.col("b").alias("id"), "overlap"), ["leader", "id"], "left")
         .withColumn("o", F.when(F.col("leader") == F.col("id"), F.col("size")).otherwise(F.coalesce("overlap", F.lit(-1))))
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
@@ -315,7 +330,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) ->
     size = F.col("size")
     blocks = stage(
         entries.groupBy("token", "band", "salt").agg(
-            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o")).alias("e"),
+            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o", "led")).alias("e"),
             F.min(size).alias("small"), F.max(size - F.col("pos")).alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high"),
         )
     )
@@ -323,20 +338,29 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int) ->
     later = (F.col("b.band") == F.col("a.band") + 1) | ((F.col("b.band") == F.col("a.band")) & (F.col("b.salt") > F.col("a.salt")))
     one = (F.col("a.low") == F.col("b.low")) & (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high"))
     reach = _linked(F.least("a.rest", "b.rest"), F.col("a.small"), F.col("b.small"), at_least)
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & later & ~one & reach).select(F.lit(False).alias("same"), F.col("a.e").alias("x"), F.col("b.e").alias("y"))
-    within = blocks.filter("low < high").select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
-    more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64()), "a long, b long").distinct()
-    late = stage(more.join(compared, ["a", "b"], "left_anti"))
-    links = stage(links.union(linked(whole_overlaps(docs, late, width))))
-
-    final = components(links.select("a", "b"))
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & later & (F.lit(all_links) | ~one) & reach).select(F.lit(False).alias("same"), F.col("a.e").alias("x"), F.col("b.e").alias("y"))
+    within = (blocks if all_links else blocks.filter("low < high")).select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
+    more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64(), all_links), "a long, b long, sure boolean")
+    late = stage(more.groupBy("a", "b").agg(F.max("sure").alias("sure")).join(compared, ["a", "b"], "left_anti"))
+    open_ = linked(whole_overlaps(docs, late.filter("not sure").select("a", "b"), width))
+    links = stage(links.union(open_).union(late.filter("sure").select("a", "b")))
+
+    final = components(links)
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(
         "fp1", "fp2", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
     )
+    linked_rows: list[Column] = []
+    if all_links:
+        both = links.union(links.select("b", "a")).toDF("id", "other")
+        far = both.join(classes.select(F.col("id").alias("other"), "n_rows"), "other").groupBy("id").agg(F.sum("n_rows").alias("far"))
+        counted = classes.join(far, "id", "left").select("fp1", "fp2", (F.col("n_rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+        of_class = of_class.join(counted, ["fp1", "fp2"])
+        linked_rows = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     out = rows.join(of_class, ["fp1", "fp2"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *linked_rows,
     )
     return Joined(out, links)
 
@@ -366,4 +390,5 @@ def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join(docs, width=4, at_least=(85, 100)).rows.select("doc_id", "n_shingles", "component_id")
+    found = jaccard_join(docs, width=4, at_least=(85, 100), all_links=True).rows
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")

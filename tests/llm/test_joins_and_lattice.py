@@ -48,6 +48,32 @@ def test_jaccard_join_against_all_pairs(spark, width, at_least, block):
     assert {i: x["component_id"] for i, x in got.items()} == expected
 
 
+def links_per_row(texts, width, num, den):
+    """Number of other rows that each row links with, by all pairs."""
+    sets = {}
+    for i, text in texts:
+        found = words((text or "").translate(LOWER))
+        sets[i] = {tuple(found[j : j + width]) for j in range(len(found) - width + 1)} or ({tuple(found)} if found else set())
+    near = lambda x, y: bool(x) and den * len(x & y) >= num * len(x | y)
+    return {i: sum(near(x, sets[j]) for j in sets if j != i) for i, x in sets.items()}
+
+
+@pytest.mark.parametrize(("width", "at_least", "block"), [(4, (85, 100), 256), (5, (80, 100), 2), (2, (50, 100), 3)])
+def test_all_links_are_counted(spark, width, at_least, block):
+    # Different near copies of one text, most of which link by way of one leader only, and their copies.
+    r = random.Random(8)
+    base = prose(300, 120).split(" ")
+    group = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in r.sample(range(120), 40)]
+    texts = list(enumerate([t for _, t in variants()] + group + group[:5]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = ngram_join.jaccard_join(docs, width, at_least, block, all_links=True)
+    sizes, components_ = brute(texts, width, *at_least)
+    got = {x["doc_id"]: x for x in found.rows.collect()}
+    assert {i: x["n_links"] for i, x in got.items()} == links_per_row(texts, width, *at_least)
+    assert {i: x["component_id"] for i, x in got.items()} == components_
+    assert found.links.filter("a >= b").count() == 0 and found.links.distinct().count() == found.links.count()
+
+
 def test_jaccard_join_awkward_and_no_rows(spark):
     got = ngram_join.jaccard_join(documents(spark)).rows.toPandas()
     assert len(got) == 19
