@@ -2,7 +2,8 @@
 
 Texts are encoded by the tokenizers library and ordered by doc_id.  Consecutive documents make a shard of about
 ``SHARD_IDS`` ids.  Re-Pair replaces frequent pairs of neighbouring ids by nonterminals, again and again; here each
-round replaces all pairs that occur often enough at once, at places that don't overlap.
+round replaces all pairs that occur often enough at once, at places that don't overlap.  It ends when no pair has
+``LEAST`` such places left.
 
 One row of the store is a shard:
 
@@ -24,6 +25,7 @@ gives an empty store.  Only doc_id and text are read, so extra columns cannot cl
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -45,7 +47,8 @@ SHARD_IDS = 1 << 20
 END_ID = 2
 #: Nonterminals begin here; ids of the vocabulary are smaller.
 FIRST_RULE = 1 << 16
-ROUNDS, LEAST, RULES_A_ROUND = 3, 24, 1 << 14
+#: A rule takes three numbers and saves one at each place, so it pays from four places on.
+LEAST = 4
 #: Bytes of text that one part of the ordered table holds, about.
 PART_BYTES = 24 << 20
 
@@ -104,23 +107,30 @@ class Library:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansions, sequence) of one shard.
 
     A pair's places are taken where its rank is better than the pair before and not worse than the pair after, so
-    no two overlap.  What loses out is found again in the next round.
+    no two overlap.  What loses out is found again in the next round; the best pair never does, so each round gets on.
+    Without ``rounds`` it goes on until no pair has ``least`` places that don't overlap.
     """
     sequence = ids.astype(np.uint32)
     rules, expansions = [], []
     size_of = np.ones(FIRST_RULE, dtype=np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(sequence) < 2:
             break
         pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+        # In a run of one symbol every other place counts, from its first one on.
+        again = np.flatnonzero(pairs[1:] == pairs[:-1]) + 1
+        first_of_run = again[np.concatenate([[True], np.diff(again) > 1])] if len(again) else again
+        odd = again[(again - first_of_run[np.searchsorted(first_of_run, again, side="right") - 1]) % 2 == 0]
+        apart = np.ones(len(pairs), dtype=bool)
+        apart[odd] = False
         if rules:
-            ordered = np.sort(pairs)
+            ordered = np.sort(pairs[apart])
         else:  # two ids of the vocabulary fit in 32 bits, which sort in half the time
-            packed = np.sort((sequence[:-1] << np.uint32(16)) | sequence[1:]).astype(np.uint64)
+            packed = np.sort(((sequence[:-1] << np.uint32(16)) | sequence[1:])[apart]).astype(np.uint64)
             ordered = (packed >> np.uint64(16) << np.uint64(32)) | (packed & np.uint64(0xFFFF))
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         often = np.diff(edges)
@@ -131,7 +141,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         # in a row.
         keys = ordered[edges[frequent]]
         mixed = keys * np.uint64(0xD6E8FEB86659FD93)
-        best = np.lexsort((mixed, -np.log2(often[frequent]).astype(np.int64)))[:RULES_A_ROUND]
+        best = np.lexsort((mixed, -np.log2(often[frequent]).astype(np.int64)))
         keys = keys[best]
         # A table without chains: of the pairs that share a slot the most frequent stays, the others wait.
         slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
@@ -139,13 +149,13 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         rank_at[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
         rank = rank_at[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)]
         rank[keys[rank] != pairs] = -1
-        rank[rank < 0] = len(keys)
+        rank[(rank < 0) | ~apart] = len(keys)
         better = np.ones(len(rank), dtype=bool)
         better[1:] = rank[1:] < rank[:-1]
         better[:-1] &= rank[:-1] <= rank[1:]
         places = np.flatnonzero(better & (rank < len(keys)))
         taken = rank[places]
-        used = np.flatnonzero(np.bincount(taken, minlength=len(keys)) >= 4)
+        used = np.flatnonzero(np.bincount(taken, minlength=len(keys)) >= least)
         number_of = np.full(len(keys), -1, dtype=np.int64)
         number_of[used] = np.arange(len(used))
         number = number_of[taken]

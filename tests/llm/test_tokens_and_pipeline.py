@@ -85,6 +85,23 @@ def test_repair_compresses():
     assert len(sequence) + rules.size < len(ids) / 10
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(4)
+    passage, rare = r.integers(10, 60000, 700), r.integers(10, 60000, 30)
+    parts = [x for k in range(64) for x in (passage, r.integers(10, 60000, 20))] + [x for k in range(6) for x in (rare, r.integers(10, 60000, 9))]
+    ids = np.concatenate([*parts, np.full(1000, 7)]).astype(np.uint32)
+    rules, expansions, sequence = token_store.compress(ids)
+    assert token_store.Grammar(rules, expansions).expand(sequence).tolist() == ids.tolist()
+    # A passage, frequent or not, becomes one nonterminal, and a run takes a few.
+    assert (expansions == 700).any() and (expansions == 30).any() and expansions.max() == 700
+    assert len(sequence) < 64 * 21 + 6 * 10 + 12
+    places = {}
+    for i, pair in enumerate(zip(sequence.tolist(), sequence[1:].tolist())):
+        if not places.get(pair) or places[pair][-1] < i - 1:
+            places.setdefault(pair, []).append(i)
+    assert max(map(len, places.values())) < token_store.LEAST
+
+
 @pytest.mark.parametrize("shard_ids", [50, 1 << 20])
 def test_store_round_trip(spark, shard_ids):
     path = scratch_path(spark, "store")
