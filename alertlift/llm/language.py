@@ -3,7 +3,9 @@
 A text's letters, lower-cased for A-Z and with everything else as one blank, are counted as byte n-grams of one
 to three bytes in ``DIMENSIONS`` hashed places.  Counts become TF-IDF vectors of length one; a language is several
 centroids, found by k-means on cosine among a sample of its documents; a text takes the language of the nearest
-centroid.  It is rejected when even that centroid is farther away than any of the sample's members by a margin.
+centroid.  It is rejected when even that centroid is farther away than nearly all training texts of like length.  The
+distances for that are taken apart from the centroids: those of one half of the sample to centroids of the other half,
+with the sample's texts cut to each of ``LENGTHS``.  A language with fewer than ``FEWEST`` such texts has no limit.
 
 Document frequencies cover all training documents.  Centroids are fitted on about ``SAMPLE`` documents of each
 language, chosen by a hash of their id (all of them where there are fewer).
@@ -16,6 +18,7 @@ columns cannot clash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +34,13 @@ from alertlift.llm.shipping import ship
 DIMENSIONS = 4096
 #: Expected sample of each language, centroids of each, and rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
-#: A text is rejected when its distance is over MARGIN times the largest distance in its language's sample ...
-MARGIN = 1.5
-#: ... but never when its cosine is at least this.
-SURE = 0.1
+#: Share of the training texts of like length that are nearer than the limit, and fewest texts that set one.
+QUANTILE, FEWEST = 0.99, 40
+#: Bytes to which the sample's texts are cut for the limits.
+LENGTHS = (16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 SHARPNESS = 25.0
 
+_SAMPLED = ["lang", "cut", "doc", "v"]
 _ORDERS = 3
 _BLANK = 0x20
 _LETTERS = np.full(256, _BLANK, dtype=np.uint8)
@@ -99,11 +103,26 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sample_vectors(idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Vectors of whole texts (cut null) and of their beginnings; ``doc`` is the same for all of one text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in _small(batch.column(1)):
-                rows = [v.tobytes() for v in vectors(texts, idf)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), pa.array(rows, pa.binary())], ["lang", "v"])
+                langs = batch.column(0).slice(texts.first, texts.n).to_pylist()
+                whole = [v.tobytes() for v in vectors(texts, idf)]
+                docs = [hashlib.md5(v).digest() for v in whole]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()), pa.nulls(texts.n, pa.int64()), pa.array(docs, pa.binary()), pa.array(whole, pa.binary())], _SAMPLED)
+                raw = [texts.text(i).encode("utf-8") for i in range(texts.n)]
+                for cut in LENGTHS:
+                    own = [i for i in range(texts.n) if len(raw[i]) >= cut]
+                    begun = pa.array([raw[i][:cut].decode("utf-8", "ignore") for i in own], pa.string())
+                    for part in _small(begun):
+                        at = own[part.first : part.first + part.n]
+                        rows = [v.tobytes() for v in vectors(part, idf)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([langs[i] for i in at], pa.string()), pa.array([cut] * part.n, pa.int64()),
+                             pa.array([docs[i] for i in at], pa.binary()), pa.array(rows, pa.binary())], _SAMPLED)
 
     return run
 
@@ -113,9 +132,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def _cluster(members: pd.DataFrame) -> pd.DataFrame:
-    """k-means on cosine over the sample of one language; starts are farthest apart, so reruns agree."""
-    x = np.stack([np.frombuffer(v, np.float32) for v in sorted(members["v"])])
+def _centres(x: np.ndarray) -> np.ndarray:
+    """k-means on cosine; starts are farthest apart, so reruns agree."""
     centres = _unit(x.mean(axis=0, keepdims=True))
     while len(centres) < min(CENTROIDS, len(x)):
         centres = np.concatenate([centres, x[[(x @ centres.T).max(axis=1).argmin()]]])
@@ -123,15 +141,36 @@ def _cluster(members: pd.DataFrame) -> pd.DataFrame:
         nearest = (x @ centres.T).argmax(axis=1)
         own = [x[nearest == k].mean(axis=0) if (nearest == k).any() else centres[k] for k in range(len(centres))]
         centres = _unit(np.stack(own))
-    widest = float(1 - (x @ centres.T).max(axis=1).min())
-    return pd.DataFrame({"lang": members["lang"].iloc[0], "v": [c.astype(np.float32).tobytes() for c in centres], "widest": widest})
+    return centres
+
+
+def _cluster(members: pd.DataFrame) -> pd.DataFrame:
+    """Centroids from the sample of one language, and the limit of distance for each of LENGTHS (infinite: none)."""
+    members = members.sort_values(["doc", "cut", "v"])
+    read = lambda found: np.stack([np.frombuffer(v, np.float32) for v in found["v"]])
+    whole = members[members["cut"].isna()]
+    centres = _centres(read(whole))
+    # Equal texts lie in one half.
+    half = lambda found: np.array([d[0] % 2 for d in found["doc"]])
+    halves = [whole[half(whole) == h] for h in (0, 1)]
+    limits = np.full(len(LENGTHS), np.inf)
+    if min(map(len, halves)):
+        other = [_centres(read(halves[1 - h])) for h in (0, 1)]
+        for k, cut in enumerate(LENGTHS):
+            begun = members[members["cut"] == cut]
+            if len(begun) >= FEWEST:
+                side, x = half(begun), read(begun)
+                limits[k] = np.quantile(np.where(side == 0, *[1 - (x @ c.T).max(axis=1) for c in other]), QUANTILE)
+            elif k:
+                limits[k] = limits[k - 1]  # shorter texts are farther away
+    return pd.DataFrame({"lang": members["lang"].iloc[0], "v": [c.astype(np.float32).tobytes() for c in centres], "limits": [limits.tolist()] * len(centres)})
 
 
 class Model:
-    """idf, centroids as rows, their language's place in ``langs``, and each language's widest member."""
+    """idf, centroids as rows, their language's place in ``langs``, and each language's limits of distance by LENGTHS."""
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, widest: np.ndarray):
-        self.langs, self.idf, self.centroids, self.owner, self.widest = langs, idf, centroids, owner, widest
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray):
+        self.langs, self.idf, self.centroids, self.owner, self.limits = langs, idf, centroids, owner, limits
 
     def predict(self, texts: ta.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the language (-1: none), score and rejection of each text."""
@@ -142,8 +181,10 @@ class Model:
         place = best.argmax(axis=1)
         top = best[np.arange(len(place)), place]
         score = 1 / np.exp(SHARPNESS * (best - top[:, None])).sum(axis=1)
-        rejected = (1 - top > MARGIN * self.widest[place]) | (top <= 0)
-        rejected &= top < SURE
+        # The limit of the next shorter length; below the shortest only a text that shares nothing goes.
+        length = np.searchsorted(LENGTHS, texts.lengths(), side="right") - 1
+        limit = np.where(length >= 0, self.limits[place, np.maximum(length, 0)], np.inf)
+        rejected = (1 - top > limit) | (top <= 0)
         none = ~has_letter(texts)
         return np.where(none, -1, place), np.where(none, 0.0, score), rejected | none
 
@@ -159,20 +200,20 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model:
     # One rate for each language, as many as there will be groups of centroids here; a join would shuffle the texts.
     rates = {r["lang"]: min(1.0, sample / r["n"]) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not rates:
-        return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.empty(0, np.int64), np.empty(0))
+        return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.empty(0, np.int64), np.empty((0, len(LENGTHS))))
     by_lang = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     chosen = train.filter(drawn < by_lang[F.col("lang")]).select("lang", "text")
     found = (
-        chosen.mapInArrow(_sample_vectors(idf), "lang string, v binary")
-        .groupBy("lang").applyInPandas(_cluster, "lang string, v binary, widest double")
+        chosen.mapInArrow(_sample_vectors(idf), "lang string, cut long, doc binary, v binary")
+        .groupBy("lang").applyInPandas(_cluster, "lang string, v binary, limits array<double>")
         .toPandas().sort_values(["lang", "v"])
     )
     langs = sorted(found["lang"].unique())
     owner = np.array([langs.index(x) for x in found["lang"]], dtype=np.int64)
     centroids = np.stack([np.frombuffer(v, np.float32) for v in found["v"]]) if langs else np.zeros((0, DIMENSIONS), np.float32)
-    widest = np.array([found.loc[found["lang"] == x, "widest"].iloc[0] for x in langs])
-    return Model(langs, idf, centroids, owner, widest)
+    limits = np.array([found.loc[found["lang"] == x, "limits"].iloc[0] for x in langs], dtype=np.float64).reshape(len(langs), len(LENGTHS))
+    return Model(langs, idf, centroids, owner, limits)
 
 
 def _predict(model, carried: list[str]) -> Callable:  # noqa: ANN001  a broadcast

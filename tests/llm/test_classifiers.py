@@ -60,6 +60,20 @@ def test_foreign_script_is_rejected(spark, model):
     assert language.predict(docs, model).first()["rejected"]
 
 
+def test_unlearned_texts_of_the_same_alphabet_are_rejected(spark, model):
+    r = np.random.default_rng(9)
+    finnish = "ja on ei se että hän oli mutta niin kuin jos vain ovat myös minä sinä tämä kaikki sitten vielä yksi kaksi näin".split()
+    foreign = [" ".join(r.choice(finnish, 60)) for _ in range(40)]
+    random_letters = [" ".join("".join(r.choice(list("bcdfghjklmnpqrstvwxyzjqxz"), 9)) for _ in range(40)) for _ in range(40)]
+    blobs = ["".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)) for _ in range(40)]
+    clean = [prose(700 + i, 5 + i % 30, lang) for i in range(50) for lang in ("en", "de")]
+    gone = {}
+    for name, texts in (("foreign", foreign), ("letters", random_letters), ("blobs", blobs), ("clean", clean)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        gone[name] = language.predict(docs, model).filter("rejected").count()
+    assert gone["foreign"] >= 36 and gone["letters"] >= 38 and gone["blobs"] >= 38 and gone["clean"] <= 5, gone
+
+
 def labelled(spark, toxic=False):
     own = []
     for i in range(300):
