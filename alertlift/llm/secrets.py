@@ -3,12 +3,14 @@
 Base patterns mark credentials of three kinds.  The credentials they mark are the labelled strings of grammar
 inference: per kind a prefix-tree automaton with counts is built over character classes, and states are merged when
 their frequencies of stopping and of every next class agree within a Hoeffding bound, together with all states
-below.  Ordinary long tokens give a background automaton in the same way.  Every candidate token that no base match
-covers is then scored by the likelihood of its format: it is marked when some kind explains it about as well as its
-own labelled strings, and better than the background by a margin.
+below.  Ordinary long tokens give a background automaton in the same way.  Every candidate (a token, or what base
+matches leave of one) is then scored by the likelihood of its format: it is marked when some kind explains it about as
+well as its own labelled strings, and better than the background by a margin.  Automata see ``SEEN`` characters.
+Where a candidate as a whole does not pass, its parts between separators are scored, and of one longer than that also
+windows of that length, one every ``STEP`` characters.
 
-Automata are fitted on about ``SAMPLE_DOCS`` documents chosen by a hash of their id, and at most ``STRINGS`` strings
-of each kind from there.  Scanning reads all texts whole.
+Automata of credentials are fitted on about ``STRINGS`` strings of each kind out of all base matches of the corpus, the
+background on as many tokens of about ``SAMPLE_DOCS`` documents.  Scanning reads all texts whole.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal spans; with fewer than
 ``FEWEST`` labelled strings of a kind there is no grammar for it, and without any only base spans are found; an empty
@@ -38,6 +40,8 @@ KINDS = ("assign", "access", "hex", "format")
 SAMPLE_DOCS, STRINGS, FEWEST = 20_000, 800, 20
 #: Shortest candidate, longest prefix of a string that automata see, and certainty of the merge test.
 CANDIDATE, SEEN, ALPHA = 16, 64, 0.05
+#: Characters between the starts of the windows of a long candidate.
+STEP = 16
 #: Share of the labelled strings that may score below the limit, and nats a character over the background.
 QUANTILE, MARGIN = 0.02, 0.35
 #: Probability of a class that a state has never seen.
@@ -48,6 +52,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
+#: Parts of a token between separators.
+_PART = re.compile(rf"[A-Za-z0-9]{{{CANDIDATE},}}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _LONG = np.zeros(256, dtype=bool)
@@ -75,18 +81,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def credentials(text: str) -> list[tuple[str, str]]:
+def credentials(text: str, others: bool = True) -> list[tuple[str, str]]:
     """Labelled strings of a text: (kind, credential), and ("other", token) for long tokens outside of base spans."""
     out = [("assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", m[0]) for m in HEX.finditer(text)]
+    if not others:
+        return out
     return out + [("other", text[a:b]) for a, b in candidates(text, base_spans(text), shortest=8)]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]], shortest: int = CANDIDATE) -> list[tuple[int, int]]:
-    """Tokens that no base span touches."""
+    """Tokens, and the parts of tokens that base spans leave, of ``shortest`` characters or more."""
     tokens = _TOKEN if shortest == CANDIDATE else re.compile(rf"[A-Za-z0-9+/_.=-]{{{shortest},}}")
-    return [m.span() for m in tokens.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    out, first = [], 0
+    for m in tokens.finditer(text):
+        at, end = m.span()
+        # Base spans are sorted by start; those that end before this token do not matter to later ones either.
+        while first < len(base) and base[first][2] <= at:
+            first += 1
+        for a, _, b in base[first:]:
+            if a >= end:
+                break
+            if a - at >= shortest:
+                out.append((at, a))
+            at = max(at, b)
+        if end - at >= shortest:
+            out.append((at, end))
+    return out
 
 
 @dataclass
@@ -191,8 +213,6 @@ class Grammars:
     background: Automaton | None
 
     def is_credential(self, token: str) -> bool:
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            return False
         ordinary = self.background.per_character(token) if self.background else -math.log(CLASSES)
         for automaton, limit in self.kinds.values():
             own = automaton.per_character(token)
@@ -200,9 +220,24 @@ class Grammars:
                 return True
         return False
 
+    def found(self, token: str) -> list[tuple[int, int]]:
+        """Stretches of a candidate that are credentials: the whole, or else its parts, and windows of a long one."""
+        if len(token) <= SEEN and self.is_credential(token):
+            return [(0, len(token))]
+        parts = [m.span() for m in _PART.finditer(token) if m.end() - m.start() < len(token)]
+        if len(token) > SEEN:
+            parts += [(a, a + SEEN) for a in (*range(0, len(token) - SEEN, STEP), len(token) - SEEN)]
+        marked: list[tuple[int, int]] = []
+        for a, b in sorted(p for p in parts if p[1] - p[0] <= SEEN and self.is_credential(token[p[0] : p[1]])):
+            if marked and a <= marked[-1][1]:
+                marked[-1] = (marked[-1][0], max(b, marked[-1][1]))
+            else:
+                marked.append((a, b))
+        return marked
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         base = base_spans(text)
-        return sorted(base + [(a, 3, b) for a, b in candidates(text, base) if self.is_credential(text[a:b])])
+        return sorted(base + [(a + x, 3, a + y) for a, b in candidates(text, base) for x, y in self.found(text[a:b])])
 
 
 def _suspects(texts: ta.Texts) -> np.ndarray:
@@ -224,8 +259,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds, strings = [], []
         for texts in ta.slices(batch.column(0)):
-            for i in range(texts.n):
-                for kind, string in credentials(texts.text(i)):
+            sampled = batch.column(1).slice(texts.first, texts.n).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(sampled | _suspects(texts)):
+                for kind, string in credentials(texts.text(i), sampled[i]):
                     kinds.append(kind)
                     strings.append(string[: SEEN + 1])
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], ["kind", "string"])
@@ -245,7 +281,8 @@ def infer(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = STRING
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     n = rows.select("doc_id").count()
     unit = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    found = rows.filter(unit < sample_docs / max(n, 1)).select("text").mapInArrow(_labelled, "kind string, string string").distinct()
+    sampled = F.coalesce(unit < sample_docs / max(n, 1), F.lit(False)).alias("sampled")
+    found = rows.select("text", sampled).mapInArrow(_labelled, "kind string, string string").distinct()
     # The strings with the smallest hashes of each kind; a hash below the limit of its kind's expected number.
     counted = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     drawn = F.pmod(F.xxhash64("string"), F.lit(1 << 30)) / float(1 << 30)

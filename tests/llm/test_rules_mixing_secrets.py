@@ -134,6 +134,33 @@ def test_grammars_add_spans_and_leave_prose_alone(spark):
         assert got[i]["n_assign"] == 1
 
 
+def test_all_of_a_token_is_scored(spark):
+    docs, hexes = credential_docs(spark)
+    model = secrets.infer(docs)
+    secret = hexes[0][:20]
+    found = lambda text: [text[a:b] for a, k, b in model.spans(text) if k == 3]
+    # Behind a path of more than 64 characters, and next to a base span in one token.
+    path = "/".join(["usr", "share", "common", "documents", "projects", "archives", "letters", "pictures"]) + "/"
+    assert len(path) > secrets.SEEN - 20 and secret in found("x " + path * 2 + secret + " y")
+    assert any(secret in x for x in found("x AKIA" + "Z" * 16 + "/" + secret + " y"))
+    assert secrets.candidates("a" * 20 + "." + "b" * 9, [(5, 2, 21)], 8) == [(21, 30)]
+    assert found("x " + path * 2 + " y") == []
+
+
+def test_credentials_may_lack_digits(spark):
+    r = random.Random(14)
+    own = [(i, "password=" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    assert secrets.infer(docs).spans("x qWhZtRbNxkLpVsGdYmTc y") == [(2, 3, 22)]
+
+
+def test_rare_kinds_are_learned_from_all_documents(spark):
+    r = random.Random(12)
+    own = [(i, prose(i, 12) + (f" AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}" if i % 20 == 0 else "")) for i in range(800)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    assert "access" in secrets.infer(docs, sample_docs=50).kinds
+
+
 def test_automaton_merges_states():
     automaton = secrets.Automaton(["".join(random.Random(i).choice("0123456789abcdef") for _ in range(20)) for i in range(300)])
     assert len(automaton.states) < 60
