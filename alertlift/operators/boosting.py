@@ -28,7 +28,7 @@ from alertlift.operators.binning import BLOCK_COLUMNS, MAX_BINS, UNIT, Block, En
 from alertlift.operators.folds import SEED
 from alertlift.operators.forest import (
     CHUNK, HISTOGRAM, LOCAL_ROWS, Fit, Top, Unit, add_histograms, choose_splits, deal, histogram_batch, histogram_salts, published,
-    unit_arrays,
+    partitions_for, unit_arrays,
 )
 from alertlift.sources.shipping import ship_package
 from alertlift.sources.staging import stage
@@ -313,6 +313,70 @@ def _start(total: int, count: int) -> int:
     return round(total / max(count, 1))
 
 
+class _Level:
+    """Rows of one tree in memory: their nodes, and the histograms of the last level."""
+
+    def __init__(self, bins: np.ndarray, value: np.ndarray):
+        self.bins, self.value = bins, value
+        self.columns = [bins[:, j].astype(np.int64) for j in range(bins.shape[1])]
+        self.node = np.zeros(len(bins), dtype=np.int64)
+        # Float sums of whole numbers below 2**53 are exact; larger ones are added in halves.
+        self.small = len(value) * int(np.abs(value).max(initial=0)) < 1 << 52
+        self.last: tuple[dict[int, int], np.ndarray, np.ndarray] | None = None
+
+    def descend(self, top: Top) -> None:
+        """One step down for the rows of nodes that were split."""
+        if len(top.feature) > 1:
+            feature, at, left = np.array(top.feature), np.array(top.bin), np.array(top.left)
+            moving = np.flatnonzero(feature[self.node] >= 0)
+            here = self.node[moving]
+            self.node[moving] = left[here] + (self.bins[moving, feature[here]] > at[here])
+
+    def _sums(self, nodes: list[int], n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(n_nodes, -1)
+        place[nodes] = np.arange(len(nodes))
+        at = place[self.node]
+        rows = np.flatnonzero(at >= 0)
+        every = len(rows) == len(at)
+        at, own = (at, self.value) if every else (at[rows], self.value[rows])
+        at, size, p = at * MAX_BINS, len(nodes) * MAX_BINS, len(self.columns)
+        high, low = (None, own) if self.small else (own >> 24, own & ((1 << 24) - 1))
+        weight = np.zeros((len(nodes), p, MAX_BINS), dtype=np.int64)
+        total = np.zeros_like(weight)
+        for j, column in enumerate(self.columns):
+            cell = at + (column if every else column[rows])
+            weight[:, j] = np.bincount(cell, minlength=size).reshape(-1, MAX_BINS)
+            total[:, j] = np.bincount(cell, weights=low, minlength=size).astype(np.int64).reshape(-1, MAX_BINS)
+            if high is not None:
+                total[:, j] += np.bincount(cell, weights=high, minlength=size).astype(np.int64).reshape(-1, MAX_BINS) << 24
+        return weight, total
+
+    def choose(self, tops: dict[int, Top], todo: list, may: np.ndarray, rules: list[growth.Rule]) -> list[_Choice]:
+        """Splits of the open nodes.  Of two siblings the smaller one is counted, the other is what the parent has more."""
+        top, nodes = tops[0], [n for _, n in todo]
+        self.descend(top)
+        if self.last is None:
+            weight, total = self._sums(nodes, len(top.feature))
+        else:
+            index, above_w, above_t = self.last
+            parent = {top.left[n]: n for n in index if top.feature[n] >= 0}
+            size = np.bincount(self.node, minlength=len(top.feature))
+            less = [n if size[n] <= size[n + 1] else n + 1 for n in nodes[0::2]]
+            small_w, small_t = self._sums(less, len(top.feature))
+            up = [index[parent[n]] for n in nodes[0::2]]
+            weight = np.empty((len(nodes), *small_w.shape[1:]), dtype=np.int64)
+            total = np.empty_like(weight)
+            side = np.array(less) - np.array(nodes[0::2])
+            pair = 2 * np.arange(len(less))
+            for out, own, above in ((weight, small_w, above_w), (total, small_t, above_t)):
+                out[pair + side], out[pair + 1 - side] = own, above[up] - own
+        self.last = ({n: i for i, n in enumerate(nodes)}, weight, total)
+        found = growth.best_splits(weight, total, may, rules[0])
+        w, t = weight[:, 0].sum(axis=1), total[:, 0].sum(axis=1)
+        columns = (found.feature, found.bin, w, t, found.left_weight, found.left_sum)
+        return [_Choice(i, *map(int, c)) for i, c in enumerate(zip(*columns, strict=True))]
+
+
 def boost(
     spec: Boosting, stops: set[int], row: np.ndarray, y: np.ndarray, bins: np.ndarray, held: np.ndarray
 ) -> Iterator[tuple[int, np.ndarray]]:
@@ -326,48 +390,21 @@ def boost(
         used = np.flatnonzero(spec.draws(round_, row) > 0)
         mine, rest = bins[used], y[used] - score[used]
         value = np.sign(rest) if spec.absolute else rest
-        node = np.zeros(len(used), dtype=np.int64)
-        columns = [np.ascontiguousarray(mine[:, j]) for j in range(p)]
-
-        def choose(tops: dict[int, Top], todo: list, may: np.ndarray, rules: list[growth.Rule]) -> list[_Choice]:
-            top = tops[0]
-            if len(top.feature) > 1:  # one step down
-                feature, at, left = np.array(top.feature), np.array(top.bin), np.array(top.left)
-                moving = np.flatnonzero(feature[node] >= 0)
-                here = node[moving]
-                node[moving] = left[here] + (mine[moving, feature[here]] > at[here])  # noqa: B023
-            place = np.full(len(top.feature), -1)
-            place[[n for _, n in todo]] = np.arange(len(todo))
-            at = place[node]
-            open_ = np.flatnonzero(at >= 0)
-            weight = np.zeros((len(todo), p, MAX_BINS), dtype=np.int64)
-            total = np.zeros_like(weight)
-            own, size = value[open_], len(todo) * MAX_BINS  # noqa: B023
-            small = len(own) * int(np.abs(own).max(initial=0)) < 1 << 52
-            high, low = own >> 24, own & ((1 << 24) - 1)
-            for j in range(p):
-                cell = at[open_] * MAX_BINS + columns[j][open_]  # noqa: B023
-                weight[:, j] = np.bincount(cell, minlength=size).reshape(-1, MAX_BINS)
-                add = lambda v: np.bincount(cell, weights=v, minlength=size).astype(np.int64).reshape(-1, MAX_BINS)  # noqa: B023, E731
-                # Float sums of whole numbers below 2**53 are exact; larger ones are added in halves.
-                total[:, j] = add(own) if small else add(low) + (add(high) << 24)
-            found = growth.best_splits(weight, total, may, rules[0])
-            w, t = weight[:, 0].sum(axis=1), total[:, 0].sum(axis=1)
-            return [
-                _Choice(i, int(found.feature[i]), int(found.bin[i]), int(w[i]), int(t[i]), int(found.left_weight[i]), int(found.left_sum[i]))
-                for i in range(len(todo))
-            ]
-
-        tops, sums = _grow_round({0: spec}, round_, p, choose)
+        level = _Level(mine, value)
+        tops, sums = _grow_round({0: spec}, round_, p, level.choose)
         top = tops[0]
+        level.descend(top)
         medians = {}
         if spec.absolute:
-            end = top.route(mine)
+            end = level.node.astype(np.int16) if len(top.feature) < 1 << 15 else level.node
             order = np.argsort(end, kind="stable")
             begins = np.flatnonzero(np.concatenate([[True], end[order][1:] != end[order][:-1]])) if len(order) else []
             medians = {int(end[part[0]]): _middle(rest[part]) for part in np.split(order, begins[1:]) if len(part)}
         tree = _Tree(top, _steps(spec, top, {n: v for (_, n), v in sums.items()}, medians))
-        score += tree.of(bins)
+        score[used] += tree.adds[level.node]
+        if len(used) < len(y):
+            rest_of = np.setdiff1d(np.arange(len(y)), used, assume_unique=True)
+            score[rest_of] += tree.of(bins[rest_of])
         held_score += tree.of(held)
         if round_ + 1 in stops:
             yield round_ + 1, held_score.copy()
@@ -414,7 +451,7 @@ def fit_boosted(encoded: Encoded, fits: Sequence[Fit]) -> DataFrame:
     local = [i for i, n in enumerate(counts) if n <= LOCAL_ROWS]
     if local:
         units = [Unit(i, 0, fits[i].forest.rounds, 0) for i in local]
-        dealt = rows.mapInArrow(deal(fits, {}, units, blocks), CHUNK).repartition(max(1, min(len(units), 2000)), "unit")
+        dealt = rows.mapInArrow(deal(fits, {}, units, blocks), CHUNK).repartition(partitions_for(units), "unit")
         out.append(stage(dealt.groupBy("unit").applyInArrow(_in_one_task(fits, units, p), _SCORED)))
     spread = [i for i in range(len(fits)) if i not in set(local)]
     if spread:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import alertlift.plans.trained  # noqa: F401  (registers its queries)
 from alertlift.plans.oracles import ORACLES
 from alertlift.plans.queries import QUERIES
 
