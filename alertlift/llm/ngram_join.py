@@ -11,19 +11,23 @@
    the token) and by component.  Inside a block pair, an entry's answers follow from its leader's: with
    o(u) = |leader & u| known, |u & v| lies between o(u) + o(v) - |leader| and
    min(o(u), o(v)) + min(|u| - o(u), |v| - o(v)); only pairs these bounds leave open are compared by whole sets.
-5. Where all links are asked for, nothing is skipped by component: a pair whose lower bound reaches the threshold is
-   a link as it stands, and only pairs between the two bounds are compared.
+5. Links are counted within components, where all of them lie.  Each set is written down as what it lacks of and has beyond the
+   set of its component's leader.  Classes of a component are dealt to blocks of bounded size; for two blocks, the same
+   bounds from the leader's answers settle most pairs, and the overlaps of the others follow from the differences alone:
+   |u & v| = |leader| - lacks(u) - lacks(v) + |lacks(u) & lacks(v)| + |beyond(u) & beyond(v)|.  A block pair gives one count per
+   class; no pair of documents is ever written.
 
-Components are those of all links: a pair is left out only when it cannot link or, unless all links are asked for, is
-already connected.
+Components are those of all links: a pair is left out only when it cannot link or is already connected.
 
 A third of all rows may be copies of one text: they are one class, found by an aggregation with partial sums.  A
 list may be very long: bands, counts and leaders are partial aggregates and blocks have a bounded size.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text with
-fewer words than the shingle width has its whole sequence as one shingle; repeated rows link like copies; a row
-without doc_id takes the component of its copies or null.  Texts are read whole.  An empty table gives no rows.
-Only doc_id and text are read, so extra columns cannot clash.  Shingles are compared by 64-bit hashes.
+fewer words than the shingle width has its whole sequence as one shingle; repeated rows link like copies.  Classes are told
+apart by their sets alone: a row without doc_id links like any other, and one doc_id with two texts stands in two classes
+and joins neither; a component bears its smallest doc_id, null if it has none.  Texts are read whole.  An empty table gives
+no rows.  Only doc_id and text are read, so extra columns cannot clash.  Shingles are compared by 64-bit hashes, and a class
+is known by 64 bits of its fingerprint.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 14
 FILTER_BITS = 1 << 23
 #: Entries of a list block, on average.
 BLOCK = 256
+#: Classes and bytes of differences of one block in which links are counted; tokens looked at at once there.
+COUNTED, COUNTED_BYTES, COUNTED_TOKENS = 512, 4 << 20, 4096
 
 _SEEDS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], dtype=np.uint64)
 
@@ -165,18 +171,39 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 def _sets_of(width: int, bitmap) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
+            bit = batch.column(1).to_numpy()
             wanted = (bitmap.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1
             kept = batch.filter(pa.array(wanted))
-            for texts in ta.slices(kept.column(1)):
+            for texts in ta.slices(kept.column(0)):
+                sets = shingle_sets(texts, width)
+                prints = np.array([ta.mix(s ^ _SEEDS[0]).sum() for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column(0).slice(texts.first, texts.n),
-                     pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, width)], pa.binary())],
-                    ["id", "set"])
+                    [pa.array(prints), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["id", "set"]
+                )
 
     return run
 
 
+def _by_doc(column: str) -> Column:
+    """Ids of rows as the filter sees them; rows without one share one."""
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("long"))
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the classes ``ids``, one row each.
+
+    A fixed-size bitmap of the rows that stand for them drops the other texts where they are read, so only sets that
+    take part are shuffled.
+    """
+    spark = docs.sparkSession
+    wanted = classes.join(ids, "id", "left_semi").select(_by_doc("rep").alias("rep"))
+    bitmap = spark.sparkContext.broadcast(id_filter(wanted))
+    bit = F.pmod(F.xxhash64(_by_doc("doc_id")), F.lit(FILTER_BITS)).alias("bit")
+    # Rows of one class by the row that stands for it: copies under other ids do not pass.
+    sets = docs.select("text", bit).mapInArrow(_sets_of(width, bitmap), "id long, set binary")
+    return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         overlap = np.zeros(batch.num_rows, dtype=np.int64)
@@ -190,25 +217,139 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlap)], ["a", "b", "overlap"])
 
 
-def whole_overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, overlap) of the distinct pairs (a, b), by the whole sets of both; staged.
-
-    A fixed-size bitmap of the ids that occur drops the other texts where they are read, so only sets that
-    take part are shuffled.
-    """
-    spark, pairs = docs.sparkSession, stage(pairs)
+def whole_overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, overlap) of the distinct pairs (a, b) of classes, by the whole sets of both; staged."""
+    pairs = stage(pairs)
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    bitmap = spark.sparkContext.broadcast(id_filter(ids))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
-    sets = docs.filter("doc_id is not null").select("doc_id", "text", bit).mapInArrow(_sets_of(width, bitmap), f"id {kind}, set binary")
-    sets = stage(sets.join(ids, "id", "left_semi"))
+    sets = stage(sets_of(docs, classes, ids, width))
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    out = both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, f"a {kind}, b {kind}, overlap long")
+    out = both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, overlap long")
     return stage(out.groupBy("a", "b").agg(F.max("overlap").alias("overlap")))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(comp, id, n_rows, set, set of the leader) to what the set lacks of the leader's and has beyond it."""
+    for batch in batches:
+        lacks, beyond, size, led = [], [], [], []
+        for i in range(batch.num_rows):
+            own, leader = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (3, 4))
+            lacks.append(np.setdiff1d(leader, own, assume_unique=True).tobytes())
+            beyond.append(np.setdiff1d(own, leader, assume_unique=True).tobytes())
+            size.append(len(own))
+            led.append(len(leader))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in range(3)), pa.array(size, pa.int64()), pa.array(led, pa.int64()),
+             pa.array(lacks, pa.binary()), pa.array(beyond, pa.binary())],
+            ["comp", "id", "n_rows", "size", "led", "lacks", "beyond"],
+        )
+
+
+@dataclass
+class _Classes:
+    """Classes of one block: their differences from the leader as flat arrays."""
+
+    id: np.ndarray
+    n_rows: np.ndarray
+    size: np.ndarray
+    led: int
+    lacks: list[np.ndarray]
+    beyond: list[np.ndarray]
+
+    @staticmethod
+    def of(value: pa.Scalar) -> _Classes:
+        flat = value.values
+        whole = lambda f: flat.field(f).to_numpy(zero_copy_only=False)
+        parts = lambda f: [np.frombuffer(v.as_buffer(), "<u8") for v in flat.field(f)]
+        return _Classes(whole("id"), whole("n_rows"), whole("size"), int(whole("led")[0]), parts("lacks"), parts("beyond"))
+
+
+def _common_counts(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """|x & y| for x in the chosen ``rows`` of ``a`` and y in the chosen ``columns`` of ``b``."""
+    flat = lambda sets, which: np.concatenate([np.empty(0, "<u8"), *(sets[i] for i in which)])
+    owner = lambda sets, which: np.repeat(np.arange(len(which)), [len(sets[i]) for i in which])
+    x, y, of_x, of_y = flat(a, rows), flat(b, columns), owner(a, rows), owner(b, columns)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(rows), len(columns)))
+    for start in range(0, len(shared), COUNTED_TOKENS):
+        some = shared[start : start + COUNTED_TOKENS]
+        sides = []
+        for tokens, of, n in ((x, of_x, len(rows)), (y, of_y, len(columns))):
+            at = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+            hit = some[at] == tokens
+            member = np.zeros((n, len(some)), dtype=np.float32)
+            member[of[hit], at[hit]] = 1
+            sides.append(member)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def links_between(a: _Classes, b: _Classes, at_least: tuple[int, int]) -> np.ndarray:
+    """Which classes of ``a`` link with which of ``b``, from their common leader's answers and their differences."""
+    num, den = at_least
+    count = lambda sets: np.array([len(s) for s in sets], dtype=np.int64)
+    la, lb, ea, eb = (count(s) for s in (a.lacks, b.lacks, a.beyond, b.beyond))
+    need = num * (a.size[:, None] + b.size[None, :])
+    low = (a.led - la)[:, None] - lb[None, :]
+    most = np.minimum((a.led - la)[:, None], (a.led - lb)[None, :]) + np.minimum(ea[:, None], eb[None, :])
+    linked = (den + num) * np.maximum(low, 0) >= need
+    open_ = ~linked & ((den + num) * most >= need)
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if len(rows):
+        box = np.ix_(rows, columns)
+        overlap = low[box] + _common_counts(a.lacks, b.lacks, rows, columns) + _common_counts(a.beyond, b.beyond, rows, columns)
+        linked[box] |= (den + num) * overlap >= need[box]
+    return linked
+
+
+def _count_links(at_least: tuple[int, int]) -> Callable:
+    """Rows (first, second block of a component; null where it is the same) to each class's number of linked rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blocks = [_Classes.of(v) for v in batch.column(0)[i].values.field("e")]
+                a, b = blocks[0], blocks[-1]
+                linked = links_between(a, b, at_least)
+                if len(blocks) == 1:
+                    np.fill_diagonal(linked, False)
+                    told = [(a.id, linked @ a.n_rows)]
+                else:
+                    told = [(a.id, linked @ b.n_rows), (b.id, linked.T @ a.n_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), pa.int64()) for c in zip(*told, strict=True)], ["id", "far"]
+                )
+
+    return run
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, merged: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
+    """(id, far) of the classes in ``merged`` (node, component_id): how many rows of other classes link with each."""
+    members = classes.join(merged.select(F.col("node").alias("id"), F.col("component_id").alias("comp")), "id").select("id", "n_rows", "comp")
+    sets = stage(members.join(sets_of(docs, classes, members.select("id"), width), "id"))
+    # The class that names a component leads it.
+    leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
+    found = sets.join(leaders, "comp").select("comp", "id", "n_rows", "set", "leader")
+    different = stage(
+        found.mapInArrow(_differences, "comp long, id long, n_rows long, size long, led long, lacks binary, beyond binary")
+    )
+    weight = F.octet_length("lacks") + F.octet_length("beyond")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNTED, F.sum(weight.cast("long")) / COUNTED_BYTES))
+    dealt = different.groupBy("comp").agg(blocks.cast("int").alias("n"))
+    entry = F.struct("id", "n_rows", "size", "led", "lacks", "beyond")
+    block = (
+        different.join(dealt, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        .groupBy("comp", "n", "block").agg(F.collect_list(entry).alias("e"))
+    )
+    # Every block goes to each of its pairs: one row per pair, wherever its component is.
+    met = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = met.groupBy("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+        F.collect_list(F.struct("block", "e")).alias("blocks")
+    )
+    counted = pairs.filter(F.size("blocks") == F.when(F.col("i") == F.col("j"), 1).otherwise(2)).select("blocks")
+    return counted.mapInArrow(_count_links(at_least), "id long, far long").groupBy("id").agg(F.sum("far").alias("far"))
+
+
 def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int, int]) -> Column:
     num, den = at_least
     return (den + num) * overlap >= num * (size_a + size_b)
@@ -216,21 +357,19 @@ def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int
 
 @dataclass
 class Joined:
-    """rows: doc_id, n_shingles, class_id, component_id, with all links also n_links (the rows that the row links with,
-    copies included).  links: a < b, class ids of the pairs that link; without ``all_links`` those that were compared.
+    """rows: doc_id, n_shingles, class_id (smallest doc_id with that set), component_id, where links are counted also n_links
+    (the rows that the row links with, copies included).  links: a < b, keys of classes, compared pairs that link.
     """
 
     rows: DataFrame
     links: DataFrame
 
 
-def _block_pairs(at_least: tuple[int, int], kind: pa.DataType, all_links: bool) -> Callable:
-    """Pairs of entries of two blocks (or of one with itself) that the filters and the leaders' answers leave open.
-
-    ``sure`` pairs link by their lower bound; without all links it is false, and pairs of one component are left out.
-    """
+def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
+    """Pairs of entries of two blocks (or of one with itself) that the filters and the leaders' answers leave open; pairs of
+    one component are left out."""
     num, den = at_least
-    fields = ("id", "size", "pos", "comp", "leader", "o", "led")
+    fields = ("id", "size", "pos", "comp", "leader", "o")
 
     def entries(column: pa.Array, i: int) -> list[np.ndarray]:
         flat = column[i].values
@@ -243,9 +382,9 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType, all_links: bool)
                 same = batch.column(0)[i].as_py()
                 a = entries(batch.column(1), i)
                 b = a if same else entries(batch.column(2), i)
-                (ia, sa, pa_, ca, la, oa, na), (ib, sb, pb, cb, lb, ob, _) = [[x[:, None] for x in a], [x[None, :] for x in b]]
+                (ia, sa, pa_, ca, la, oa), (ib, sb, pb, cb, lb, ob) = [[x[:, None] for x in a], [x[None, :] for x in b]]
                 need = num * (sa + sb)
-                open_ = (ia != ib) if all_links else (ca != cb) & (ia != ib)
+                open_ = (ca != cb) & (ia != ib)
                 if same:
                     open_ &= ia < ib
                 open_ &= (den + num) * np.minimum(sa - pa_, sb - pb) >= need
@@ -255,14 +394,11 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType, all_links: bool)
                 open_ &= ~known | ((den + num) * most >= need)
                 x, y = np.nonzero(open_)
                 if len(x):
-                    sure = known & ((den + num) * (oa + ob - na) >= need) if all_links else np.zeros_like(open_)
-                    found.append(np.stack([ia[x, 0], ib[0, y], sure[x, y]]))
+                    found.append(np.stack([ia[x, 0], ib[0, y]]))
             if found:
                 pairs = np.concatenate(found, axis=1)
-                low, high = pairs[:2].min(axis=0), pairs[:2].max(axis=0)
-                distinct = np.unique(np.stack([low, high, pairs[2]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(distinct[:, 0]).cast(kind), pa.array(distinct[:, 1]).cast(kind), pa.array(distinct[:, 2] == 1)], ["a", "b", "sure"])
+                distinct = np.unique(np.stack([pairs.min(axis=0), pairs.max(axis=0)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]).cast(kind), pa.array(distinct[:, 1]).cast(kind)], ["a", "b"])
 
     return run
 
@@ -288,16 +424,15 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     )
     rows = summary.filter("block is null").select("doc_id", "size", "fp1", "fp2")
     classes = stage(
-        rows.filter("size > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+        rows.filter("size > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("id", F.col("fp1"))
     )
     sketch = spark.sparkContext.broadcast(_sketch(summary.filter("block is not null").select("block", "counts")))
 
-    prefixes = docs.filter("doc_id is not null").mapInArrow(
-        _prefixes(width, at_least, sketch), "doc_id long, fp1 long, fp2 long, prefix array<long>"
-    )
-    posted = prefixes.join(classes.select(F.col("id").alias("doc_id"), "fp1", "fp2", "size"), ["doc_id", "fp1", "fp2"]).select(
-        F.col("doc_id").alias("id"), "size", F.posexplode("prefix").alias("pos", "token")
-    )
+    prefixes = docs.mapInArrow(_prefixes(width, at_least, sketch), "doc_id long, fp1 long, fp2 long, prefix array<long>")
+    stands = classes.select("id", "size", F.col("rep"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
+    one = (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    posted = prefixes.join(stands, one).select("id", "size", F.posexplode("prefix").alias("pos", "token"))
     # Sets that link lie in the same or in neighbouring bands (a little wider, so that rounding cannot matter).
     band = F.floor(F.log("size") / float(np.log(den / num) * (1 + 1e-9))).alias("band")
     live = stage(_shared_tokens(posted).select("token", "id", "size", "pos", band))
@@ -308,7 +443,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     rest = F.least(F.col("size") - F.col("pos"), F.col("lead.size") - F.col("lead.pos"))
     starred = led.filter(F.col("id") != F.col("lead.id")).filter(_linked(rest, F.col("size"), F.col("lead.size"), at_least))
     pairs = starred.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    compared = whole_overlaps(docs, pairs, width)
+    compared = whole_overlaps(docs, classes, pairs, width)
     size_of = lambda side: classes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"))
     linked = lambda found: found.join(size_of("a"), "a").join(size_of("b"), "b").filter(
         _linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), at_least)
@@ -316,13 +451,12 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     links = stage(linked(compared))
     merged = stage(components(links))
 
-    # Blocks of the lists that are not in one component yet, or of all lists.
+    # Blocks of the lists that are not in one component yet.
     label = live.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     mixed = label.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    if not all_links:
-        label = label.join(mixed, "token", "left_semi")
+    label = label.join(mixed, "token", "left_semi")
     entries = (
-        label.join(bands.select("token", "band", F.col("lead.id").alias("leader"), F.col("lead.size").alias("led"), "n"), ["token", "band"])
+        label.join(bands.select("token", "band", F.col("lead.id").alias("leader"), "n"), ["token", "band"])
         .join(compared.select(F.col("a").alias("leader"), F.col("b").alias("id"), "overlap"), ["leader", "id"], "left")
         .withColumn("o", F.when(F.col("leader") == F.col("id"), F.col("size")).otherwise(F.coalesce("overlap", F.lit(-1))))
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
@@ -330,7 +464,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     size = F.col("size")
     blocks = stage(
         entries.groupBy("token", "band", "salt").agg(
-            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o", "led")).alias("e"),
+            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o")).alias("e"),
             F.min(size).alias("small"), F.max(size - F.col("pos")).alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high"),
         )
     )
@@ -338,24 +472,25 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     later = (F.col("b.band") == F.col("a.band") + 1) | ((F.col("b.band") == F.col("a.band")) & (F.col("b.salt") > F.col("a.salt")))
     one = (F.col("a.low") == F.col("b.low")) & (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high"))
     reach = _linked(F.least("a.rest", "b.rest"), F.col("a.small"), F.col("b.small"), at_least)
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & later & (F.lit(all_links) | ~one) & reach).select(F.lit(False).alias("same"), F.col("a.e").alias("x"), F.col("b.e").alias("y"))
-    within = (blocks if all_links else blocks.filter("low < high")).select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
-    more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64(), all_links), "a long, b long, sure boolean")
-    late = stage(more.groupBy("a", "b").agg(F.max("sure").alias("sure")).join(compared, ["a", "b"], "left_anti"))
-    open_ = linked(whole_overlaps(docs, late.filter("not sure").select("a", "b"), width))
-    links = stage(links.union(open_).union(late.filter("sure").select("a", "b")))
-
-    final = components(links)
-    of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(
-        "fp1", "fp2", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & later & ~one & reach).select(F.lit(False).alias("same"), F.col("a.e").alias("x"), F.col("b.e").alias("y"))
+    within = blocks.filter("low < high").select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
+    more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64()), "a long, b long")
+    late = stage(more.distinct().join(compared, ["a", "b"], "left_anti"))
+    links = stage(links.union(linked(whole_overlaps(docs, classes, late, width))))
+
+    final = stage(components(links))
+    labelled = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
+    least = labelled.filter("component_id is not null").groupBy("comp").agg(F.min("rep").alias("least"))
+    of_class = labelled.join(least, "comp", "left").select(
+        "fp1", "fp2", "id", "n_rows", F.col("rep").alias("class_id"),
+        F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"),
+    )
     linked_rows: list[Column] = []
     if all_links:
-        both = links.union(links.select("b", "a")).toDF("id", "other")
-        far = both.join(classes.select(F.col("id").alias("other"), "n_rows"), "other").groupBy("id").agg(F.sum("n_rows").alias("far"))
-        counted = classes.join(far, "id", "left").select("fp1", "fp2", (F.col("n_rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-        of_class = of_class.join(counted, ["fp1", "fp2"])
+        far = link_counts(docs, classes, final, width, at_least)
+        of_class = of_class.join(far, "id", "left").withColumn("n_links", F.col("n_rows") - 1 + F.coalesce("far", F.lit(0)))
         linked_rows = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    of_class = of_class.drop("id", "n_rows")
     out = rows.join(of_class, ["fp1", "fp2"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),

@@ -74,6 +74,25 @@ def test_all_links_are_counted(spark, width, at_least, block):
     assert found.links.filter("a >= b").count() == 0 and found.links.distinct().count() == found.links.count()
 
 
+def test_links_are_counted_across_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 3)
+    monkeypatch.setattr(ngram_join, "COUNTED_TOKENS", 2)
+    texts = variants()
+    got = ngram_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), 2, (50, 100), all_links=True).rows.collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == links_per_row(texts, 2, 50, 100)
+
+
+def test_rows_without_id_and_ids_with_two_texts(spark):
+    """A near copy without id keeps its links, and an id with two texts joins neither text's group to the other."""
+    base, other = prose(400, 60).split(" "), prose(401, 60).split(" ")
+    near = lambda words_, w: " ".join([*words_[:30], w, *words_[31:]])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, near(base, "n1")), (9, near(other, "n2")), (None, near(base, "n3")),
+            (None, prose(402, 60)), (None, near(prose(402, 60).split(" "), "n4"))]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, (75, 100), all_links=True).rows
+    told = sorted((x["doc_id"] or 0, x["component_id"] or 0, x["n_links"]) for x in got.collect())
+    assert told == [(0, 0, 1), (0, 0, 1), (0, 5, 2), (5, 5, 1), (5, 5, 2), (7, 5, 2), (9, 5, 1)]
+
+
 def test_jaccard_join_awkward_and_no_rows(spark):
     got = ngram_join.jaccard_join(documents(spark)).rows.toPandas()
     assert len(got) == 19
