@@ -357,12 +357,19 @@ def _redact(grammars, names: list[str]) -> Callable:  # noqa: ANN001  a broadcas
     return run
 
 
+def quoted(name: str) -> str:
+    """A column's name for use in a path, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def redacted(docs: DataFrame, grammars: Grammars) -> DataFrame:
     """All rows and columns, with the spans in ``text`` replaced by a mark."""
     spark = ship(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("text").cast("string").alias("text"), *others)
-    return rows.mapInArrow(_redact(spark.sparkContext.broadcast(grammars), ["text", *others]), rows.schema).select(*docs.columns)
+    # Names are free to hold dots or backticks: columns go by number.
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(quoted(c)).alias(n) for c, n in place.items()])
+    found = rows.mapInArrow(_redact(spark.sparkContext.broadcast(grammars), ["text", *place.values()]), rows.schema)
+    return found.select(*[F.col(place.get(c, "text")).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -145,6 +146,20 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
         assert np.frombuffer(bytes(x["ids"]), "<u4").tolist() == ids_of(texts[x["doc_id"]])
 
 
+def test_columns_of_any_name_pass_all_stages(spark, sf_dir):
+    names = ["a.b", "_row", "_key", "text ", "Copies", "_copies", "fold", "_id", "_", "x`y"]
+    docs = documents(spark)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    kept = docs
+    for name, step in corpus_pipeline.STAGES:
+        kept = stage(step(spark, kept, sf_dir))
+        if name != "bpe":
+            assert kept.columns == docs.columns
+            assert {tuple(r)[-len(names) :] for r in kept.collect()} == {tuple(range(len(names)))}
+    assert kept.count() > 0
+
+
 def test_pipeline_of_no_documents(spark, sf_dir):
     kept = documents(spark, [])
     for _, step in corpus_pipeline.STAGES:
