@@ -1,8 +1,11 @@
 """From raw documents to encoded training text, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
-one's documents.  All but the last return the columns of documents, extra ones included; whatever their names are,
-they ride along in one struct and cannot clash.
+one's documents.  All but the last return the columns of documents, extra ones included.  These ride along in one struct, with
+nothing but columns of known names beside it, so their names cannot clash and may hold dots or blanks.
+
+Whole rows are joined with lists of keys in two stages.  Such a list grows with the documents, so these joins sort and
+merge at every size instead of changing their plan where a list becomes too large to broadcast.
 
 Defined results: documents with a null or empty text are rejected by the first stage; repeated rows count as copies and
 one stays; ties between copies go to the smallest doc_id; an empty table passes through all stages.
@@ -22,15 +25,21 @@ from alertlift.sources.staging import stage
 ORACLE_SQL = None
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+def _row(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and all columns as the struct ``_row``."""
+    return docs.select(*columns, F.struct(*[F.col(secrets.quoted(c)) for c in docs.columns]).alias("_row"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    names = rows.schema["_row"].dataType.names
+    return rows.select(*[F.col(f"_row.{secrets.quoted(c)}").alias(c) for c in names])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go.  Learned from the documents that state a language."""
     model = language.fit(docs.select("doc_id", "text", "lang"))
-    found = language.predict(_row(docs), model, carried=("_row",))
-    return found.filter("not rejected").select("_row.*")
+    found = language.predict(_row(docs, "text"), model, carried=("_row",))
+    return _unpacked(found.filter("not rejected"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
     Only those rows are staged, which settles their keys for all later reads.
     """
-    rows = _row(docs).select(F.col("doc_id").cast("long").alias("_key"), "_row")
+    rows = _row(docs, "doc_id").select(F.col("doc_id").cast("long").alias("_key"), "_row")
     top, nameless = rows.agg(F.max("_key"), F.count_if(F.col("_key").isNull())).first()
     again = stage(rows.filter("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"))
     if not nameless and again.isEmpty():
@@ -64,7 +73,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))["_key"].alias("_first"))
     moved = stage(first.filter("_first != component_id"))
     gone = rows.join(moved, "component_id", "left").filter("_key != coalesce(_first, component_id)").select("_key")
-    return keyed.join(stage(gone), "_key", "left_anti").select("_row.*")
+    return _unpacked(keyed.join(stage(gone).hint("merge"), "_key", "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +90,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     mixed = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").alias("source")))
     taken = stage(mixed.filter("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").cast("int").alias("_copies")))
-    return keyed.join(taken, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    copies = keyed.join(taken.hint("merge"), "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return _unpacked(copies)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
