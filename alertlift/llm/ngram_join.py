@@ -6,16 +6,17 @@
    link share a token there.  The sketch only decides the order, which may be any; it cannot lose a link.
 3. Lists with one entry are dropped.  In each list the smallest id of a size band is the band's leader; leaders are
    compared with their band by whole sets.  Linked sets are merged into components.
-4. Skipping.  A list whose entries are already in one component is done.  Other lists are cut into blocks of about
+4. All sets compared with one leader meet under the least of their leaders, their home.  Each is written down as what it lacks
+   of and has beyond the leader's set.  Classes of a home are dealt to blocks of bounded size; for two blocks, bounds from the
+   leader's answers settle most pairs, with o(u) = |leader & u|:
+   o(u) + o(v) - |leader| <= |u & v| <= min(o(u), o(v)) + min(|u| - o(u), |v| - o(v)),
+   and the others follow from the differences alone: |u & v| = |leader| - lacks(u) - lacks(v) + |lacks(u) & lacks(v)| +
+   |beyond(u) & beyond(v)|.  Only edges that span what is linked are written, fewer than classes.
+5. Skipping.  A list whose entries are in one component by now is done.  Other lists are cut into blocks of about
    ``BLOCK`` entries; block pairs are skipped by size band, by position (too little of both sets is left behind
-   the token) and by component.  Inside a block pair, an entry's answers follow from its leader's: with
-   o(u) = |leader & u| known, |u & v| lies between o(u) + o(v) - |leader| and
-   min(o(u), o(v)) + min(|u| - o(u), |v| - o(v)); only pairs these bounds leave open are compared by whole sets.
-5. Links are counted within components, where all of them lie.  Each set is written down as what it lacks of and has beyond the
-   set of its component's leader.  Classes of a component are dealt to blocks of bounded size; for two blocks, the same
-   bounds from the leader's answers settle most pairs, and the overlaps of the others follow from the differences alone:
-   |u & v| = |leader| - lacks(u) - lacks(v) + |lacks(u) & lacks(v)| + |beyond(u) & beyond(v)|.  A block pair gives one count per
-   class; no pair of documents is ever written.
+   the token) and by component, pairs of entries also by home and by the bounds; the few left are compared by whole sets.
+6. Links are counted in the same way within components, where all of them lie, under the class that names the component: a
+   block pair gives one number per class; no pair of documents is ever written.
 
 Components are those of all links: a pair is left out only when it cannot link or is already connected.
 
@@ -217,11 +218,14 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlap)], ["a", "b", "overlap"])
 
 
-def whole_overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, overlap) of the distinct pairs (a, b) of classes, by the whole sets of both; staged."""
-    pairs = stage(pairs)
+def sets_in(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, set) of all classes in ``pairs``; staged."""
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = stage(sets_of(docs, classes, ids, width))
+    return stage(sets_of(docs, classes, ids, width))
+
+
+def whole_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, overlap) of the distinct pairs (a, b) of classes, by the whole sets of both; staged."""
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     out = both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, overlap long")
@@ -323,31 +327,72 @@ def _count_links(at_least: tuple[int, int]) -> Callable:
     return run
 
 
-def link_counts(docs: DataFrame, classes: DataFrame, merged: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
-    """(id, far) of the classes in ``merged`` (node, component_id): how many rows of other classes link with each."""
-    members = classes.join(merged.select(F.col("node").alias("id"), F.col("component_id").alias("comp")), "id").select("id", "n_rows", "comp")
-    sets = stage(members.join(sets_of(docs, classes, members.select("id"), width), "id"))
-    # The class that names a component leads it.
-    leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
-    found = sets.join(leaders, "comp").select("comp", "id", "n_rows", "set", "leader")
+def _spanning(at_least: tuple[int, int]) -> Callable:
+    """Rows of one or two blocks to edges that connect what their links connect: fewer than classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blocks = [_Classes.of(v) for v in batch.column(0)[i].values.field("e")]
+                a, b = blocks[0], blocks[-1]
+                linked, n = links_between(a, b, at_least), len(a.id)
+                ids, near = a.id, linked
+                if len(blocks) == 2:
+                    ids = np.concatenate([a.id, b.id])
+                    near = np.zeros((len(ids), len(ids)), dtype=bool)
+                    near[:n, n:], near[n:, :n] = linked, linked.T
+                label, before = np.arange(len(ids)), None
+                while before is None or (label != before).any():
+                    before = label
+                    label = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+                    label = label[label]
+                held = np.flatnonzero(label != np.arange(len(ids)))
+                x, y = ids[held], ids[label[held]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def block_pairs_of(members: DataFrame) -> DataFrame:
+    """Blocks of classes to compare with one another: one row per pair of blocks of a group, and one per block.
+
+    ``members``: comp (the group), id, n_rows, set, leader (a set that all of the group are near to).
+    """
     different = stage(
-        found.mapInArrow(_differences, "comp long, id long, n_rows long, size long, led long, lacks binary, beyond binary")
-    )
+        members.select("comp", "id", "n_rows", "set", "leader")
+        .mapInArrow(_differences, "comp long, id long, n_rows long, size long, led long, lacks binary, beyond binary")
+    )
     weight = F.octet_length("lacks") + F.octet_length("beyond")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNTED, F.sum(weight.cast("long")) / COUNTED_BYTES))
-    dealt = different.groupBy("comp").agg(blocks.cast("int").alias("n"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNTED, F.sum(weight.cast("long")) / COUNTED_BYTES, F.lit(1)))
+    dealt = different.groupBy("comp").agg(blocks.cast("int").alias("n"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     entry = F.struct("id", "n_rows", "size", "led", "lacks", "beyond")
     block = (
         different.join(dealt, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .groupBy("comp", "n", "block").agg(F.collect_list(entry).alias("e"))
     )
-    # Every block goes to each of its pairs: one row per pair, wherever its component is.
+    # Every block goes to each of its pairs: one row per pair, wherever its group is.
     met = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = met.groupBy("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
         F.collect_list(F.struct("block", "e")).alias("blocks")
     )
-    counted = pairs.filter(F.size("blocks") == F.when(F.col("i") == F.col("j"), 1).otherwise(2)).select("blocks")
-    return counted.mapInArrow(_count_links(at_least), "id long, far long").groupBy("id").agg(F.sum("far").alias("far"))
+    return pairs.filter(F.size("blocks") == F.when(F.col("i") == F.col("j"), 1).otherwise(2)).select("blocks")
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, merged: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
+    """(id, far) of the classes in ``merged`` (node, component_id): how many rows of other classes link with each."""
+    members = classes.join(merged.select(F.col("node").alias("id"), F.col("component_id").alias("comp")), "id").select("id", "n_rows", "comp")
+    sets = stage(members.join(sets_of(docs, classes, members.select("id"), width), "id"))
+    # The class that names a component leads it.
+    leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
+    counted = block_pairs_of(sets.join(leaders, "comp")).mapInArrow(_count_links(at_least), "id long, far long")
+    return counted.groupBy("id").agg(F.sum("far").alias("far"))
+
+
+def links_at_home(homes: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that connect the linked classes of each home; ``homes``: id, home."""
+    own = homes.join(sets, "id").select(F.col("home").alias("comp"), "id", F.lit(1).cast("long").alias("n_rows"), "set")
+    leaders = sets.select(F.col("id").alias("comp"), F.col("set").alias("leader"))
+    return block_pairs_of(own.join(leaders, "comp")).mapInArrow(_spanning(at_least), "a long, b long").distinct()
 
 
 def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int, int]) -> Column:
@@ -358,7 +403,7 @@ def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int
 @dataclass
 class Joined:
     """rows: doc_id, n_shingles, class_id (smallest doc_id with that set), component_id, where links are counted also n_links
-    (the rows that the row links with, copies included).  links: a < b, keys of classes, compared pairs that link.
+    (the rows that the row links with, copies included).  links: a < b, keys of classes, pairs that connect all components.
     """
 
     rows: DataFrame
@@ -367,9 +412,9 @@ class Joined:
 
 def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
     """Pairs of entries of two blocks (or of one with itself) that the filters and the leaders' answers leave open; pairs of
-    one component are left out."""
+    one component or of one home are left out."""
     num, den = at_least
-    fields = ("id", "size", "pos", "comp", "leader", "o")
+    fields = ("id", "size", "pos", "comp", "leader", "o", "home")
 
     def entries(column: pa.Array, i: int) -> list[np.ndarray]:
         flat = column[i].values
@@ -382,9 +427,9 @@ def _block_pairs(at_least: tuple[int, int], kind: pa.DataType) -> Callable:
                 same = batch.column(0)[i].as_py()
                 a = entries(batch.column(1), i)
                 b = a if same else entries(batch.column(2), i)
-                (ia, sa, pa_, ca, la, oa), (ib, sb, pb, cb, lb, ob) = [[x[:, None] for x in a], [x[None, :] for x in b]]
+                (ia, sa, pa_, ca, la, oa, ha), (ib, sb, pb, cb, lb, ob, hb) = [[x[:, None] for x in a], [x[None, :] for x in b]]
                 need = num * (sa + sb)
-                open_ = (ca != cb) & (ia != ib)
+                open_ = (ca != cb) & (ha != hb) & (ia != ib)
                 if same:
                     open_ &= ia < ib
                 open_ &= (den + num) * np.minimum(sa - pa_, sb - pb) >= need
@@ -443,16 +488,21 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     rest = F.least(F.col("size") - F.col("pos"), F.col("lead.size") - F.col("lead.pos"))
     starred = led.filter(F.col("id") != F.col("lead.id")).filter(_linked(rest, F.col("size"), F.col("lead.size"), at_least))
     pairs = starred.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    compared = whole_overlaps(docs, classes, pairs, width)
+    pairs = stage(pairs)
+    sets = sets_in(docs, classes, pairs, width)
+    compared = whole_overlaps(pairs, sets)
     size_of = lambda side: classes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"))
     linked = lambda found: found.join(size_of("a"), "a").join(size_of("b"), "b").filter(
         _linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), at_least)
     ).select("a", "b")
-    links = stage(linked(compared))
+    # All classes compared with one leader meet there once, by their differences to it; each has its least leader as home.
+    homes = stage(compared.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home")))
+    links = stage(linked(compared).union(links_at_home(homes, sets, at_least)).distinct())
     merged = stage(components(links))
 
     # Blocks of the lists that are not in one component yet.
-    label = live.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
+    label = live.join(merged.withColumnRenamed("node", "id"), "id", "left").join(homes, "id", "left")
+    label = label.withColumns({"comp": F.coalesce("component_id", "id"), "home": F.coalesce("home", "id")})
     mixed = label.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
     label = label.join(mixed, "token", "left_semi")
     entries = (
@@ -464,7 +514,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     size = F.col("size")
     blocks = stage(
         entries.groupBy("token", "band", "salt").agg(
-            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o")).alias("e"),
+            F.collect_list(F.struct("id", "size", F.col("pos").cast("long").alias("pos"), "comp", "leader", "o", "home")).alias("e"),
             F.min(size).alias("small"), F.max(size - F.col("pos")).alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high"),
         )
     )
@@ -476,7 +526,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     within = blocks.filter("low < high").select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
     more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64()), "a long, b long")
     late = stage(more.distinct().join(compared, ["a", "b"], "left_anti"))
-    links = stage(links.union(linked(whole_overlaps(docs, classes, late, width))))
+    links = stage(links.union(linked(whole_overlaps(late, sets_in(docs, classes, late, width)))).distinct())
 
     final = stage(components(links))
     labelled = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
