@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import random
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import r6
-from alertlift.operators import binning, boosting, forest, group_balance, growth, least_squares
+from alertlift.operators import (
+    binning, boosting, features, forest, group_balance, growth, kmeans_batch, least_squares, storms,
+)
 from alertlift.plans import views
-from alertlift.plans.oracles import ALERTS, FOLDED, PRIORITIES, add
+from alertlift.plans.oracles import ALERTS, FOLDED, PRIORITIES, SPEEDY, add
 from alertlift.plans.oracles import r6 as sql_r6
 from alertlift.plans.queries import GROUP, query, rounded
+from alertlift.sources import schema
 from alertlift.sources.staging import stage
 
 # Results that a check reads again, per application, query and input.
@@ -283,3 +287,68 @@ join bounds f on f.n = r.n and r.place >= f.begins and r.place < f.ends""",
     """bounds as (select n, fold, sum(c) over (partition by n order by fold) - c as begins,
   sum(c) over (partition by n order by fold) as ends from given)""",
 )
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One clustering: alerts with vector, type and principal scores, the centres, and the costs of all starts."""
+    vectors = stage(storms.scaled_vectors(features.add_speed(views.alerts(spark, sf_dir))))
+    found = kmeans_batch.fit_starts(vectors)
+    typed = vectors.withColumn("z_array", vector_to_array(F.col("z")))
+    typed = typed.withColumn("storm_type", found.label(F.col("z_array")))
+    scored = storms.project_storms(typed, storms.fit_pca(vectors)).drop("z")
+    centres = spark.createDataFrame([(i, n, c.tolist()) for i, (n, c) in enumerate(zip(found.sizes, found.centres, strict=True))], "storm_type int, n long, centre array<double>")
+    costs = spark.createDataFrame([(i, c, int(i == found.best)) for i, c in enumerate(found.costs)], "start int, cost double, best int")
+    return tuple(keep(spark, sf_dir, f"clusters_{i}", t) for i, t in enumerate((scored, centres, costs)))
+
+
+def _kept_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    found = tuple(kept(spark, sf_dir, f"clusters_{i}") for i in range(3))
+    return _clusters(spark, sf_dir) if any(t is None for t in found) else found
+
+
+@query("storm_clusters")
+def storm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and principal scores of every complete alert, from ten starts moved together."""
+    rows = _clusters(spark, sf_dir)[0]
+    return rows.select("alert_id", GROUP, "storm_type", *rounded("pca_1", "pca_2"))
+
+
+@query("storm_cluster_profile")
+def storm_cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and mean z-scores of the types found."""
+    rows = _kept_clusters(spark, sf_dir)[0]
+    means = [r6(F.avg(F.col("z_array")[i])).alias(f"z_{c}") for i, c in enumerate(schema.STORM_FEATURES)]
+    return rows.groupBy("storm_type").agg(F.count("*").alias("n"), *means)
+
+
+@query("storm_clusters_check")
+def storm_clusters_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for ``storm_clusters``: no alert is nearer to another type's centre, types are numbered by size, the
+    start that was taken is the cheapest of ten, and scores are centred and uncorrelated."""
+    rows, centres, costs = _kept_clusters(spark, sf_dir)
+    apart = F.aggregate(F.zip_with("z_array", "centre", lambda x, c: (x - c) ** 2), F.lit(0.0), lambda a, v: a + v)
+    each = rows.crossJoin(F.broadcast(centres.select(F.col("storm_type").alias("t"), "centre"))).select(
+        "alert_id", "storm_type", "pca_1", "pca_2", "t", apart.alias("apart")
+    )
+    own = each.groupBy("alert_id", "storm_type", "pca_1", "pca_2").agg(
+        F.max(F.when(F.col("t") == F.col("storm_type"), F.col("apart"))).alias("own"), F.min("apart").alias("least")
+    )
+    alerts = own.agg(
+        F.count("*").alias("n"), F.count_distinct("storm_type").alias("n_types"),
+        F.sum((F.col("own") > F.col("least") + 1e-9).cast("long")).alias("n_stray"),
+        ((F.abs(F.avg("pca_1")) < 1e-6) & (F.abs(F.avg("pca_2")) < 1e-6) & (F.abs(F.corr("pca_1", "pca_2")) < 1e-6)).cast("int").alias("scores_ok"),
+    )
+    sizes = rows.groupBy("storm_type").agg(F.count("*").alias("c")).join(centres, "storm_type")
+    ranked = sizes.agg((F.sum((F.col("c") != F.col("n")).cast("int")) == 0).alias("same"), F.array_sort(F.collect_list(F.struct("storm_type", "c"))).alias("by"))
+    falling = F.col("same") & (F.transform("by", lambda s: s["c"]) == F.sort_array(F.transform("by", lambda s: s["c"]), asc=False))
+    starts = costs.agg(F.count("*").alias("n_starts"), (F.min(F.when(F.col("best") == 1, F.col("cost"))) <= F.min("cost") * (1 + 1e-8)).cast("int").alias("cheapest"))
+    return alerts.crossJoin(ranked.select(falling.cast("int").alias("by_size"))).crossJoin(starts)
+
+
+add(
+    "storm_clusters_check",
+    """select count(*) as n, cast(3 as bigint) as n_types, cast(0 as bigint) as n_stray, 1 as scores_ok, 1 as by_size,
+  cast(10 as bigint) as n_starts, 1 as cheapest from speedy""",
+    ALERTS,
+    SPEEDY,
+)
