@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import r6
 from alertlift.operators import (
-    binning, boosting, features, forest, group_balance, growth, kmeans_batch, least_squares, storms,
+    binning, boosting, cardinality, features, forest, group_balance, growth, kmeans_batch, least_squares, storms,
 )
 from alertlift.plans import views
 from alertlift.plans.oracles import ALERTS, FOLDED, PRIORITIES, SPEEDY, add
@@ -352,3 +352,30 @@ add(
     ALERTS,
     SPEEDY,
 )
+
+
+@query("label_race")
+def label_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster label among six columns, of which exact counting sees only those that can win."""
+    rows = views.alerts(spark, sf_dir).withColumns(
+        {
+            "storm_cluster": (F.col("n_lightnings") % 3).cast("int"), "cluster_share": F.col("ic_ratio"), "kmeans": F.lit(1),
+            "cluster_id": F.col("alert_id"), "cluster_hour": F.col("start_hour"),
+        }
+    )
+    names = schema.cluster_label_names(rows)
+    standings = cardinality.race(rows, names)
+    best = cardinality.winner(standings)
+    told = [(s.column, s.n_distinct, int(s.fractional), int(s.constant), int(s.column == best)) for s in standings]
+    return spark.createDataFrame(told, "candidate string, n_distinct long, fractional int, constant int, chosen int")
+
+
+add(
+    "label_race",
+    """select * from (
+  select 'storm_type' as candidate, cast(null as bigint) as n_distinct, 0 as fractional, 0 as constant, 0 as chosen
+  union all select 'storm_cluster', count(distinct cast(n_lightnings as bigint) % 3), 0, 0, 1 from alerts_v
+  union all select 'cluster_share', null, 1, 0, 0 union all select 'kmeans', null, 0, 1, 0
+  union all select 'cluster_id', null, 0, 0, 0 union all select 'cluster_hour', null, 0, 0, 0)""",
+    ALERTS,
+)
