@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import r6
 from alertlift.operators import (
-    binning, boosting, cardinality, features, forest, group_balance, growth, kmeans_batch, least_squares, storms,
+    binning, boosting, cardinality, features, forest, group_balance, growth, kmeans_batch, least_squares, levels, storms,
 )
 from alertlift.plans import views
 from alertlift.plans.oracles import ALERTS, FOLDED, PRIORITIES, SPEEDY, add
@@ -379,3 +379,32 @@ add(
   union all select 'cluster_id', null, 0, 0, 0 union all select 'cluster_hour', null, 0, 0, 0)""",
     ALERTS,
 )
+
+
+@query("level_dictionary")
+def level_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the levels of a column with many, by falling frequency."""
+    return levels.dictionary(views.alerts(spark, sf_dir), "alert_airport_id")
+
+
+@query("levels_of_fold")
+def levels_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot that one-hot encoding by the rows outside fold 0 fills for each alert (none for levels seen there only)."""
+    rows = views.labelled(spark, sf_dir).select("alert_id", "fold", "alert_airport_id")
+    train = levels.fold_dictionaries(rows, ["alert_airport_id"], 0)["alert_airport_id"]
+    slots = train.agg(F.count("*").cast("int").alias("n_slots"))
+    coded = levels.indexed(rows, train, "alert_airport_id", "slot").crossJoin(F.broadcast(slots))
+    return coded.select("alert_id", F.coalesce("slot", F.lit(-1)).alias("slot"), "n_slots")
+
+
+_LEVELS = """levels as (select level, n, row_number() over (order by n desc, substr(md5(level), 1, 4), level) - 1 as id
+  from (select cast(alert_airport_id as varchar) as level, count(*) as n from {0} group by 1))"""
+add("level_dictionary", "select level, n, id from levels", ALERTS, _LEVELS.format("alerts_v"))
+add(
+    "levels_of_fold",
+    """select alert_id, coalesce(id, -1) as slot, cast((select count(*) from levels) as int) as n_slots
+from folded left join levels on level = cast(alert_airport_id as varchar)""",
+    ALERTS,
+    FOLDED,
+    _LEVELS.format("(select * from folded where fold <> 0) as train"),
+)
