@@ -13,8 +13,10 @@ below ``MISS``; closer pairs are missed less.
 Equal vectors are one class and compared once.  A cell is cut into blocks of rows, and pairs of blocks are compared as
 matrices, so a hot cell is many small tasks; rows are sent only for cells with partners.
 
-Defined results: a vector that is null, empty, zero, holds a null or a non-finite component, or has another length
-than the most frequent one links with nothing; repeated rows link like copies; a row without vec_id links with
+Each length that occurs has projections of its own, unless its vectors fit one block: then all of them are compared.
+
+Defined results: a vector that is null, empty, zero or holds a null or a non-finite component links with nothing, others
+link with vectors of their own length; repeated rows link like copies; a row without vec_id links with
 nothing and is kept; an empty table gives no rows.  Only vec_id and embedding are read.
 """
 
@@ -146,17 +148,26 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(tables) -> Callable:  # noqa: ANN001  a broadcast
+    """Cells of each vector.  Vectors of a length that has no tables all share one cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2048):
-                part = batch.slice(first, 2048)
-                unit = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in part.column(1)])
-                names = tables.value.names(unit)
-                n, t, p = names.shape
-                own = np.zeros((n, t, p), dtype=bool)
-                own[:, :, 0] = True
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(n), t * p)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names.reshape(-1).view(np.int64)), pa.array(own.reshape(-1))], ["id", "cell", "own"])
+            size = batch.column(2).to_numpy()
+            for length in np.unique(size):
+                mine = batch.filter(pa.array(size == length))
+                name = ta.mix(np.array([length], dtype=np.uint64))
+                for first in range(0, mine.num_rows, 2048):
+                    part = mine.slice(first, 2048)
+                    if int(length) in tables.value:
+                        unit = np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in part.column(1)])
+                        names = tables.value[int(length)].names(unit) ^ name
+                    else:
+                        names = np.tile(name, (part.num_rows, 1, 1))
+                    n, t, p = names.shape
+                    own = np.zeros((n, t, p), dtype=bool)
+                    own[:, :, 0] = True
+                    ids = part.column(0).take(pa.array(np.repeat(np.arange(n), t * p)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(names.reshape(-1).view(np.int64)), pa.array(own.reshape(-1))], ["id", "cell", "own"])
 
     return run
 
@@ -169,8 +180,10 @@ def _compare(at_least: float) -> Callable:
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values for c in (0, 1))
                 ids = [x.field("id").to_numpy(zero_copy_only=False) for x in (a, b)]
-                x, y = (np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in z.field("unit")]) for z in (a, b))
-                p, q = np.nonzero(x @ y.T >= at_least)
+                x, y = ([np.frombuffer(v.as_buffer(), "<f8") for v in z.field("unit")] for z in (a, b))
+                if len({len(v) for v in (*x, *y)}) > 1:
+                    raise ValueError("vectors of two lengths in one cell: two cells have one hash")
+                p, q = np.nonzero(np.stack(x) @ np.stack(y).T >= at_least)
                 p, q = ids[0][p], ids[1][q]
                 differ = p != q
                 low, high = np.minimum(p, q)[differ], np.maximum(p, q)[differ]
@@ -189,16 +202,12 @@ def near_duplicates(vectors: DataFrame, at_least: float = AT_LEAST, rows: int =
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     clean = stage(source.mapInArrow(_clean, "vec_id long, unit binary, size int"))
     able = clean.filter("unit is not null and vec_id is not null")
-    usual = able.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    everyone = clean.select("vec_id", F.when(F.col("size") == F.lit(usual["size"] if usual else -1), F.col("unit")).alias("unit"))
-    if usual is None:
-        none = everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-        return none, spark.createDataFrame([], "a long, b long")
-    classes = stage(
-        everyone.filter("unit is not null and vec_id is not null").groupBy("unit").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    )
-    tables = spark.sparkContext.broadcast(Tables(usual["size"], classes.count(), at_least))
-    entries = stage(classes.select("id", "unit").mapInArrow(_entries(tables), "id long, cell long, own boolean"))
+    everyone = clean.select("vec_id", "unit")
+    classes = stage(able.groupBy("unit").agg(F.min("vec_id").alias("id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")))
+    # Vectors of one length link with one another only; each length that does not fit a block has tables of its own.
+    lengths = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tables = spark.sparkContext.broadcast({size: Tables(size, n, at_least) for size, n in lengths.items() if n > rows})
+    entries = stage(classes.select("id", "unit", "size").mapInArrow(_entries(tables), "id long, cell long, own boolean"))
     # A cell matters if it is the home of a row and another row comes to it; its rows are dealt to blocks.
     counted = entries.groupBy("cell").agg(F.count_if("own").alias("at_home"), F.count(F.lit(1)).alias("all"))
     useful = stage(counted.filter("at_home >= 1 and all >= 2"))

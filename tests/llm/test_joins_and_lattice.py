@@ -152,6 +152,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert ((got["component_id"] == got.index) == got["kept"]).all()
 
 
+def test_vectors_of_every_length_link_with_their_own(spark):
+    rows = vectors()
+    short = [x[:7] for x in rows[:50]] + [rows[0][:7] * 3, rows[1][:7]]
+    every = [*rows, *short, np.array([1.0, 2.0]), np.array([2.0, 4.0]), np.array([2.0])]
+    cosine = lambda x, y: len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= lattice.AT_LEAST
+    links = {(a, b) for a in range(len(every)) for b in range(a + 1, len(every)) if cosine(every[a], every[b])}
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")
+    got = lattice.near_duplicates(frame.repartition(3), rows=40)[0].toPandas().set_index("vec_id").sort_index()
+    for few in (range(len(rows), len(rows) + len(short)), range(len(every) - 3, len(every))):
+        counted = [sum(i in pair for pair in links) for i in few]
+        assert (got["n_links"].loc[list(few)].to_numpy() >= 0.9 * np.array(counted)).all()
+        assert (got["n_links"].loc[list(few)].to_numpy() <= counted).all()
+    assert got["n_links"].sum() >= 2 * 0.98 * len(links) and got["component_id"].iloc[-2] == len(every) - 3
+
+
 def test_near_duplicates_awkward_and_no_rows(spark):
     x = [1.0, 2.0, 3.0]
     own = [
