@@ -202,7 +202,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) ->
     bit = F.pmod(F.xxhash64(_by_doc("doc_id")), F.lit(FILTER_BITS)).alias("bit")
     # Rows of one class by the row that stands for it: copies under other ids do not pass.
     sets = docs.select("text", bit).mapInArrow(_sets_of(width, bitmap), "id long, set binary")
-    return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    return sets.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +226,8 @@ def sets_in(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -
 
 def whole_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, overlap) of the distinct pairs (a, b) of classes, by the whole sets of both; staged."""
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    first = pairs.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = first.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     out = both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps, "a long, b long, overlap long")
     return stage(out.groupBy("a", "b").agg(F.max("overlap").alias("overlap")))
 
@@ -353,15 +353,16 @@ def _spanning(at_least: tuple[int, int]) -> Callable:
     return run
 
 
-def block_pairs_of(members: DataFrame) -> DataFrame:
-    """Blocks of classes to compare with one another: one row per pair of blocks of a group, and one per block.
-
-    ``members``: comp (the group), id, n_rows, set, leader (a set that all of the group are near to).
-    """
-    different = stage(
+def differences(members: DataFrame) -> DataFrame:
+    """comp (a group), id, n_rows, and each set by its differences from ``leader``, a set near to all of the group; staged."""
+    return stage(
         members.select("comp", "id", "n_rows", "set", "leader")
         .mapInArrow(_differences, "comp long, id long, n_rows long, size long, led long, lacks binary, beyond binary")
     )
+
+
+def block_pairs_of(different: DataFrame) -> DataFrame:
+    """Blocks of classes to compare with one another: one row per pair of blocks of a group, and one per block."""
     weight = F.octet_length("lacks") + F.octet_length("beyond")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / COUNTED, F.sum(weight.cast("long")) / COUNTED_BYTES, F.lit(1)))
     dealt = different.groupBy("comp").agg(blocks.cast("int").alias("n"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
@@ -381,18 +382,18 @@ def block_pairs_of(members: DataFrame) -> DataFrame:
 def link_counts(docs: DataFrame, classes: DataFrame, merged: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
     """(id, far) of the classes in ``merged`` (node, component_id): how many rows of other classes link with each."""
     members = classes.join(merged.select(F.col("node").alias("id"), F.col("component_id").alias("comp")), "id").select("id", "n_rows", "comp")
-    sets = stage(members.join(sets_of(docs, classes, members.select("id"), width), "id"))
+    sets = stage(members.hint("merge").join(sets_of(docs, classes, members.select("id"), width), "id"))
     # The class that names a component leads it.
     leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
-    counted = block_pairs_of(sets.join(leaders, "comp")).mapInArrow(_count_links(at_least), "id long, far long")
+    counted = block_pairs_of(differences(sets.hint("merge").join(leaders, "comp"))).mapInArrow(_count_links(at_least), "id long, far long")
     return counted.groupBy("id").agg(F.sum("far").alias("far"))
 
 
-def links_at_home(homes: DataFrame, sets: DataFrame, at_least: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) that connect the linked classes of each home; ``homes``: id, home."""
-    own = homes.join(sets, "id").select(F.col("home").alias("comp"), "id", F.lit(1).cast("long").alias("n_rows"), "set")
+def at_home(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Differences of classes from their home's set; ``homes``: id, home."""
+    own = homes.hint("merge").join(sets, "id").select(F.col("home").alias("comp"), "id", F.lit(1).cast("long").alias("n_rows"), "set")
     leaders = sets.select(F.col("id").alias("comp"), F.col("set").alias("leader"))
-    return block_pairs_of(own.join(leaders, "comp")).mapInArrow(_spanning(at_least), "a long, b long").distinct()
+    return differences(own.hint("merge").join(leaders, "comp"))
 
 
 def _linked(overlap: Column, size_a: Column, size_b: Column, at_least: tuple[int, int]) -> Column:
@@ -490,14 +491,20 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     pairs = starred.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     pairs = stage(pairs)
     sets = sets_in(docs, classes, pairs, width)
-    compared = whole_overlaps(pairs, sets)
+    # The least leader of a class is its home.  Classes of one home meet there, by their differences to it, which also tell how
+    # they overlap with the home itself; only pairs of two homes are compared by whole sets.
+    homes = stage(pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home")))
+    different = at_home(homes, sets)
+    near_home = different.select(F.col("comp").alias("a"), F.col("id").alias("b"), (F.col("led") - F.octet_length("lacks") / 8).cast("long").alias("overlap"))
+    home_of = lambda side: homes.select(F.col("id").alias(side), F.col("home").alias(f"home_{side}"))
+    apart = pairs.join(home_of("b"), "b").join(home_of("a"), "a", "left").filter("a != home_b and home_b != coalesce(home_a, a)").select("a", "b")
+    compared = stage(near_home.union(whole_overlaps(apart, sets)))
     size_of = lambda side: classes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"))
     linked = lambda found: found.join(size_of("a"), "a").join(size_of("b"), "b").filter(
         _linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), at_least)
     ).select("a", "b")
-    # All classes compared with one leader meet there once, by their differences to it; each has its least leader as home.
-    homes = stage(compared.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home")))
-    links = stage(linked(compared).union(links_at_home(homes, sets, at_least)).distinct())
+    at_homes = block_pairs_of(different).mapInArrow(_spanning(at_least), "a long, b long")
+    links = stage(linked(compared).union(at_homes).distinct())
     merged = stage(components(links))
 
     # Blocks of the lists that are not in one component yet.
