@@ -1,13 +1,14 @@
 """Secret scan with base patterns and inferred credential grammars (operator 8).
 
 Base patterns mark credentials of three kinds.  The credentials they mark are the labelled strings of grammar
-inference: per kind a prefix-tree automaton with counts is built over character classes, and states are merged when
-their frequencies of stopping and of every next class agree within a Hoeffding bound, together with all states
-below.  Ordinary long tokens give a background automaton in the same way.  Every candidate (a token, or what base
-matches leave of one) is then scored by the likelihood of its format: it is marked when some kind explains it about as
-well as its own labelled strings, and better than the background by a margin.  Automata see ``SEEN`` characters.
-Where a candidate as a whole does not pass, its parts between separators are scored, and of one longer than that also
-windows of that length, one every ``STEP`` characters.
+inference: per kind a prefix tree with counts is built over character classes, and states of one depth are merged when
+the frequencies of every class and of the end agree at all later places within a Hoeffding bound.  So lengths, fixed
+prefixes and the order of classes survive.  Ordinary long tokens give a background automaton in the same way.  Every
+candidate (a token, or what base matches leave of one) is then scored as a whole by the likelihood of its format: it is
+marked when some kind explains it as well as its own labelled strings (neither worse nor better, as a plain number
+would be under a hexadecimal format), and better than the background by a margin.  Where a candidate does not pass, its parts
+between separators are scored, and windows of each kind's commonest length in it and in its parts, one every
+``STEP`` characters and the last.
 
 Automata of credentials are fitted on about ``STRINGS`` strings of each kind out of all base matches of the corpus, the
 background on as many tokens of about ``SAMPLE_DOCS`` documents.  Scanning reads all texts whole.
@@ -25,7 +26,7 @@ import math
 import pickle
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,15 @@ from alertlift.llm.shipping import ship
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE_DOCS, STRINGS, FEWEST = 20_000, 800, 20
-#: Shortest candidate, longest prefix of a string that automata see, and certainty of the merge test.
+#: Shortest candidate, levels of an automaton before its last state repeats, and certainty of the merge test.
 CANDIDATE, SEEN, ALPHA = 16, 64, 0.05
-#: Characters between the starts of the windows of a long candidate.
+#: Strings below which a state is not tested but joins the nearest one, and weight of the classes of all places in each state.
+FEW, SMOOTH = 20, 1.0
+#: Characters between the starts of the windows of a candidate.
 STEP = 16
-#: Share of the labelled strings that may score below the limit, and nats a character over the background.
+#: Share of the labelled strings left out at either end of the range of likelihoods, and nats a character over the background.
 QUANTILE, MARGIN = 0.02, 0.35
-#: Probability of a class that a state has never seen.
+#: Least share of a class, whatever the labelled strings hold.
 UNSEEN = 1e-4
 
 #: The base patterns.
@@ -68,8 +71,9 @@ def _character_class(c: str) -> str:
     return c
 
 
-_CLASS = {c: _character_class(c) for c in map(chr, np.flatnonzero(_LONG))}
-CLASSES = len(set(_CLASS.values()))
+_NUMBER: dict[str, int] = {}
+_CLASS = {c: _NUMBER.setdefault(_character_class(c), len(_NUMBER)) for c in map(chr, np.flatnonzero(_LONG))}
+CLASSES = len(_NUMBER)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -111,124 +115,154 @@ def candidates(text: str, base: list[tuple[int, int, int]], shortest: int = CAND
     return out
 
 
-@dataclass
-class State:
-    passed: int = 0
-    stopped: int = 0
-    next: dict[str, int] = field(default_factory=dict)
-    times: dict[str, int] = field(default_factory=dict)
-
-
 class Automaton:
-    """A probabilistic automaton inferred from strings by merging compatible states of their prefix tree."""
-
-    def __init__(self, strings: list[str]):
-        self.states = [State()]
-        for string in strings:
-            at = 0
-            for c in string[:SEEN]:
-                state, c = self.states[at], _CLASS[c]
-                state.passed += 1
-                if c not in state.next:
-                    self.states.append(State())
-                    state.next[c] = len(self.states) - 1
-                state.times[c] = state.times.get(c, 0) + 1
-                at = state.next[c]
-            self.states[at].passed += 1
-            self.states[at].stopped += 1
-        self._merge()
-
-    def _agree(self, a: int, b: int) -> bool:
-        """Both states stop and go on alike, and so do the states behind them."""
-        waiting = [(a, b)]
-        while waiting:
-            x, y = (self.states[i] for i in waiting.pop())
-            bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (x.passed**-0.5 + y.passed**-0.5)
-            if bound >= 1 and min(x.passed, y.passed) <= 1:
-                continue
-            for p, q in [(x.stopped, y.stopped), *((x.times.get(c, 0), y.times.get(c, 0)) for c in x.times.keys() | y.times.keys())]:
-                if abs(p / x.passed - q / y.passed) > bound:
-                    return False
-            waiting += [(x.next[c], y.next[c]) for c in x.next.keys() & y.next.keys()]
-        return True
-
-    def _fold(self, a: int, b: int) -> None:
-        """Add state b, the root of a tree, and all below it to state a."""
-        waiting = [(a, b)]
-        while waiting:
-            i, j = waiting.pop()
-            x, y = self.states[i], self.states[j]
-            x.passed += y.passed
-            x.stopped += y.stopped
-            for c, k in y.next.items():
-                x.times[c] = x.times.get(c, 0) + y.times[c]
-                if c in x.next:
-                    waiting.append((x.next[c], k))
-                else:
-                    x.next[c] = k
-
-    def _merge(self) -> None:
-        """Settled states in order of discovery; each child of one is merged into the first that agrees, or settles."""
-        settled, queue = [0], [(0, c) for c in sorted(self.states[0].next)]
-        while queue:
-            parent, c = queue.pop(0)
-            child = self.states[parent].next[c]
-            if child in settled:
-                continue
-            for other in settled:
-                if self._agree(other, child):
-                    self.states[parent].next[c] = other
-                    before = {i: set(self.states[i].next) for i in settled}
-                    self._fold(other, child)
-                    queue += [(i, d) for i in settled for d in sorted(set(self.states[i].next) - before[i])]
-                    break
-            else:
-                settled.append(child)
-                queue += [(child, d) for d in sorted(self.states[child].next)]
-        number = {s: i for i, s in enumerate(settled)}
-        self.states = [self.states[s] for s in settled]
-        for state in self.states:
-            state.next = {c: number[k] for c, k in state.next.items() if k in number}
+    """An acyclic probabilistic automaton: compatible prefix-tree states of one depth are merged, level by level.
+
+    A state's profile is how often each class, or the end, comes at every later place of its strings; two states merge
+    where no entry differs by more than a Hoeffding bound.  States of fewer than ``FEW`` strings join the nearest
+    state of their level.  Levels keep fixed prefixes and lengths apart; from place ``SEEN`` on one state repeats.
+    ``tails`` are the counts of classes beyond that place, given where ``strings`` hold the first places only (None: shorter).
+    """
+
+    def __init__(self, strings: list[str], tails: list[np.ndarray | None] | None = None):
+        tails = [tail_counts(s) for s in strings] if tails is None else tails
+        codes = np.full((len(strings), SEEN), -1, dtype=np.int8)
+        for row, string in zip(codes, strings, strict=True):
+            own = [_CLASS[c] for c in string[:SEEN]]
+            row[: len(own)] = own
+            if len(own) < SEEN:
+                row[len(own)] = CLASSES
+        lengths = np.array([len(s[:SEEN]) + (0 if t is None else int(t.sum())) for s, t in zip(strings, tails, strict=True)])
+        #: The commonest length, the least of equally common ones.
+        self.length = int(np.bincount(lengths).argmax())
+        beyond = np.zeros(CLASSES + 1)
+        for tail in tails:
+            if tail is not None:
+                beyond += np.append(tail, 1)
+        total = np.bincount(codes[codes >= 0], minlength=CLASSES + 1) + beyond
+        prior = np.maximum(total / total.sum(), UNSEEN)
+        self.least = self.most = 0.0
+        self._build(codes, beyond, prior / prior.sum())
+
+    def _build(self, codes: np.ndarray, beyond: np.ndarray, prior: np.ndarray) -> None:
+        counts: list[np.ndarray] = []
+        steps: list[dict[int, int]] = []
+        levels: list[list[int]] = []
+        groups = [np.arange(len(codes))]
+        for depth in range(SEEN):
+            levels.append(list(range(len(counts), len(counts) + len(groups))))
+            children = []
+            for state, own in zip(levels[-1], groups, strict=True):
+                at = codes[own, depth]
+                counts.append(np.bincount(at[at >= 0], minlength=CLASSES + 1).astype(float))
+                steps.append({})
+                children += [(state, c, own[at == c]) for c in range(CLASSES) if counts[state][c]]
+            groups, joined = _merged(codes, depth + 1, [own for _, _, own in children])
+            for (state, c, _), k in zip(children, joined, strict=True):
+                steps[state][c] = len(counts) + k
+            if not groups:
+                break
+        # All paths of SEEN characters end in one state that repeats; unknown paths in a state that knows the classes only.
+        last, anywhere = len(counts), len(counts) + 1
+        counts += [beyond, np.zeros(CLASSES + 1)]
+        self.log = np.log((np.array(counts) + SMOOTH * prior) / (np.array(counts).sum(axis=1) + SMOOTH)[:, None])
+        self.next = np.full((len(counts), CLASSES), anywhere)
+        for depth, level in enumerate(levels):
+            largest = last if depth + 1 == SEEN else levels[depth + 1][0] if depth + 1 < len(levels) else anywhere
+            self.next[level] = largest
+            if depth + 1 < SEEN:
+                for state in level:
+                    for c, k in steps[state].items():
+                        self.next[state, c] = k
+        self.next[last] = last
+        #: States that learned something, for reports.
+        self.states = [i for i, own in enumerate(counts) if own.sum()]
 
     def per_character(self, string: str) -> float:
-        """Log-likelihood of the string's format, divided by its characters."""
+        """Log-likelihood of the string's format with its end, divided by its characters."""
         total, at = 0.0, 0
-        seen = string[:SEEN]
-        for c in seen:
+        for c in string[:SEEN]:
             c = _CLASS[c]
-            state = self.states[at]
-            total += math.log(max(state.times.get(c, 0) / max(state.passed, 1), UNSEEN))
-            at = state.next.get(c, 0)
-        if len(string) <= SEEN:
-            state = self.states[at]
-            total += math.log(max(state.stopped / max(state.passed, 1), UNSEEN))
-        return total / max(len(seen), 1)
+            total += self.log[at, c]
+            at = self.next[at, c]
+        tail = tail_counts(string)
+        if tail is not None:
+            total += float(self.log[at, :CLASSES] @ tail)
+        return float(total + self.log[at, CLASSES]) / max(len(string), 1)
+
+    def explains(self, string: str, own: float) -> bool:
+        """The likelihood lies where those of the automaton's labelled strings do."""
+        return self.least <= own <= self.most
+
+
+def tail_counts(string: str) -> np.ndarray | None:
+    """How often each class comes behind the first SEEN characters; None where the string ends before."""
+    if len(string) < SEEN:
+        return None
+    return np.bincount([_CLASS[c] for c in string[SEEN:]], minlength=CLASSES)
+
+
+def _profile(codes: np.ndarray, depth: int, own: np.ndarray) -> np.ndarray:
+    """Share of the strings with each class, or the end, at every place from ``depth`` on."""
+    ahead = codes[own, depth:].astype(np.int64) + 1
+    places = ahead.shape[1]
+    flat = ahead + np.arange(places) * (CLASSES + 2)
+    return np.bincount(flat.ravel(), minlength=places * (CLASSES + 2)) / len(own)
+
+
+def _merged(codes: np.ndarray, depth: int, children: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """Groups of a level, largest child first, and the group of each child."""
+    groups: list[np.ndarray] = []
+    profiles: list[np.ndarray] = []
+    joined = [0] * len(children)
+    for i in sorted(range(len(children)), key=lambda i: (-len(children[i]), i)):
+        own = children[i]
+        profile = _profile(codes, depth, own)
+        apart = [float(np.abs(profile - other).max(initial=0.0)) for other in profiles]
+        into = None
+        if len(own) < FEW and groups:
+            into = int(np.argmin(apart))
+        else:
+            certain = math.sqrt(0.5 * math.log(2 * max(profile.size, 1) / ALPHA))
+            into = next((k for k, far in enumerate(apart) if far <= certain * (len(own) ** -0.5 + len(groups[k]) ** -0.5)), None)
+        if into is None:
+            into = len(groups)
+            groups.append(own)
+            profiles.append(profile)
+        else:
+            groups[into] = np.concatenate([groups[into], own])
+            profiles[into] = _profile(codes, depth, groups[into])
+        joined[i] = into
+    return groups, joined
 
 
 @dataclass
 class Grammars:
-    """Automata by kind, the least likelihood for each, and the background's automaton."""
+    """Automata by kind, with the range of their own strings' likelihoods, and the background's automaton."""
 
-    kinds: dict[str, tuple[Automaton, float]]
+    kinds: dict[str, Automaton]
     background: Automaton | None
 
     def is_credential(self, token: str) -> bool:
         ordinary = self.background.per_character(token) if self.background else -math.log(CLASSES)
-        for automaton, limit in self.kinds.values():
+        for automaton in self.kinds.values():
             own = automaton.per_character(token)
-            if own >= limit and own - ordinary >= MARGIN:
+            if automaton.explains(token, own) and own - ordinary >= MARGIN:
                 return True
         return False
 
     def found(self, token: str) -> list[tuple[int, int]]:
-        """Stretches of a candidate that are credentials: the whole, or else its parts, and windows of a long one."""
-        if len(token) <= SEEN and self.is_credential(token):
+        """Stretches of a candidate that are credentials: the whole, or else its parts, and windows of the kinds' lengths."""
+        if self.is_credential(token):
             return [(0, len(token))]
-        parts = [m.span() for m in _PART.finditer(token) if m.end() - m.start() < len(token)]
-        if len(token) > SEEN:
-            parts += [(a, a + SEEN) for a in (*range(0, len(token) - SEEN, STEP), len(token) - SEEN)]
+        parts = {m.span() for m in _PART.finditer(token) if m.end() - m.start() < len(token)}
+        windows: set[tuple[int, int]] = set()
+        for size in {max(CANDIDATE, automaton.length) for automaton in self.kinds.values()}:
+            for a, b in [(0, len(token)), *parts]:
+                if size < b - a:
+                    windows |= {(at, at + size) for at in (*range(a, b - size, STEP), b - size)}
         marked: list[tuple[int, int]] = []
-        for a, b in sorted(p for p in parts if p[1] - p[0] <= SEEN and self.is_credential(token[p[0] : p[1]])):
+        for a, b in sorted(p for p in parts | windows if self.is_credential(token[p[0] : p[1]])):
             if marked and a <= marked[-1][1]:
                 marked[-1] = (marked[-1][0], max(b, marked[-1][1]))
             else:
@@ -256,24 +290,40 @@ def _suspects(texts: ta.Texts) -> np.ndarray:
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled strings: their first SEEN characters, and the counts of classes behind those."""
     for batch in batches:
-        kinds, strings = [], []
+        kinds, strings, tails = [], [], []
         for texts in ta.slices(batch.column(0)):
             sampled = batch.column(1).slice(texts.first, texts.n).to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(sampled | _suspects(texts)):
                 for kind, string in credentials(texts.text(i), sampled[i]):
+                    tail = tail_counts(string)
                     kinds.append(kind)
-                    strings.append(string[: SEEN + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], ["kind", "string"])
+                    strings.append(string[:SEEN])
+                    tails.append(None if tail is None else tail.tolist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kinds, pa.string()), pa.array(strings, pa.string()), pa.array(tails, pa.list_(pa.int64()))], ["kind", "string", "tail"]
+        )
 
 
 def _infer(members: pd.DataFrame) -> pd.DataFrame:
-    kind, strings = members["kind"].iloc[0], sorted(set(members["string"]))
-    if len(strings) < FEWEST:
-        return pd.DataFrame({"kind": [kind], "automaton": [b""], "least": [0.0]})
-    automaton = Automaton(strings)
-    scores = [automaton.per_character(s) for s in strings]
-    return pd.DataFrame({"kind": [kind], "automaton": [pickle.dumps(automaton)], "least": [float(np.quantile(scores, QUANTILE))]})
+    kind, n = members["kind"].iloc[0], len(members)
+    if n < FEWEST:
+        return pd.DataFrame({"kind": [kind], "automaton": [b""]})
+    tails = [None if t is None else np.asarray(t) for t in members["tail"]]
+    order = sorted(range(n), key=lambda i: (members["string"].iloc[i], () if tails[i] is None else tuple(tails[i])))
+    strings, tails = [members["string"].iloc[i] for i in order], [tails[i] for i in order]
+    automaton = Automaton(strings, tails)
+    # Strings of over SEEN characters are judged by the order of their first places and the counts of the rest.
+    scores = [automaton.per_character(s + _spelled(t)) for s, t in zip(strings, tails, strict=True)]
+    automaton.least, automaton.most = (float(x) for x in np.quantile(scores, (QUANTILE, 1 - QUANTILE)))
+    return pd.DataFrame({"kind": [kind], "automaton": [pickle.dumps(automaton)]})
+
+
+def _spelled(tail: np.ndarray | None) -> str:
+    """Some string with these counts of classes."""
+    some = {k: c for c, k in _CLASS.items()}
+    return "" if tail is None else "".join(some[k] * int(n) for k, n in enumerate(tail))
 
 
 def infer(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = STRINGS) -> Grammars:
@@ -282,14 +332,14 @@ def infer(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = STRING
     n = rows.select("doc_id").count()
     unit = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     sampled = F.coalesce(unit < sample_docs / max(n, 1), F.lit(False)).alias("sampled")
-    found = rows.select("text", sampled).mapInArrow(_labelled, "kind string, string string").distinct()
+    found = rows.select("text", sampled).mapInArrow(_labelled, "kind string, string string, tail array<long>").distinct()
     # The strings with the smallest hashes of each kind; a hash below the limit of its kind's expected number.
     counted = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    drawn = F.pmod(F.xxhash64("string"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = found.join(counted, "kind").filter(drawn < strings / F.col("n")).select("kind", "string")
-    learned = chosen.groupBy("kind").applyInPandas(_infer, "kind string, automaton binary, least double").collect()
-    automata = {r["kind"]: (pickle.loads(bytes(r["automaton"])), r["least"]) for r in learned if r["automaton"]}
-    background = automata.pop("other", (None, 0.0))[0]
+    drawn = F.pmod(F.xxhash64("string", "tail"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = found.join(counted, "kind").filter(drawn < strings / F.col("n")).select("kind", "string", "tail")
+    learned = chosen.groupBy("kind").applyInPandas(_infer, "kind string, automaton binary").collect()
+    automata = {r["kind"]: pickle.loads(bytes(r["automaton"])) for r in learned if r["automaton"]}
+    background = automata.pop("other", None)
     return Grammars(dict(sorted(automata.items())), background)
 
 

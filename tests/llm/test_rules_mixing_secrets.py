@@ -167,6 +167,40 @@ def test_automaton_merges_states():
     assert automaton.per_character("0a1b2c3d4e5f60718293") > automaton.per_character("ZZZZZZZZZZZZZZZZZZZZ")
 
 
+def test_automata_keep_lengths_and_prefixes():
+    r = random.Random(31)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    fixed = secrets.Automaton([draw("0123456789abcdef", 32) for _ in range(400)])
+    assert len(fixed.states) == 33  # one state a place: all digits alike, and the end only at 32
+    full, short = draw("0123456789abcdef", 32), draw("0123456789abcdef", 24)
+    assert fixed.per_character(full) > fixed.per_character(short) + 0.15
+    led = secrets.Automaton(["sk_" + draw("abcdefghijklmnopqrstuvwxyz", 24) for _ in range(400)])
+    own = draw("ghijklmnopqrstuvwxyz", 24)
+    assert len(led.states) > 20 and led.per_character("sk_" + own) > led.per_character(own + "_sk") + 0.3
+    mixed = secrets.Automaton([draw("0123456789", 10) + draw("ghij", 10) if i % 2 else draw("ghij", 10) + draw("0123456789", 10) for i in range(400)])
+    assert mixed.per_character("0123456789ghijghijgh") > mixed.per_character("0g1g2g3g4g5g6g7g8g9g") + 0.5
+
+
+def test_plain_numbers_are_not_marked(spark):
+    r = random.Random(32)
+    own = [(i, f"{prose(i, 20)} {''.join(r.choice('0123456789abcdef') for _ in range(32))}") for i in range(300)]
+    model = secrets.infer(spark.createDataFrame(own, "doc_id long, text string"))
+    assert "hex" in model.kinds
+    for n in (16, 18, 20, 22):
+        assert model.spans("x " + "".join(r.choice("0123456789") for _ in range(n)) + " y") == []
+
+
+def test_long_credentials_count_whole(spark):
+    r = random.Random(33)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = lambda n: "".join(r.choice(letters) for _ in range(n))
+    own = [(i, f"{prose(i, 20)} token={blob(r.randint(120, 160))}") for i in range(200)]
+    model = secrets.infer(spark.createDataFrame(own, "doc_id long, text string"))
+    string = blob(140)
+    assert model.spans(f"x {string} y") == [(2, 3, 142)]
+    assert (0, 140) not in model.found(string[:70] + "." * 70)
+
+
 @pytest.mark.parametrize("own", [None, []])
 def test_scan_awkward_and_no_rows(spark, own):
     docs = documents(spark, own)
