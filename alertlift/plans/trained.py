@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from alertlift.functions.scalar import r6
 from alertlift.operators import (
-    binning, boosting, cardinality, features, forest, group_balance, growth, kmeans_batch, least_squares, levels, storms,
+    binning, boosting, cardinality, evaluate, features, forest, group_balance, growth, kmeans_batch, least_squares, levels, storms,
 )
 from alertlift.plans import views
 from alertlift.plans.oracles import ALERTS, FOLDED, PRIORITIES, SPEEDY, add
 from alertlift.plans.oracles import r6 as sql_r6
 from alertlift.plans.queries import GROUP, query, rounded
 from alertlift.sources import schema
-from alertlift.sources.staging import stage
+from alertlift.sources.reader import load_alerts
+from alertlift.sources.staging import scratch_path, stage
+from alertlift.sources.writer import write_table
 
 # Results that a check reads again, per application, query and input.
 _kept: dict[tuple[str, str, str], DataFrame] = {}
@@ -258,6 +260,72 @@ from design d join (select fold, {", ".join(f"max(case when i = {i} then v end)
 )
 
 
+#: Models in the order in which they are compared; the first of equally good ones is the best.
+COMPARED = ("linear_all", "rf_full", "rf_search", *BOOSTED)
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of all five models, those of this application's earlier queries read again."""
+    own = [least_squares.out_of_fold(views.labelled(spark, sf_dir), views.NUMERIC, [GROUP])]
+    for name, run in (("forest", lambda *a: _full_forest(*a)[0]), ("search", lambda *a: _search(*a)[0]), ("boosted", _boosted)):
+        found = kept(spark, sf_dir, name)
+        own.append(run(spark, sf_dir) if found is None else found)
+    columns = ["alert_id", "model", "fold", "duration_true", "duration_pred"]
+    rows = own[0].select(*columns)
+    for more in own[1:]:
+        rows = rows.unionByName(more.select(*columns))
+    return rows
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the five models, what the mean of the other folds would reach, and the best model."""
+    rows = stage(_compared(spark, sf_dir))
+    metrics = evaluate.oof_metrics(rows).join(rows.groupBy("model").agg(F.count("*").alias("n"), F.count_distinct("alert_id").alias("n_keys")), "model")
+    metrics = stage(metrics)
+    best = evaluate.best_model(metrics, COMPARED).select(F.col("model").alias("best_model"))
+    halves = _check(rows).groupBy("model").agg(F.count("*").alias("n_folds"), F.min("halves_error").alias("halves_error"))
+    told = metrics.join(halves, "model").crossJoin(F.broadcast(best))
+    return keep(spark, sf_dir, "benchmark", told.withColumn("best", (F.col("model") == F.col("best_model")).cast("int")).drop("best_model"))
+
+
+@query("published_benchmark")
+def published_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares on all columns, the full forest, the searched forest and both boostings, compared out of fold."""
+    rows = _benchmark(spark, sf_dir)
+    below = (F.col("mae") < 10).cast("int").alias("below_10")
+    return rows.select("model", "n", *rounded("mae", "rmse"), below, "best", evaluate.model_order(COMPARED).cast("int").alias("place"))
+
+
+@query("published_benchmark_check")
+def published_benchmark_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for ``published_benchmark``: all alerts in all folds for each model, one best model, none better, and the
+    error of least squares, which SQL works out itself."""
+    rows = kept(spark, sf_dir, "benchmark")
+    rows = _benchmark(spark, sf_dir) if rows is None else rows
+    least = rows.agg(F.min("mae").alias("least"), F.sum("best").alias("n_best"))
+    linear = F.col("model") == "linear_all"
+    return rows.crossJoin(F.broadcast(least)).select(
+        "model", "n", "n_keys", "n_folds", "n_best", ((F.col("best") == 0) | (F.col("mae") == F.col("least"))).cast("int").alias("none_better"),
+        F.when(linear, 1).otherwise(F.col("halves_error")).alias("halves_error"),
+        *[F.when(linear, F.round(c, 3)).alias(f"linear_{c}") for c in ("mae", "rmse")],
+    )
+
+
+_PREDICTED = " + ".join(f"c{i} * b{i}" for i in range(len(TERMS)))
+_WIDE = ", ".join(f"max(case when i = {i} then v end) as b{i}" for i in range(len(TERMS)))
+add(
+    "published_benchmark_check",
+    f"""select model, n, n as n_keys, cast(3 as bigint) as n_folds, cast(1 as bigint) as n_best, 1 as none_better, 1 as halves_error,
+  case when model = 'linear_all' then round(mae, 3) end as linear_mae, case when model = 'linear_all' then round(rmse, 3) end as linear_rmse
+from (select count(*) as n, avg(abs(r)) as mae, sqrt(avg(r * r)) as rmse
+  from (select duration_minutes - ({_PREDICTED}) as r from design d join (select fold, {_WIDE} from b group by fold) w on w.fold = d.fold))
+cross join (values {", ".join(f"('{m}')" for m in COMPARED)}) as m(model)""",
+    ALERTS,
+    FOLDED,
+    *_sql_sweep(),
+)
+
+
 @query("balanced_group_folds")
 def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups by greedy filling: the largest one to the lightest fold."""
@@ -354,6 +422,27 @@ add(
 )
 
 
+@query("clustered_table")
+def clustered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustered table written as CSV with a header and read back by column name: its features, and whether type and
+    scores are those that were found."""
+    rows = _kept_clusters(spark, sf_dir)[0]
+    path = write_table(rows.drop("z_array"), scratch_path(spark, "clustered_alerts"), "csv")
+    found = ["storm_type", "pca_1", "pca_2"]
+    back = load_alerts(spark, path, rows.drop("z_array").schema)
+    first = rows.select("alert_id", F.struct(*found).alias("found"))
+    same = (F.struct(*found) == F.col("found")).cast("int").alias("same_clusters")
+    return back.join(first, "alert_id", "left").select("alert_id", GROUP, *rounded(*schema.STORM_FEATURES), same)
+
+
+add(
+    "clustered_table",
+    "select alert_id, airport, " + ", ".join(sql_r6(c, c) for c in schema.STORM_FEATURES) + ", 1 as same_clusters from speedy",
+    ALERTS,
+    SPEEDY,
+)
+
+
 @query("label_race")
 def label_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster label among six columns, of which exact counting sees only those that can win."""
