@@ -359,7 +359,7 @@ join bounds f on f.n = r.n and r.place >= f.begins and r.place < f.ends""",
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One clustering: alerts with vector, type and principal scores, the centres, and the costs of all starts."""
-    vectors = stage(storms.scaled_vectors(features.add_speed(views.alerts(spark, sf_dir))))
+    vectors = stage(storms.scaled_vectors(stage(features.add_speed(views.alerts(spark, sf_dir)))))
     found = kmeans_batch.fit_starts(vectors)
     typed = vectors.withColumn("z_array", vector_to_array(F.col("z")))
     typed = typed.withColumn("storm_type", found.label(F.col("z_array")))

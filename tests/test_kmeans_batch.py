@@ -55,3 +55,24 @@ def test_fewer_values_than_centres_and_no_rows(spark):
     assert sum(found.sizes) == 5 and found.costs[found.best] == pytest.approx(0)
     with pytest.raises(ValueError):
         kb.fit_starts(df.where("a > 1"), restarts=2)
+
+
+def test_equal_rows_travel_once_and_count_as_often_as_they_occur(spark):
+    df, _ = blobs(spark, 300)
+    seen = []
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), 1 + F.col("id").cast("int") % 5)))
+    kb.stage, stage = (lambda t: seen.append(t.count()) or stage(t)), kb.stage
+    try:
+        found = kb.fit_starts(copies, restarts=2)
+    finally:
+        kb.stage = stage
+    assert seen[0] == 300 and sum(found.sizes) == copies.count()
+
+
+def test_sums_of_members_are_exact_beyond_what_a_float_holds():
+    draw = np.random.default_rng(1)
+    values, at = draw.integers(-(1 << 55), 1 << 55, (500, 3)), draw.integers(0, 3, (500, 4))
+    told = kb.member_sums(at, 3, values)
+    for start in range(4):
+        for centre in range(3):
+            assert told[start, centre].tolist() == [sum(map(int, column)) for column in values[at[:, start] == centre].T]
