@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +60,9 @@ def fit_kmeans(
     """Best of several starts by training cost; the lowest seed wins a tie.
 
     The starts run side by side over one shared copy of the vectors, which
-    spills to disk where memory is short.  The block solver takes a block of
-    rows at a time, so reading that copy in every iteration stays cheap.
+    spills to disk where memory is short.  Equal vectors are in it once, with
+    their number as weight.  The block solver takes a block of rows at a time,
+    so reading that copy in every iteration stays cheap.
     """
 
     def run(offset: int) -> KMeansModel:
@@ -74,21 +75,28 @@ def fit_kmeans(
             maxIter=MAX_ITERATIONS,
             tol=CENTRE_SHIFT,
             solver="block",
+            weightCol="__weight",
         ).fit(shared)
 
-    shared = vectors.select(name).persist(StorageLevel.MEMORY_AND_DISK)
+    # Staged, so that the copy has partitions by its size and not those of the shuffle.
+    counted = stage(vectors.groupBy(vector_to_array(F.col(name)).alias("x")).agg(F.count("*").cast("double").alias("__weight")))
+    shared = counted.select(array_to_vector(F.col("x")).alias(name), "__weight").persist(StorageLevel.MEMORY_AND_DISK)
     pool = ThreadPool(max(1, min(parallelism, restarts)))
     try:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(run), range(restarts))
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        # The summary counts distinct vectors; sizes are numbers of alerts.
+        sizes = dict(best.transform(shared).groupBy("centre").agg(F.sum("__weight")).collect())
     finally:
         pool.close()
         shared.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+    best.alert_counts = [int(sizes.get(i, 0)) for i in range(k)]
+    return best
 
 
 def size_order(model: KMeansModel) -> list[int]:
-    """Storm type per centre, by cluster size."""
-    sizes = model.summary.clusterSizes
+    """Storm type per centre, by the number of alerts; for a model of ``fit_kmeans``."""
+    sizes = model.alert_counts
     ranked = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     return [ranked.index(i) for i in range(len(sizes))]
 

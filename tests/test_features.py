@@ -191,3 +191,11 @@ def test_projection_equals_numpy(spark, sf_dir):
         assert np.allclose(z @ axis, [r[f"pca_{j + 1}"] for r in out], atol=1e-6)
     first, second = np.array([[r["pca_1"], r["pca_2"]] for r in out]).T
     assert abs(np.corrcoef(first, second)[0, 1]) < 1e-6 and first.var() >= second.var()
+
+
+def test_starts_see_equal_vectors_once_and_sizes_count_alerts(spark):
+    rows = [(float(x), float(y)) for x, y, n in ((0, 0, 2), (9, 0, 7), (0, 9, 4), (1, 0, 1), (0, 8, 1)) for _ in range(n)]
+    vectors = storms.scaled_vectors(spark.createDataFrame(rows, "x double, y double"), ["x", "y"])
+    model = storms.fit_kmeans(vectors, restarts=2)
+    assert sorted(model.alert_counts) == [3, 5, 7] and sum(model.summary.clusterSizes) == 5
+    assert model.alert_counts[storms.size_order(model).index(0)] == 7
