@@ -151,3 +151,10 @@ def test_wide_comparison_takes_clustering_columns(spark, sf_dir, tmp_path):
     found = {r["feature"] for r in result.importance.collect()}
     assert "cluster_score" in found and "ic_ratio" not in found
     assert {f for f in found if f.startswith("storm_type_")} and {f for f in found if f.startswith("airport_")}
+
+
+def test_training_sets_are_cut_into_parts_of_bounded_rows(spark, table, monkeypatch):
+    monkeypatch.setattr(tr, "PART_ROWS", 100)
+    sizes = [r[0] for r in tr.in_parts(table).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == table.count() and max(sizes) <= 120
+    one_per_row(tr.out_of_fold(table, SMALL, ["n_lightnings", "mean_dist"]), table)
