@@ -233,3 +233,31 @@ def test_balanced_folds_keep_groups_together(spark):
     folds = group_balance.assign_balanced_group_folds(df, "g").groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("g").alias("g")).collect()
     assert sorted(r["n"] for r in folds) == [31, 31, 50] and sum(r["n"] for r in folds) == sum(sizes)
     assert group_balance.balanced_group_folds(df, "g").count() == len(sizes)
+
+
+def test_features_of_two_bins_are_split_without_an_order_of_their_own(monkeypatch):
+    draw = np.random.default_rng(8)
+    bins = np.column_stack([draw.integers(0, 30, 4000), draw.integers(0, 2, 4000), draw.integers(0, 2, 4000) * 7]).astype(np.uint8)
+    y, w, held = draw.integers(-(10**8), 10**8, 4000), draw.poisson(1, 4000), bins[:200]
+    sorts = []
+    real = np.argsort
+    monkeypatch.setattr(growth.np, "argsort", lambda *a, **k: sorts.append(1) or real(*a, **k))
+    told, gains = growth.grow(bins, w, y, held, growth.Rule(least=3), np.uint64(1), np.uint64(1))
+    assert len(sorts) == 1
+    monkeypatch.undo()
+
+    def plain(rows, asked):
+        """The mean of each asked row's leaf, by histograms."""
+        weight, total = np.zeros((1, 3, 128), dtype=np.int64), np.zeros((1, 3, 128), dtype=np.int64)
+        for j in range(3):
+            np.add.at(weight[0, j], bins[rows, j], w[rows])
+            np.add.at(total[0, j], bins[rows, j], (w * y)[rows])
+        best = growth.best_splits(weight, total, np.ones((1, 3), dtype=bool), growth.Rule(least=3))
+        j, at = best.feature[0], best.bin[0]
+        if j < 0:
+            return np.full(len(asked), (w * y)[rows].sum() / w[rows].sum())
+        out, below, sought = np.zeros(len(asked)), bins[rows, j] <= at, held[asked, j] <= at
+        out[sought], out[~sought] = plain(rows[below], asked[sought]), plain(rows[~below], asked[~sought])
+        return out
+
+    assert (told == plain(np.flatnonzero(w > 0), np.arange(200))).all() and (gains > 0).all()
