@@ -261,3 +261,16 @@ def test_features_of_two_bins_are_split_without_an_order_of_their_own(monkeypatc
         return out
 
     assert (told == plain(np.flatnonzero(w > 0), np.arange(200))).all() and (gains > 0).all()
+
+
+def test_training_sets_of_hundreds_of_thousands_of_rows_need_no_job_per_level(spark, monkeypatch):
+    def no_spread(*_):
+        raise AssertionError("a job per level")
+
+    monkeypatch.setattr(boosting, "_boost_spread", no_spread)
+    df = spark.range(300_000).select(
+        F.col("id").alias("alert_id"), F.lit("a").alias("airport"), (F.col("id") % 3).cast("int").alias("fold"),
+        (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 50 + F.col("id") % 7).cast("double").alias("label"),
+    )
+    out = boosting.out_of_fold(binning.encode(df, ["x"]), {"short": boosting.Boosting(3, 0.5, 3)})
+    assert out.count() == 300_000 and out.where("duration_pred is null").count() == 0
