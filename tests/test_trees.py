@@ -274,3 +274,32 @@ def test_training_sets_of_hundreds_of_thousands_of_rows_need_no_job_per_level(sp
     )
     out = boosting.out_of_fold(binning.encode(df, ["x"]), {"short": boosting.Boosting(3, 0.5, 3)})
     assert out.count() == 300_000 and out.where("duration_pred is null").count() == 0
+
+
+def test_equal_rows_are_added_up_once_and_features_read_only_nodes_that_may_use_them(monkeypatch):
+    draw = np.random.default_rng(3)
+    vectors = draw.integers(0, 90, (300, 11)).astype(np.uint8)
+    which = draw.integers(0, 300, 20_000)
+    y, w = draw.integers(0, 10**8, 20_000), draw.poisson(1, 20_000)
+    rule = growth.Rule(least=2, per_split=3)
+    added = []
+    real = growth._sums_by_bin
+    monkeypatch.setattr(growth, "_sums_by_bin", lambda keys, *rest: added.append(len(keys)) or real(keys, *rest))
+    told, _ = growth.grow(vectors[which], w, y, vectors, rule, np.uint64(1), np.uint64(1))
+    assert max(added) <= 300 and len(added) > 3
+    own_w, own_s = np.bincount(which, w, 300).astype(np.int64), np.bincount(which, w * y, 300).astype(np.int64)
+    plain = grow_by_histograms(vectors, own_w, own_s, rule, np.uint64(1), np.uint64(1), 0)
+    assert (told == np.array([plain(x) for x in vectors])).all()
+
+
+def test_sums_beyond_exact_floats_are_added_up_as_whole_numbers(monkeypatch):
+    draw = np.random.default_rng(4)
+    bins, y = draw.integers(0, 100, (600, 3)).astype(np.uint8), draw.integers(2**52, 2**53, 600)
+    counted = []
+    real = growth._sums_by_bin
+    monkeypatch.setattr(growth, "_sums_by_bin", lambda keys, w, s, *rest: counted.append(s.dtype) or real(keys, w, s, *rest))
+    rule, one = growth.Rule(3), np.ones(600, dtype=np.int64)
+    told, _ = growth.grow(bins, one, y, bins, rule, np.uint64(1), np.uint64(1))
+    assert set(counted) == {np.dtype(np.int64)}
+    plain = grow_by_histograms(bins, one, y, rule, np.uint64(1), np.uint64(1), 0)
+    assert (told == np.array([plain(x) for x in bins])).all()
