@@ -12,6 +12,7 @@ Pieces are found and told apart as arrays: a 64-bit hash finds a piece in the ta
 from __future__ import annotations
 
 import gc
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -121,6 +122,7 @@ class ChunkTable:
 
     ``encode_words`` encodes words of the pattern (UTF-8, sorted), ``encode_all`` any texts, each to the bytes of
     its little-endian unsigned 32-bit ids.  ``added``: tokens that are cut out before the pattern applies.
+    ``ordered`` False: ``encode_words`` takes words in any order.
     """
 
     def __init__(
@@ -130,7 +132,9 @@ class ChunkTable:
         added: list[str],
         held: int = HELD,
         held_ids: int = HELD_IDS,
+        ordered: bool = True,
     ):
+        self.ordered = ordered
         self.encode_words, self.encode_all, self.held, self.held_ids = encode_words, encode_all, held, held_ids
         self.added = [x.encode("utf-8") for x in added]
         self._clear()
@@ -143,8 +147,10 @@ class ChunkTable:
 
     def _add(self, keys: list[int], check: np.ndarray, pieces: list[bytes], words: list[bool]) -> None:
         ids: list[bytes] = [b""] * len(pieces)
-        order = sorted((p, i) for i, (p, w) in enumerate(zip(pieces, words, strict=True)) if w)
-        for (_, i), found in zip(order, self.encode_words([p for p, _ in order]), strict=True):
+        order = [i for i, w in enumerate(words) if w]
+        if self.ordered:
+            order.sort(key=pieces.__getitem__)
+        for i, found in zip(order, self.encode_words([pieces[i] for i in order]), strict=True):
             ids[i] = found
         others = [i for i, w in enumerate(words) if not w]
         for i, found in zip(others, self.encode_all([pieces[i].decode("utf-8") for i in others]), strict=True):
@@ -171,17 +177,23 @@ class ChunkTable:
         keys = ta.span_hashes(texts.data, pieces.start, pieces.end)
         check = ta.span_hashes(texts.data, pieces.start, pieces.end, variant=1)
         # A piece may be a word in one place and hard in another only if its bytes differ.
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        missing = [i for i, k in enumerate(names) if k not in self.number]
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        first, back = order[fresh], np.empty(len(order), dtype=np.int64)
+        back[order] = np.cumsum(fresh) - 1
+        names = ordered[fresh].tolist()
+        number = np.fromiter(map(self.number.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
+        missing = np.flatnonzero(number < 0)
         if len(self.check) + len(missing) > self.held or len(self.flat) > self.held_ids:
             self._clear()
-            missing = list(range(len(names)))
-        if missing:
+            missing = np.arange(len(names))
+        if len(missing):
             raw, where = texts.data.tobytes(), first[missing]
             spans = zip(pieces.start[where].tolist(), pieces.end[where].tolist(), strict=True)
-            self._add([names[i] for i in missing], check[where], [raw[a:b] for a, b in spans], is_word[where].tolist())
-        number = np.fromiter(map(self.number.__getitem__, names), dtype=np.int64, count=len(names))[back]
+            number[missing] = len(self.check) + np.arange(len(missing))
+            self._add([names[i] for i in missing.tolist()], check[where], [raw[a:b] for a, b in spans], is_word[where].tolist())
+        number = number[back]
         if (self.check[number] != check).any():
             raise ValueError("two different pieces have one hash")
         size = self.size[number]

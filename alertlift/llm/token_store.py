@@ -51,8 +51,11 @@ FIRST_RULE = 1 << 16
 LEAST = 4
 #: Bytes of text that one part of the ordered table holds, about.
 PART_BYTES = 24 << 20
+#: Bytes of text that are encoded at once: words that they share are looked up once.
+SLICE_BYTES = 1 << 20
 
 _SLOTS = 1 << 17
+_WORST = np.iinfo(np.int32).max
 _tables: dict[str, ChunkTable] = {}
 
 
@@ -63,7 +66,7 @@ def _library(path: str) -> ChunkTable:
         from tokenizers import Tokenizer
 
         library = Library(Tokenizer.from_file(path))
-        _tables[path] = ChunkTable(library.encode_words, library.encode_all, library.added)
+        _tables[path] = ChunkTable(library.encode_words, library.encode_all, library.added, ordered=False)
     return _tables[path]
 
 
@@ -81,11 +84,14 @@ class Library:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of the pattern, given as UTF-8."""
-        tokenize, letters, pack, out = self.model.tokenize, self.letters, struct.pack, []
-        for word in words:
-            ids = [t.id for t in tokenize(word.decode("latin-1").translate(letters))]
-            out.append(pack(f"<{len(ids)}I", *ids))
-        return out
+        tokenize = self.model.tokenize
+        # One character a byte, before and after translation, so words are cut out again by their lengths.
+        letters = b"".join(words).decode("latin-1").translate(self.letters)
+        ends = list(itertools.accumulate(map(len, words)))
+        found = [[t.id for t in tokenize(letters[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+        raw = np.fromiter(itertools.chain.from_iterable(found), "<u4").tobytes()
+        ends = list(itertools.accumulate(4 * len(x) for x in found))
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -113,24 +119,37 @@ def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) ->
     A pair's places are taken where its rank is better than the pair before and not worse than the pair after, so
     no two overlap.  What loses out is found again in the next round; the best pair never does, so each round gets on.
     Without ``rounds`` it goes on until no pair has ``least`` places that don't overlap.
+
+    A round only reads the places where a pair can be frequent: those that were in the last round, and those beside its
+    new symbols.  A pair of older symbols never gains a place.
     """
     sequence = ids.astype(np.uint32)
-    rules, expansions = [], []
+    rules, expansions, n_rules = [], [], 0
     size_of = np.ones(FIRST_RULE, dtype=np.uint32)
+    hot = np.arange(max(len(sequence) - 1, 0))
+    # The place before the first one and the one behind the last one have the worst rank, like all that have none.
+    rank = np.full(len(sequence) + 1, _WORST, dtype=np.int32)
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(sequence) < 2:
+        if not len(hot):
             break
-        pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+        if rules:
+            pairs = (sequence[hot].astype(np.uint64) << np.uint64(32)) | sequence[hot + 1]
+        else:
+            pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         # In a run of one symbol every other place counts, from its first one on.
-        again = np.flatnonzero(pairs[1:] == pairs[:-1]) + 1
-        first_of_run = again[np.concatenate([[True], np.diff(again) > 1])] if len(again) else again
-        odd = again[(again - first_of_run[np.searchsorted(first_of_run, again, side="right") - 1]) % 2 == 0]
-        apart = np.ones(len(pairs), dtype=bool)
-        apart[odd] = False
+        again = np.flatnonzero((pairs[1:] == pairs[:-1]) & (hot[1:] - hot[:-1] == 1)) + 1
+        if len(again):
+            first_of_run = again[np.concatenate([[True], np.diff(again) > 1])]
+            odd = again[(again - first_of_run[np.searchsorted(first_of_run, again, side="right") - 1]) % 2 == 0]
+            apart = np.ones(len(pairs), dtype=bool)
+            apart[odd] = False
+            hot_apart, pairs_apart = hot[apart], pairs[apart]
+        else:
+            hot_apart, pairs_apart = hot, pairs
         if rules:
-            ordered = np.sort(pairs[apart])
+            ordered = np.sort(pairs_apart)
         else:  # two ids of the vocabulary fit in 32 bits, which sort in half the time
-            packed = np.sort(((sequence[:-1] << np.uint32(16)) | sequence[1:])[apart]).astype(np.uint64)
+            packed = np.sort((pairs_apart >> np.uint64(16)).astype(np.uint32) | pairs_apart.astype(np.uint32)).astype(np.uint64)
             ordered = (packed >> np.uint64(16) << np.uint64(32)) | (packed & np.uint64(0xFFFF))
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         often = np.diff(edges)
@@ -147,14 +166,16 @@ def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) ->
         slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
         rank_at = np.full(_SLOTS, -1, dtype=np.int32)
         rank_at[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
-        rank = rank_at[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)]
-        rank[keys[rank] != pairs] = -1
-        rank[(rank < 0) | ~apart] = len(keys)
-        better = np.ones(len(rank), dtype=bool)
-        better[1:] = rank[1:] < rank[:-1]
-        better[:-1] &= rank[:-1] <= rank[1:]
-        places = np.flatnonzero(better & (rank < len(keys)))
-        taken = rank[places]
+        # Places whose slot is taken: all those of frequent pairs, and few others.
+        at_slot = rank_at[((pairs_apart * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)]
+        known = np.flatnonzero(at_slot >= 0)
+        hot_apart, pairs_apart, at_slot = hot_apart[known], pairs_apart[known], at_slot[known]
+        met = np.flatnonzero(keys[at_slot] == pairs_apart)
+        ranked, own = hot_apart[met], at_slot[met]
+        rank[ranked + 1] = own
+        better = np.flatnonzero((own < rank[ranked]) & (own <= rank[ranked + 2]))
+        rank[ranked + 1] = _WORST
+        places, taken = ranked[better], own[better]
         used = np.flatnonzero(np.bincount(taken, minlength=len(keys)) >= least)
         number_of = np.full(len(keys), -1, dtype=np.int64)
         number_of[used] = np.arange(len(used))
@@ -163,14 +184,22 @@ def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) ->
         if not len(used):
             break
         left, right = (keys[used] >> np.uint64(32)).astype(np.uint32), keys[used].astype(np.uint32)
-        first = FIRST_RULE + sum(map(len, expansions))
+        first = FIRST_RULE + n_rules
         rules.append(np.stack([left, right], axis=1))
         expansions.append(size_of[left] + size_of[right])
         size_of = np.concatenate([size_of, expansions[-1]])
+        n_rules += len(used)
         sequence[places] = first + number.astype(np.uint32)
         keep = np.ones(len(sequence), dtype=bool)
         keep[places + 1] = False
-        sequence = sequence[keep]
+        stays = np.zeros(len(sequence), dtype=bool)
+        # In a run of a frequent pair the places between count next time.
+        stays[hot_apart] = stays[places] = stays[places[places > 0] - 1] = True
+        if len(again):
+            stays[hot[again]] = True
+        sequence, hot = sequence[keep], np.flatnonzero(stays[keep])
+        if len(hot) and hot[-1] == len(sequence) - 1:
+            hot = hot[:-1]
     if not rules:
         return np.empty((0, 2), np.uint32), np.empty(0, np.uint32), sequence
     return np.concatenate(rules), np.concatenate(expansions), sequence
@@ -240,7 +269,7 @@ def _shards(path: str, kind: pa.DataType, shard_ids: int) -> Callable[[Iterator[
         table = _library(path)
         docs, ids, held, shard, part = [], [], 0, 0, 0
         for batch in batches:
-            for texts in ta.slices(batch.column(2)):
+            for texts in ta.slices(batch.column(2), SLICE_BYTES):
                 part = batch.column(0)[0].as_py()
                 found, cuts = table.texts(texts)
                 # The end id goes behind each text's ids.

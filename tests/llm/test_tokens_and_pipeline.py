@@ -208,3 +208,22 @@ def test_every_taken_row_arrives(spark, sf_dir):
             whole = {i for i, s in source_of.items() if s == source and words_of[i]}
             if target and target >= 2 * sum(words_of[i] for i in whole):
                 assert sum(found["size"].isin(whole)) == 2 * len(whole)
+
+
+def test_rounds_read_only_places_that_can_be_frequent(monkeypatch):
+    ids = np.random.default_rng(5).zipf(1.3, 60_000).clip(max=40_000).astype(np.uint32)
+    sizes = []
+    real = np.sort
+    monkeypatch.setattr(token_store.np, "sort", lambda x, *a: sizes.append(len(x)) or real(x, *a))
+    rules, expansions, sequence = token_store.compress(ids)
+    assert (token_store.Grammar(rules, expansions).expand(sequence) == ids).all()
+    assert len(sizes) > 4 and sizes[-1] < len(sequence) / 10
+    # Whole all the same: no pair is left with four places that don't overlap.
+    pairs, counts = np.unique(np.stack([sequence[:-1], sequence[1:]], axis=1), axis=0, return_counts=True)
+    for (left, right), n in zip(pairs[counts >= 4], counts[counts >= 4], strict=True):
+        places = np.flatnonzero((sequence[:-1] == left) & (sequence[1:] == right))
+        taken, last = 0, -2
+        for place in places:
+            if place > last + 1:
+                taken, last = taken + 1, place
+        assert taken < 4, (left, right, n)
