@@ -34,6 +34,12 @@ def r6(col: Column) -> Column:
     return F.round(col, 6) + F.lit(0.0)
 
 
+def r6_probability(col: Column) -> Column:
+    """``r6`` of a probability.  Rounding goes through decimal numbers, so what rounds to 0 or 1 is told by comparison."""
+    one = (col > F.lit(1 - 4e-7)) & (col <= F.lit(1.0))  # NaN is above all numbers
+    return F.when((col < F.lit(4e-7)) & (col >= F.lit(0.0)), F.lit(0.0)).when(one, F.lit(1.0)).otherwise(r6(col))
+
+
 def hash_bucket(col: Column, buckets: int, seed: int) -> Column:
     """Bucket number from the first 32 bits of an md5 of seed and key.
 

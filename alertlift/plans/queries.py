@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlift.functions.scalar import r6
+from alertlift.functions.scalar import r6, r6_probability
 from alertlift.operators import decision, evaluate, features, folds, footprint, storms, trends
 from alertlift.operators import training as tr
 from alertlift.operators.joins import attach_row
@@ -294,7 +294,7 @@ def residual_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prob_at_minute")
 def prob_at_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decision.probability_matrix(views.line_predictions(spark, sf_dir))
-    return rows.select("alert_id", "minute", *rounded("p_over"))
+    return rows.select("alert_id", "minute", r6_probability(F.col("p_over")).alias("p_over"))
 
 
 @query("lift_minute")

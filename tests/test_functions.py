@@ -4,6 +4,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from alertlift.functions import cap_at, hash_bucket, nan_to_null, normal_cdf, z_score_of
+from alertlift.functions.scalar import r6, r6_probability
 
 
 def test_normal_cdf_equals_the_error_function(spark):
@@ -44,3 +45,12 @@ def test_hash_bucket_depends_on_the_key_only(spark):
     assert set(one.values()) == {0, 1, 2}
     other = {r[0]: r[1] for r in df.select("id", hash_bucket(F.col("id"), 3, 43)).collect()}
     assert one != other
+
+
+def test_probabilities_are_rounded_as_all_numbers_and_ends_by_comparison(spark):
+    ends = [0.0, 1e-12, 3.9e-7, 4e-7, 4.999999e-7, 5e-7, 5.000001e-7, 1e-6, 0.1234565, 0.5, math.nan, None, 1.5, -0.25]
+    values = [*ends, *[1 - v for v in ends if v is not None]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, p double")
+    rows = df.select("i", r6_probability(F.col("p")).alias("got"), r6(F.col("p")).alias("wanted")).collect()
+    for r in rows:
+        assert r["got"] == r["wanted"] or (math.isnan(r["got"]) and math.isnan(r["wanted"])), values[r["i"]]
