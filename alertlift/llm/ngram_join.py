@@ -134,34 +134,57 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def _prefixes(width: int, at_least: tuple[int, int], sketch) -> Callable:  # noqa: ANN001  a broadcast
+def _has(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[bits // 32] >> (bits % 32).astype(np.uint32)) & 1 == 1
+
+
+def _prefixes(width: int, at_least: tuple[int, int], sketch, several, stand) -> Callable:  # noqa: ANN001  broadcasts
+    """Rows (bit of doc_id, text) to prefixes of classes.  ``several``: filter of the classes that may have more than one row,
+    ``stand``: of the rows that stand for those.  Most copies are dropped, no class is; the few left post what theirs does."""
     num, den = at_least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sketch.value
         for batch in batches:
             for texts in ta.slices(batch.column(1)):
-                out, prints = [], []
-                for own in shingle_sets(texts, width):
-                    size = len(own)
-                    length = size - (num * size + den - 1) // den + 1 if size else 0
+                sets = shingle_sets(texts, width)
+                prints = np.array([ta.mix(s ^ _SEEDS[0]).sum() for s in sets], dtype=np.uint64)
+                rows = batch.column(0).slice(texts.first, texts.n).to_numpy()
+                copy = _has(several.value, (prints & np.uint64(FILTER_BITS - 1)).astype(np.int64)) & ~_has(stand.value, rows)
+                size = np.array([len(s) for s in sets], dtype=np.int64)
+                posts = np.flatnonzero(~copy & (size > 0))
+                out = [np.empty(0, dtype=np.int64)]
+                for i in posts.tolist():
+                    own = sets[i]
+                    length = len(own) - (num * len(own) + den - 1) // den + 1
                     # ``own`` is sorted by hash already, and a stable sort by count keeps that order among equals.
                     order = np.argsort(common[(own & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:length]
                     out.append(own[order].view(np.int64))
-                    prints.append([ta.mix(own ^ seed).sum() for seed in _SEEDS])
-                prints = np.array(prints, dtype=np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+                offsets = np.cumsum([len(x) for x in out])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, texts.n), pa.array(prints[0]), pa.array(prints[1]),
+                    [pa.array(prints.view(np.int64)[posts]), pa.array(size[posts]),
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))],
-                    ["doc_id", "fp1", "fp2", "prefix"])
+                    ["id", "size", "prefix"])
+
+    return run
+
+
+def _in_filter(bitmap) -> Callable:  # noqa: ANN001  a broadcast
+    """Rows whose first column, a bit, is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(bitmap.value, batch.column(0).to_numpy())))
 
     return run
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of FILTER_BITS bits with a bit for each hashed id: fixed size, no false negatives."""
-    bits = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS)).alias("bit"))
+    return bit_filter(ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS)).alias("bit")))
+
+
+def bit_filter(bits: DataFrame) -> np.ndarray:
     by_word = bits.select(F.expr("cast(bit div 32 as int)").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("b"))
     bitmap = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     for batch in by_word.groupBy("word").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
@@ -172,9 +195,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 def _sets_of(width: int, bitmap) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(1).to_numpy()
-            wanted = (bitmap.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1
-            kept = batch.filter(pa.array(wanted))
+            kept = batch.filter(pa.array(_has(bitmap.value, batch.column(1).to_numpy())))
             for texts in ta.slices(kept.column(0)):
                 sets = shingle_sets(texts, width)
                 prints = np.array([ta.mix(s ^ _SEEDS[0]).sum() for s in sets], dtype=np.uint64).view(np.int64)
@@ -190,8 +211,29 @@ def _by_doc(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("long"))
 
 
+def _bit_of_doc(column: str) -> Column:
+    return F.pmod(F.xxhash64(_by_doc(column)), F.lit(FILTER_BITS))
+
+
+def posted_prefixes(docs: DataFrame, classes: DataFrame, width: int, at_least: tuple[int, int], sketch) -> DataFrame:  # noqa: ANN001
+    """(id, size, pos, token) of the prefix of every class, for a few copies more than once.
+
+    Which row stands for a class is told by fixed-size filters where texts are read: no prefix is shuffled to find it.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    bit = F.pmod("fp1", F.lit(FILTER_BITS)).alias("bit")
+    several = broadcast(bit_filter(classes.filter("n_rows > 1").select(bit)))
+    # A class of one row whose bit is there as well needs its row in the second filter.
+    stand = classes.select(bit, _bit_of_doc("rep").alias("row")).mapInArrow(_in_filter(several), "bit long, row long")
+    stand = broadcast(bit_filter(stand.select(F.col("row").alias("bit"))))
+    prefixes = docs.select(_bit_of_doc("doc_id").alias("bit"), "text").mapInArrow(
+        _prefixes(width, at_least, sketch, several, stand), "id long, size long, prefix array<long>"
+    )
+    return prefixes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the classes ``ids``, one row each.
+    """All columns of ``ids``, one row per class, and its set.
 
     A fixed-size bitmap of the rows that stand for them drops the other texts where they are read, so only sets that
     take part are shuffled.
@@ -199,10 +241,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) ->
     spark = docs.sparkSession
     wanted = classes.join(ids, "id", "left_semi").select(_by_doc("rep").alias("rep"))
     bitmap = spark.sparkContext.broadcast(id_filter(wanted))
-    bit = F.pmod(F.xxhash64(_by_doc("doc_id")), F.lit(FILTER_BITS)).alias("bit")
     # Rows of one class by the row that stands for it: copies under other ids do not pass.
-    sets = docs.select("text", bit).mapInArrow(_sets_of(width, bitmap), "id long, set binary")
-    return sets.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+    sets = docs.select("text", _bit_of_doc("doc_id").alias("bit")).mapInArrow(_sets_of(width, bitmap), "id long, set binary")
+    return sets.join(ids.hint("merge"), "id").groupBy(*ids.columns).agg(F.first("set").alias("set"))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,19 +274,22 @@ def whole_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(comp, id, n_rows, set, set of the leader) to what the set lacks of the leader's and has beyond it."""
+    """(comp, id, n_rows, alone, set, set of the leader) to what the set lacks of the leader's and has beyond it; a class that is
+    ``alone`` in its group meets no other, so its overlap with the leader is all that is told."""
     for batch in batches:
-        lacks, beyond, size, led = [], [], [], []
-        for i in range(batch.num_rows):
-            own, leader = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (3, 4))
-            lacks.append(np.setdiff1d(leader, own, assume_unique=True).tobytes())
-            beyond.append(np.setdiff1d(own, leader, assume_unique=True).tobytes())
+        lacks, beyond, size, led, overlap = [], [], [], [], []
+        for i, alone in enumerate(batch.column(3).to_pylist()):
+            own, leader = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (4, 5))
+            lacking = np.setdiff1d(leader, own, assume_unique=True)
+            lacks.append(b"" if alone else lacking.tobytes())
+            beyond.append(b"" if alone else np.setdiff1d(own, leader, assume_unique=True).tobytes())
             size.append(len(own))
             led.append(len(leader))
+            overlap.append(len(leader) - len(lacking))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in range(3)), pa.array(size, pa.int64()), pa.array(led, pa.int64()),
+            [*(batch.column(c) for c in range(4)), *(pa.array(n, pa.int64()) for n in (size, led, overlap)),
              pa.array(lacks, pa.binary()), pa.array(beyond, pa.binary())],
-            ["comp", "id", "n_rows", "size", "led", "lacks", "beyond"],
+            ["comp", "id", "n_rows", "alone", "size", "led", "overlap", "lacks", "beyond"],
         )
 
 
@@ -354,11 +398,9 @@ def _spanning(at_least: tuple[int, int]) -> Callable:
 
 
 def differences(members: DataFrame) -> DataFrame:
-    """comp (a group), id, n_rows, and each set by its differences from ``leader``, a set near to all of the group; staged."""
-    return stage(
-        members.select("comp", "id", "n_rows", "set", "leader")
-        .mapInArrow(_differences, "comp long, id long, n_rows long, size long, led long, lacks binary, beyond binary")
-    )
+    """comp (a group), id, n_rows, alone, and each set by its differences from ``leader``, a set near to all of the group; staged."""
+    told = "comp long, id long, n_rows long, alone boolean, size long, led long, overlap long, lacks binary, beyond binary"
+    return stage(members.select("comp", "id", "n_rows", "alone", "set", "leader").mapInArrow(_differences, told))
 
 
 def block_pairs_of(different: DataFrame) -> DataFrame:
@@ -371,28 +413,46 @@ def block_pairs_of(different: DataFrame) -> DataFrame:
         different.join(dealt, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .groupBy("comp", "n", "block").agg(F.collect_list(entry).alias("e"))
     )
+    only = block.filter("n = 1").select(F.array(F.struct("block", "e")).alias("blocks"))
     # Every block goes to each of its pairs: one row per pair, wherever its group is.
-    met = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = block.filter("n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = met.groupBy("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
         F.collect_list(F.struct("block", "e")).alias("blocks")
     )
-    return pairs.filter(F.size("blocks") == F.when(F.col("i") == F.col("j"), 1).otherwise(2)).select("blocks")
+    return only.union(pairs.filter(F.size("blocks") == F.when(F.col("i") == F.col("j"), 1).otherwise(2)).select("blocks"))
 
 
 def link_counts(docs: DataFrame, classes: DataFrame, merged: DataFrame, width: int, at_least: tuple[int, int]) -> DataFrame:
     """(id, far) of the classes in ``merged`` (node, component_id): how many rows of other classes link with each."""
     members = classes.join(merged.select(F.col("node").alias("id"), F.col("component_id").alias("comp")), "id").select("id", "n_rows", "comp")
-    sets = stage(members.hint("merge").join(sets_of(docs, classes, members.select("id"), width), "id"))
-    # The class that names a component leads it.
-    leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
-    counted = block_pairs_of(differences(sets.hint("merge").join(leaders, "comp"))).mapInArrow(_count_links(at_least), "id long, far long")
-    return counted.groupBy("id").agg(F.sum("far").alias("far"))
+    with staged_scope(docs.sparkSession):
+        sets = stage(sets_of(docs, classes, members, width))
+        # The class that names a component leads it.
+        leaders = sets.filter("id = comp").select("comp", F.col("set").alias("leader"))
+        own = sets.withColumn("alone", F.lit(False))
+        counted = block_pairs_of(differences(own.hint("merge").join(leaders, "comp"))).mapInArrow(_count_links(at_least), "id long, far long")
+        return keep_staged(counted.groupBy("id").agg(F.sum("far").alias("far")))
+
+
+def roles(homes: DataFrame, apart: DataFrame) -> DataFrame:
+    """What each set of the classes is read for, known before any is: id, home and whether it is alone there, ``leads`` (it is a
+    home), ``whole`` (it is in a pair of ``apart``); staged.  So each use shuffles the sets that it needs and no other."""
+    held = homes.groupBy("home").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    no_home, no = [F.lit(None).cast("long").alias("home"), F.lit(None).cast("boolean").alias("alone")], F.lit(False)
+    sides = apart.select(F.col("a").alias("id")).union(apart.select("b"))
+    return stage(
+        homes.join(held, "home").select("id", "home", "alone", no.alias("leads"), no.alias("whole"))
+        .union(held.select(F.col("home").alias("id"), *no_home, F.lit(True), no))
+        .union(sides.select("id", *no_home, no, F.lit(True)))
+        .groupBy("id").agg(*[F.max(c).alias(c) for c in ("home", "alone", "leads", "whole")])
+    )
 
 
-def at_home(homes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Differences of classes from their home's set; ``homes``: id, home."""
-    own = homes.hint("merge").join(sets, "id").select(F.col("home").alias("comp"), "id", F.lit(1).cast("long").alias("n_rows"), "set")
-    leaders = sets.select(F.col("id").alias("comp"), F.col("set").alias("leader"))
+def at_home(sets: DataFrame) -> DataFrame:
+    """Differences of classes from their home's set; ``sets``: those of ``roles``."""
+    one = F.lit(1).cast("long").alias("n_rows")
+    own = sets.filter("home is not null").select(F.col("home").alias("comp"), "id", one, "alone", "set")
+    leaders = sets.filter("leads").select(F.col("id").alias("comp"), F.col("set").alias("leader"))
     return differences(own.hint("merge").join(leaders, "comp"))
 
 
@@ -475,10 +535,7 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     )
     sketch = spark.sparkContext.broadcast(_sketch(summary.filter("block is not null").select("block", "counts")))
 
-    prefixes = docs.mapInArrow(_prefixes(width, at_least, sketch), "doc_id long, fp1 long, fp2 long, prefix array<long>")
-    stands = classes.select("id", "size", F.col("rep"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
-    one = (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    posted = prefixes.join(stands, one).select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted_prefixes(docs, classes, width, at_least, sketch)
     # Sets that link lie in the same or in neighbouring bands (a little wider, so that rounding cannot matter).
     band = F.floor(F.log("size") / float(np.log(den / num) * (1 + 1e-9))).alias("band")
     live = stage(_shared_tokens(posted).select("token", "id", "size", "pos", band))
@@ -490,21 +547,24 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     starred = led.filter(F.col("id") != F.col("lead.id")).filter(_linked(rest, F.col("size"), F.col("lead.size"), at_least))
     pairs = starred.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     pairs = stage(pairs)
-    sets = sets_in(docs, classes, pairs, width)
     # The least leader of a class is its home.  Classes of one home meet there, by their differences to it, which also tell how
     # they overlap with the home itself; only pairs of two homes are compared by whole sets.
     homes = stage(pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("home")))
-    different = at_home(homes, sets)
-    near_home = different.select(F.col("comp").alias("a"), F.col("id").alias("b"), (F.col("led") - F.octet_length("lacks") / 8).cast("long").alias("overlap"))
     home_of = lambda side: homes.select(F.col("id").alias(side), F.col("home").alias(f"home_{side}"))
-    apart = pairs.join(home_of("b"), "b").join(home_of("a"), "a", "left").filter("a != home_b and home_b != coalesce(home_a, a)").select("a", "b")
-    compared = stage(near_home.union(whole_overlaps(apart, sets)))
     size_of = lambda side: classes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"))
     linked = lambda found: found.join(size_of("a"), "a").join(size_of("b"), "b").filter(
         _linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), at_least)
     ).select("a", "b")
-    at_homes = block_pairs_of(different).mapInArrow(_spanning(at_least), "a long, b long")
-    links = stage(linked(compared).union(at_homes).distinct())
+    # What a scope stages, sets above all, goes as soon as its answers are there.
+    with staged_scope(spark):
+        apart = pairs.join(home_of("b"), "b").join(home_of("a"), "a", "left").filter("a != home_b and home_b != coalesce(home_a, a)")
+        apart = stage(apart.select("a", "b"))
+        sets = stage(sets_of(docs, classes, roles(homes, apart), width))
+        different = at_home(sets)
+        near_home = different.select(F.col("comp").alias("a"), F.col("id").alias("b"), "overlap")
+        compared = keep_staged(near_home.union(whole_overlaps(apart, sets.filter("whole"))))
+        at_homes = block_pairs_of(different.filter("not alone")).mapInArrow(_spanning(at_least), "a long, b long")
+        links = keep_staged(linked(compared).union(at_homes).distinct())
     merged = stage(components(links))
 
     # Blocks of the lists that are not in one component yet.
@@ -533,7 +593,8 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
     within = blocks.filter("low < high").select(F.lit(True).alias("same"), F.col("e").alias("x"), F.lit(None).cast(blocks.schema["e"].dataType).alias("y"))
     more = within.union(across).mapInArrow(_block_pairs(at_least, pa.int64()), "a long, b long")
     late = stage(more.distinct().join(compared, ["a", "b"], "left_anti"))
-    links = stage(links.union(linked(whole_overlaps(late, sets_in(docs, classes, late, width)))).distinct())
+    with staged_scope(spark):
+        links = keep_staged(links.union(linked(whole_overlaps(late, sets_in(docs, classes, late, width)))).distinct())
 
     final = stage(components(links))
     labelled = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
@@ -558,18 +619,23 @@ def _join(docs: DataFrame, width: int, at_least: tuple[int, int], block: int, al
 
 
 def _shared_tokens(posted: DataFrame) -> DataFrame:
-    """Postings of tokens that two or more classes post; lists pass by in order and are not held."""
-    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(_drop_single, posted.schema)
+    """Postings of tokens that two or more classes post, each once; lists pass by in order and are not held."""
+    return posted.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_drop_single, posted.schema)
 
 
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose neighbour has the same token.  The last row waits for the next batch."""
+    """Of rows sorted by token and id, one each, those whose neighbour has the same token.  The last row waits for the next batch."""
     held, before = None, None  # the row that waits, and the token before it
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([held, batch]) if held is not None else pa.Table.from_batches([batch])
-        token = table.column("token").to_numpy()
+        token, ids = table.column("token").to_numpy(), table.column("id").to_numpy()
+        again = (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])
+        if again.any():
+            # Rows of copies are equal, so any of them may go.
+            first = np.concatenate([[True], ~again])
+            table, token = table.filter(pa.array(first)), token[first]
         equal = token[1:] == token[:-1]
         left = np.concatenate([[before is not None and before == token[0]], equal])
         keep = left[:-1] | equal

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from alertlift.llm import lattice, ngram_join
@@ -104,6 +105,38 @@ def test_jaccard_join_awkward_and_no_rows(spark):
     assert ngram_join.jaccard_join(documents(spark, [])).rows.count() == 0
 
 
+def test_prefixes_are_posted_without_a_shuffle_and_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 32)  # nearly every bit is taken: no class may get lost by that
+    texts = [(i, prose(i % 30, 20)) for i in range(60)] + [(i, prose(i, 20)) for i in (100, 100, 101)] + [(None, prose(7, 20))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = spark.createDataFrame([], "fp1 long, rep long, n_rows long")
+    sketch = spark.sparkContext.broadcast(np.zeros(ngram_join.SKETCH, dtype=np.int64))
+    plan = ngram_join.posted_prefixes(docs, classes, 3, (80, 100), sketch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {x["doc_id"]: x["class_id"] for x in ngram_join.jaccard_join(docs, 3, (80, 100)).rows.collect()}
+    assert got == {None: 7, 100: 100, 101: 101, **{i: i % 30 for i in range(60)}}
+    rows = pa.RecordBatch.from_pydict({"id": [1, 1, 1, 2, 3, 3], "size": [5] * 6, "pos": [0] * 6, "token": [7, 7, 8, 8, 9, 9]})
+    for n in (1, 2, 6):
+        kept = pa.Table.from_batches(list(ngram_join._drop_single(rows.slice(i, n) for i in range(0, 6, n))), rows.schema)
+        assert kept.select(["id", "token"]).to_pylist() == [{"id": 1, "token": 8}, {"id": 2, "token": 8}]
+
+
+def test_sets_go_only_where_they_are_needed(spark):
+    homes = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (1, 0)], "id long, home long")
+    apart = spark.createDataFrame([(4, 3)], "a long, b long")
+    told = ngram_join.roles(homes, apart)
+    assert {tuple(x) for x in told.collect()} == {
+        (0, None, None, True, False), (1, 0, True, True, False), (2, 1, False, False, False), (3, 1, False, False, True),
+        (4, None, None, True, True), (5, 4, True, False, False),
+    }
+    sets = {0: [1, 2], 1: [2, 3], 2: [2, 4], 3: [2, 3, 5], 4: [9], 5: [8, 9]}
+    stored = spark.createDataFrame([(i, bytearray(np.array(s, "<u8").tobytes())) for i, s in sets.items()], "id long, set binary")
+    got = {x["id"]: x for x in ngram_join.at_home(told.join(stored, "id")).collect()}
+    assert {i: (x["comp"], x["overlap"]) for i, x in got.items()} == {1: (0, 1), 2: (1, 1), 3: (1, 2), 5: (4, 1)}
+    # Differences only travel where two classes meet at a home.
+    assert {i for i, x in got.items() if x["lacks"] or x["beyond"]} == {2, 3}
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(5)
     for n, m in ((30, 20), (60, 80), (40, 0)):
