@@ -158,3 +158,13 @@ def test_training_sets_are_cut_into_parts_of_bounded_rows(spark, table, monkeypa
     sizes = [r[0] for r in tr.in_parts(table).groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == table.count() and max(sizes) <= 120
     one_per_row(tr.out_of_fold(table, SMALL, ["n_lightnings", "mean_dist"]), table)
+
+
+def test_boosted_trees_are_the_same_without_kept_node_ids(spark, table):
+    assert not tr.boosted().getCacheNodeIds()
+    short = {"maxIter": 3, "maxDepth": 3}
+    own, other = [
+        tr.Pipeline(stages=[*tr.encoder(views.NUMERIC, ["airport"]), tr.boosted(**short).setCacheNodeIds(kept)])
+        .fit(table).stages[-1].toDebugString.split("\n", 1)[1] for kept in (False, True)
+    ]
+    assert own == other
