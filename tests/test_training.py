@@ -168,3 +168,65 @@ def test_boosted_trees_are_the_same_without_kept_node_ids(spark, table):
         .fit(table).stages[-1].toDebugString.split("\n", 1)[1] for kept in (False, True)
     ]
     assert own == other
+
+
+def test_a_training_set_is_encoded_once_for_all_models(spark, table, monkeypatch):
+    """Equal trees to those of the whole pipeline; every fit reads kept vectors, and nothing stays kept."""
+    kept, coded = [], []
+
+    class Watched(tr.RandomForestRegressor):
+        def _fit(self, dataset):
+            kept.append((dataset.storageLevel.useDisk, dataset.columns, self.getCacheNodeIds()))
+            return super()._fit(dataset)
+
+    make = lambda: Watched(featuresCol="features", labelCol="label", numTrees=3, maxDepth=3, seed=7)
+    encode = tr.encode
+    monkeypatch.setattr(tr, "encode", lambda *a: coded.append(encode(*a)) or coded[-1])
+    forest, line = tr.ModelSpec("f", make), tr.main_models()[0]
+    with tr.encoded_folds(table, views.NUMERIC, ["airport"]) as sets:
+        out = [tr.out_of_fold(table, s, views.NUMERIC, ["airport"], sets=sets) for s in (forest, line)]
+        assert len(coded) == 3
+        model = tr.fit(forest, sets[0])
+    assert kept == [(True, ["label", "features"], False)] * 4
+    assert not any(c.rows.storageLevel.useDisk for c in coded)
+    for part in out:
+        one_per_row(part, table)
+    train = table.where("fold <> 0")
+    whole = tr.Pipeline(stages=[*tr.encoder(views.NUMERIC, ["airport"]), make()]).fit(train)
+    text = lambda m: m.stages[-1].toDebugString.split("\n", 1)[1]
+    assert text(model) == text(whole)
+
+
+def test_forests_are_the_same_without_kept_node_ids(spark, table):
+    text = lambda m: m.toDebugString.split("\n", 1)[1]
+    rows_ = tr.encode(table, views.NUMERIC, ["airport"]).rows
+    own, other = [text(tr.forest(numTrees=5, maxDepth=5).setCacheNodeIds(ids).fit(rows_)) for ids in (False, True)]
+    rows_.unpersist()
+    assert own == other
+
+
+def test_inner_search_takes_the_setting_of_spark_cross_validation(spark, table):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    grid = {"maxDepth": [1, 2, 4], "minInstancesPerNode": [1, 40]}
+    spec = tr.ModelSpec("t", lambda: tr.forest(numTrees=2), grid=grid, draws=4, inner_folds=2)
+    train = tr.with_inner_folds(table.where("fold <> 0"), spec)
+    settings = tr.draw_grid(grid, 4)
+    model = spec.make()
+    search = CrossValidator(
+        estimator=tr.Pipeline(stages=[*tr.encoder(views.NUMERIC, ["airport"]), model]), numFolds=2, foldCol="inner_fold",
+        estimatorParamMaps=[{model.getParam(n): v for n, v in s.items()} for s in settings],
+        evaluator=RegressionEvaluator(labelCol="label", metricName="mae"),
+    ).fit(train)
+    wanted = settings[min(range(4), key=lambda i: search.avgMetrics[i])]
+    assert tr.best_setting(spec, train, views.NUMERIC, ["airport"]) == wanted
+
+
+def test_large_training_sets_are_fitted_one_after_another(spark, table, monkeypatch):
+    asked = []
+    run = tr._side_by_side
+    monkeypatch.setattr(tr, "_side_by_side", lambda spark, f, items, n: asked.append(n) or run(spark, f, items, n))
+    monkeypatch.setattr(tr, "FIT_ROWS", 1)
+    one_per_row(tr.out_of_fold(table, SMALL, ["n_lightnings", "mean_dist"], parallelism=3), table)
+    assert asked[-1] <= 1
