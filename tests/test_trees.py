@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertlift.operators import binning, boosting, forest, group_balance, growth, least_squares
-from alertlift.plans import views
+from alertlift.plans import trained, views
 
 NUMERIC, GROUP = views.NUMERIC, "airport"
 
@@ -303,3 +303,23 @@ def test_sums_beyond_exact_floats_are_added_up_as_whole_numbers(monkeypatch):
     assert set(counted) == {np.dtype(np.int64)}
     plain = grow_by_histograms(bins, one, y, rule, np.uint64(1), np.uint64(1), 0)
     assert (told == np.array([plain(x) for x in bins])).all()
+
+
+def test_published_forest_search_is_whole():
+    settings = trained.search_settings()
+    assert len(set(settings)) == 12 and {s.trees for s in settings} <= {120, 200, 300}
+    told = {s.rule.depth for s in settings} | {s.rule.whole for s in settings} | {s.rule.least for s in settings}
+    assert len({s.trees for s in settings}) > 1 and told <= {None, 10, 15, 25, 35, 2, 5, 1, 4}
+    assert trained.INNER == 3
+
+
+@pytest.mark.parametrize("whole", [2, 9, 40])
+def test_small_nodes_are_not_split(whole):
+    r = np.random.default_rng(5)
+    bins, value = r.integers(0, 60, (300, 4)).astype(np.uint8), r.integers(0, 10**8, 300)
+    rule, tree, one = growth.Rule(whole=whole), growth.stream_of(3, 1), np.ones(300, dtype=np.int64)
+    out, _ = growth.grow(bins, one, value, bins, rule, tree, tree)
+    plain = grow_by_histograms(bins, one, value, rule, tree, tree, 0)
+    assert (out == np.array([plain(x) for x in bins])).all()
+    sizes = np.unique(out, return_counts=True)[1]
+    assert whole == 2 or sizes.max() > 1
