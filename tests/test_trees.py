@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from alertlift.operators import binning, boosting, forest, group_balance, growth, least_squares
 from alertlift.plans import trained, views
+from alertlift.sources.staging import staged_scope, staging_root
 
 NUMERIC, GROUP = views.NUMERIC, "airport"
 
@@ -305,6 +306,37 @@ def test_sums_beyond_exact_floats_are_added_up_as_whole_numbers(monkeypatch):
     assert (told == np.array([plain(x) for x in bins])).all()
 
 
+def test_rows_are_dealt_in_waves_and_only_sums_of_earlier_ones_stay(table, spark, monkeypatch):
+    spec = forest.Forest(12, growth.Rule(per_split=6))
+    whole = by_key(forest.out_of_fold(table, spec, "rf"))
+    dealt, left = [], []
+    real, size = forest.deal, table.rows.count()
+
+    def counted(fits, tops, units, blocks):
+        dealt.append(len({(u.fit, u.first) for u in units}) * size)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/alertlift-staged")
+        left.append(folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getDirectoryCount())
+        return real(fits, tops, units, blocks)
+
+    monkeypatch.setattr(forest, "deal", counted)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 300)
+    monkeypatch.setattr(forest, "WAVE_ROWS", 0)
+    monkeypatch.setattr(forest, "WAVE_TABLES", 4)
+    monkeypatch.setattr(forest, "WAVES_KEPT", 2)
+    with staged_scope(spark):
+        parted = by_key(forest.out_of_fold(table, spec, "rf"))
+    assert whole.keys() == parted.keys() and all(abs(whole[k] - parted[k]) < 1e-9 for k in whole)
+    assert len(dealt) == 9 and max(dealt) <= forest.WAVE_TABLES * size and max(left) - left[0] <= 2 * 2
+
+
+def test_shuffle_files_of_forests_go_with_their_queries(table, spark, monkeypatch):
+    seen = []
+    real = forest.stage
+    monkeypatch.setattr(forest, "stage", lambda df: seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or real(df))
+    forest.search(table, [forest.Forest(2, growth.Rule(2))], 2, "rf")
+    assert seen and set(seen) == {"true"}
+
+
 def test_published_forest_search_is_whole():
     settings = trained.search_settings()
     assert len(set(settings)) == 12 and {s.trees for s in settings} <= {120, 200, 300}
