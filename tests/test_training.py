@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from alertlift.operators import training as tr
 from alertlift.operators.folds import assign_folds, assign_group_folds
-from alertlift.plans import views, workflow
+from alertlift.plans import queries, views, workflow
 from alertlift.plans.queries import training_rows
 from alertlift.sources.writer import write_table
 
@@ -230,3 +230,17 @@ def test_large_training_sets_are_fitted_one_after_another(spark, table, monkeypa
     monkeypatch.setattr(tr, "FIT_ROWS", 1)
     one_per_row(tr.out_of_fold(table, SMALL, ["n_lightnings", "mean_dist"], parallelism=3), table)
     assert asked[-1] <= 1
+
+
+def asked_of(monkeypatch, query):
+    """The models that a query compares, without fitting them."""
+    asked = []
+    monkeypatch.setattr(queries, "_oof", lambda spark, sf_dir, *specs: asked.extend(specs))
+    query(None, "")
+    return asked
+
+
+def test_boosted_query_fits_all_published_rounds(monkeypatch):
+    models = [s.make() for s in asked_of(monkeypatch, queries.oof_gbt)]
+    assert [(m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) for m in models] == [(500, 3, 0.05)] * 2
+    assert [m.getLossType() for m in models] == ["squared", "absolute"]
