@@ -244,3 +244,24 @@ def test_boosted_query_fits_all_published_rounds(monkeypatch):
     models = [s.make() for s in asked_of(monkeypatch, queries.oof_gbt)]
     assert [(m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) for m in models] == [(500, 3, 0.05)] * 2
     assert [m.getLossType() for m in models] == ["squared", "absolute"]
+
+
+def test_tuned_forest_query_searches_the_published_grid(monkeypatch):
+    (spec,) = asked_of(monkeypatch, queries.oof_rf_tuned)
+    assert (spec.grid, spec.draws, spec.inner_folds, spec.make().getMaxDepth()) == (tr.FOREST_GRID, 12, 3, 30)
+
+
+def test_searched_forests_are_own_trees_of_the_same_settings(spark, table, monkeypatch):
+    setting = {"numTrees": 7, "maxDepth": 30, "minInstancesPerNode": 4, "featureSubsetStrategy": "0.4", "bootstrap": False}
+    own = tr.own_forest(tr.forest(), setting, 15)
+    assert (own.trees, own.rule.depth, own.rule.least, own.rule.per_split, own.bootstrap) == (7, None, 4, 6, False)
+    assert [tr.drawn_features(s, 15) for s in ("all", "sqrt", "log2", "0.6", "onethird", "3")] == [None, 4, 4, 9, 5, 3]
+    seen = []
+    search = tr.own_trees.search
+    monkeypatch.setattr(tr.own_trees, "search", lambda t, settings, *rest: seen.extend(settings) or search(t, settings, *rest))
+    monkeypatch.setattr(tr, "fit", None)
+    spec = tr.ModelSpec("t", tr.forest, grid={"numTrees": [2, 4], "maxDepth": [3, 30]}, draws=4, inner_folds=2)
+    out = tr.out_of_fold(table, spec, views.NUMERIC, ["airport"])
+    one_per_row(out, table)
+    assert {(f.trees, f.rule.depth) for f in seen} == {(2, 3), (2, None), (4, 3), (4, None)}
+    assert out.schema["fold"].dataType == table.schema["fold"].dataType
