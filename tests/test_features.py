@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertlift.operators import features, storms, trends
+from alertlift.plans import queries
 from alertlift.sources import schema
 
 from helpers import has_node, plan, rows
@@ -199,3 +200,12 @@ def test_starts_see_equal_vectors_once_and_sizes_count_alerts(spark):
     model = storms.fit_kmeans(vectors, restarts=2)
     assert sorted(model.alert_counts) == [3, 5, 7] and sum(model.summary.clusterSizes) == 5
     assert model.alert_counts[storms.size_order(model).index(0)] == 7
+
+
+def test_storm_check_aggregates_and_joins_the_lines_once(spark, sf_dir, monkeypatch):
+    read = []
+    scaled = storms.scaled_vectors
+    monkeypatch.setattr(storms, "scaled_vectors", lambda df, *rest: read.append(plan(df)) or scaled(df, *rest))
+    told = queries.storm_types_check(spark, sf_dir).first()
+    assert told["n_types"] == 3 and told["n_stray"] == 0
+    assert len(read) == 1 and "lineitem" not in read[0] and not has_node(read[0], "HashAggregate")
